@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.decontamination import contained_items
+
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.sharding import shard_documents
 
@@ -25,8 +31,14 @@ def op7_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_best_fit_sharding, op7_water_filling_mix)}
+    return {f.__name__: f for f in (op2_benchmark_containment, op6_best_fit_sharding, op7_water_filling_mix, op9_bottom_k_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
