@@ -37,8 +37,14 @@ def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_containment, op6_best_fit_sharding, op7_water_filling_mix, op9_bottom_k_near_dedup)}
+    return {f.__name__: f for f in (op2_benchmark_containment, op6_best_fit_sharding, op7_water_filling_mix, op9_bottom_k_near_dedup, op10_seed_and_extend)}
 
 
 def oracle_sql() -> dict[str, str]:
