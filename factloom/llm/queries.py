@@ -12,6 +12,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _public_vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_subword_lattice(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    from factloom.llm.common import fold
+    from factloom.llm.lm_scoring import load_vocabulary, score_documents
+
+    pieces = load_vocabulary(vocabulary or _public_vocabulary("piece_bpe_32k.model"))
+    return score_documents(_table(spark, sf_dir, "documents"), pieces, trains=fold("doc_id") != 1)
+
+
 def op2_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.decontamination import contained_items
 
@@ -44,7 +58,7 @@ def op10_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_containment, op6_best_fit_sharding, op7_water_filling_mix, op9_bottom_k_near_dedup, op10_seed_and_extend)}
+    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op6_best_fit_sharding, op7_water_filling_mix, op9_bottom_k_near_dedup, op10_seed_and_extend)}
 
 
 def oracle_sql() -> dict[str, str]:
