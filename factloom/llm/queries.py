@@ -32,6 +32,23 @@ def op2_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.common import fold
+    from factloom.llm.toxicity import learn, score
+
+    documents = _table(spark, sf_dir, "documents")
+    machine = learn(documents, _table(spark, sf_dir, "labels"), learns=fold("doc_id") != 0)
+    scored = score(documents, machine)
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.topk_search import quantised, top_k
+
+    vectors = quantised(_table(spark, sf_dir, "embeddings"), scale=256)
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op6_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.sharding import shard_documents
 
@@ -58,7 +75,7 @@ def op10_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op6_best_fit_sharding, op7_water_filling_mix, op9_bottom_k_near_dedup, op10_seed_and_extend)}
+    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op9_bottom_k_near_dedup, op10_seed_and_extend)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,8 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For terms rather than words: every ASCII byte but letters and digits separates.
+NOT_ALPHANUMERIC = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -69,13 +71,14 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash per word: a polynomial over its bytes, then mixed."""
+    def hashes(self, prefix_bytes: int | None = None) -> np.ndarray:
+        """One 64-bit hash per word, or per its first bytes: a polynomial over its bytes, then mixed."""
+        ends = self.ends if prefix_bytes is None else np.minimum(self.ends, self.starts + prefix_bytes)
         power, inverse = _power_tables(len(self.data) + 1)
         prefix = np.empty(len(self.data) + 1, dtype=np.uint64)
         prefix[0] = 0
         np.cumsum(_BYTE_CODES[self.data] * power[: len(self.data)], out=prefix[1:])
-        return mix64((prefix[self.ends] - prefix[self.starts]) * inverse[self.starts])
+        return mix64((prefix[ends] - prefix[self.starts]) * inverse[self.starts])
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +95,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def words(column: pa.Array, lower: bool) -> Iterator[Words]:
+def words(column: pa.Array, lower: bool, separators: np.ndarray = _IS_SPACE) -> Iterator[Words]:
     """Tokenise a string column in slices of at most SLICE_BYTES or one document."""
     offsets, data = string_buffers(column)
     at, n = 0, len(offsets) - 1
@@ -101,16 +104,16 @@ def words(column: pa.Array, lower: bool) -> Iterator[Words]:
         part, cut = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         if lower:
             part = _LOWER[part]
-        yield _tokenise(part, cut, at)
+        yield _tokenise(part, cut, at, separators)
         at = to
 
 
-def _tokenise(data: np.ndarray, cut: np.ndarray, first: int) -> Words:
+def _tokenise(data: np.ndarray, cut: np.ndarray, first: int, separators: np.ndarray) -> Words:
     size = len(data)
     if not size:
         empty = np.zeros(0, dtype=np.int64)
         return Words(data, empty, empty, np.zeros(len(cut), dtype=np.int64), cut, first)
-    space = _IS_SPACE[data]
+    space = separators[data]
     opens = np.empty(size, dtype=bool)
     opens[0] = True
     opens[1:] = space[:-1]
