@@ -62,6 +62,12 @@ def op7_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_elias_fano_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from factloom.llm.token_store import read_documents, write_store
+
+    return read_documents(write_store(_table(spark, sf_dir, "documents"), tokenizer or _public_vocabulary("byte_bpe_50k.json"), end_id=0))
+
+
 def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.near_dedup import near_duplicates
 
@@ -75,7 +81,7 @@ def op10_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op9_bottom_k_near_dedup, op10_seed_and_extend)}
+    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op8_elias_fano_tokens, op9_bottom_k_near_dedup, op10_seed_and_extend)}
 
 
 def oracle_sql() -> dict[str, str]:
