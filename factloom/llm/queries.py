@@ -42,6 +42,12 @@ def op3_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.pii import find_personal_data
+
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.topk_search import quantised, top_k
 
@@ -81,7 +87,7 @@ def op10_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op8_elias_fano_tokens, op9_bottom_k_near_dedup, op10_seed_and_extend)}
+    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op4_contextual_pii, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op8_elias_fano_tokens, op9_bottom_k_near_dedup, op10_seed_and_extend)}
 
 
 def oracle_sql() -> dict[str, str]:
