@@ -86,8 +86,14 @@ def op10_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op4_contextual_pii, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op8_elias_fano_tokens, op9_bottom_k_near_dedup, op10_seed_and_extend)}
+    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op4_contextual_pii, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op8_elias_fano_tokens, op9_bottom_k_near_dedup, op10_seed_and_extend, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
