@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: bounds a Python worker's memory also for very long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
+#: Largest bitmap, 32 MB; bits for each value where there is room.
+MOST_BITS, BITS_EACH = 28, 16
+
 _workspaces: dict[str, str] = {}
 
 
@@ -99,3 +104,28 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """A set of longs as bits, by their low bits; at most 2 ** MOST_BITS of them, however many
+    values there are.  It never misses a value; those it lets in by chance are for a join to drop."""
+    count = values.count()
+    bits = min(MOST_BITS, max(10, int(count * BITS_EACH).bit_length()))
+    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = values.select(low.alias("low")).selectExpr("cast(shiftright(low, 5) AS int) AS at", "shiftleft(1L, cast(low & 31 AS int)) AS bit")
+    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    table = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = values & np.uint64(len(bits) * 32 - 1)
+    return (bits[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases now: it does so for plans that
+    nothing refers to any more, which it learns from the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -9,12 +9,16 @@
    ones two sketches of documents at the threshold share at least LEAST of K values
    but for a chance of 2e-9.  The rarest values are taken, so a line or passage that
    many documents share makes no long lists unless they consist of little else.
-3. A list's members are first compared with its hub only, in a few rounds with
-   different hubs.  Links form components, and only members of different components
-   are still compared: a group of many near copies costs its size, not its square.
-4. The union sketch of a pair (the K smallest of both) estimates its similarity and
-   drops pairs that are far off; what is left is verified on the full shingle sets,
-   in integers: 100 * shared >= 75 * union.
+3. A list's members are compared with its hub first, the member with the most values
+   in other sketches (in a group of copies the original, or one close to it), then
+   with another one.  Links form components: a group of n copies costs n comparisons.
+   The union sketch of a pair (the K smallest of both) estimates its similarity and
+   drops pairs that are far off.
+4. Lists that still hold several components are finished on full sets.  Within their
+   documents each has c shingles that others have too; two sets of n and n' at the
+   threshold share at least 3/7 (n + n'), so both must have c that large and meet in one
+   of the c - 3/4 n + 1 rarest shingles of each.  Most documents drop out by c alone.
+5. Every candidate is verified on the words: 100 * shared >= 75 * union.
 
 Nothing is capped: every list is finished.  Links that are not compared lie within
 a component already found, so components are those of all links.
@@ -36,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel
-from factloom.llm.common import components, settle, texts
+from factloom.llm.common import bitmap, components, in_bitmap, release, settle, texts
 
 SHINGLE, PERCENT = 5, 75
 #: Sketch length; most shingles for which the bound is certain; least shared values otherwise.
 K, EXACT, LEAST = 64, 48, 24
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 _SIGN = np.uint64(1 << 63)
 
 
@@ -61,11 +65,6 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), values)], names=["doc_id", "n_shingles", "key", "sketch"])
 
 
-def required_share(m: int, n: int) -> int:
-    """Values that two sketches at the threshold share at least, seen from a sketch of m values of a set of n."""
-    return -(-PERCENT * m // 100) if n <= EXACT else LEAST
-
-
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs whose union sketch does not rule them out."""
     for batch in batches:
@@ -97,16 +96,37 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives that are links, settled."""
-    own = classes.select("rep", "sketch")
-    a, b = own.toDF("a", "sa"), own.toDF("b", "sb")
-    likely = pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_estimate, "a long, b long")
-    likely = settle(likely, "likely")
+def _common(bits):
+    """The sketch values that other sketches may have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("sketch")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            keep = in_bitmap(bits.value, values.view(np.uint64))
+            row = np.repeat(np.arange(len(lists)), size)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), batch.column("rep").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array(size[row].astype(np.int32))], names=["value", "rep", "n", "m"])
+
+    return run
+
+
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for w in textkernel.words(batch.column(1), lower=True):
+            for i, h in enumerate(textkernel.document_shingles(w, w.hashes(), SHINGLE)):
+                yield pa.RecordBatch.from_arrays([pa.array((h ^ _SIGN).view(np.int64)), pa.array(np.full(len(h), ids[w.first + i])), pa.array(np.full(len(h), len(h)))], names=["value", "rep", "n"])
+
+
+def _links(pairs: DataFrame, docs: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of representatives that are links, settled; estimated first where sketches are given."""
+    likely = pairs
+    if sketches is not None:
+        likely = settle(pairs.join(sketches.toDF("b", "sb"), "b").join(sketches.toDF("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_estimate, "a long, b long"), "likely")
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     text = settle(docs.join(wanted, "doc_id", "left_semi"), "wanted")
-    ta, tb = text.toDF("a", "ta"), text.toDF("b", "tb")
-    found = likely.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
+    found = likely.join(text.toDF("b", "tb"), "b").join(text.toDF("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
     return settle(found.distinct(), "links")
 
 
@@ -119,14 +139,42 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _rarest(rows: DataFrame, take, *keys: str) -> DataFrame:
+    """Of the rows (value, *keys) the rarest of each key: values in two rows or more, as many as ``take``,
+    a number over ``common``, says.  Adds ``common``, the number of such values."""
+    lengths = settle(rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "lengths")
+    listed = rows.join(lengths, "value").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("c"))
+    listed = listed.withColumn("common", F.size("c")).withColumn("take", F.greatest(take, F.lit(0)).cast("int")).where("take > 0")
+    return listed.select(*keys, "common", F.explode(F.slice("c", F.lit(1), F.col("take"))).alias("c")).select(F.col("c.value").alias("value"), *keys, "common")
+
+
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, rep, n): each sketch under the rarest values that it must share one of with a partner."""
-    values = classes.where("n_shingles > 0").select("rep", F.col("n_shingles").alias("n"), F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
-    lengths = settle(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "lengths")
-    listed = values.join(lengths, "value").groupBy("rep", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
+    """(value, rep, n, common): each sketch under the rarest values that it must share one of with a partner."""
+    values = classes.select(F.explode("sketch").alias("value"))
+    bits = classes.sparkSession.sparkContext.broadcast(bitmap(settle(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value"), "shared"), "value"))
+    common = classes.select("rep", F.col("n_shingles").alias("n"), "sketch").mapInArrow(_common(bits), "value long, rep long, n long, m int")
     share = F.when(F.col("n") <= EXACT, F.ceil(F.col("m") * PERCENT / 100)).otherwise(LEAST)
-    take = F.greatest(F.size("common") - share + 1, F.lit(0)).cast("int")  # values in no other sketch are the rarest: they use up the rest
-    return listed.select("rep", "n", F.explode(F.slice("common", F.lit(1), take)).alias("c")).select(F.col("c.value").alias("value"), "rep", "n")
+    return _rarest(common, F.col("common") - share + 1, "rep", "n", "m").drop("m")  # values in one sketch alone are rarer still: they use up the rest
+
+
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that hold more than one component, with the members' components."""
+    lists = settle(lists.drop("component").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "lists")
+    several = lists.groupBy("value").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("value")
+    return settle(lists.join(settle(several, "open"), "value"), "lists")
+
+
+def _full_pairs(lists: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different components in the open lists, on full sets of shingles."""
+    members = settle(lists.select("rep", "component").distinct(), "members")
+    text = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    full = settle(text.mapInArrow(_all_shingles, "value long, rep long, n long"), "full")
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    rare = _rarest(full, F.col("common") - least + 1, "rep", "n").join(members, "rep")
+    rare = settle(rare, "rare")
+    other = rare.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "common", "component")))
+    enough = F.least("common", "common2") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2"))
+    return rare.join(other, "value").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _near("n", "n2") & enough).select(*_ordered("rep", "rep2")).distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,20 +188,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     members = settle(members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     twice = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     links = members.join(twice, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()  # texts under one doc_id
-    labels = None
+    sketches = classes.select("rep", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")))
     for turn in range(HUB_ROUNDS):
-        hub = F.min(F.struct(F.xxhash64(F.col("rep"), F.lit(turn)) if turn else F.col("rep"), F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
+        first = F.xxhash64(F.col("rep"), F.lit(turn)) if turn else -F.col("common")
+        hub = F.min(F.struct(first, F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
         hubs = settle(lists.groupBy("value").agg(hub.alias("h")).select("value", "h.hub", "h.hub_n"), "hubs")
         pairs = lists.join(hubs, "value").where((F.col("rep") != F.col("hub")) & _near("n", "hub_n")).select(*_ordered("rep", "hub")).distinct()
-        links = links.union(_links(settle(pairs, "pairs"), classes, docs))
+        links = links.union(_links(settle(pairs, "pairs"), docs, sketches))
         labels = components(links)
-        lists = lists.drop("component").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        lists = settle(lists, "lists")
-        open_lists = settle(lists.groupBy("value").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("value"), "open")
-        lists = settle(lists.join(open_lists, "value"), "lists")
-    left, right = lists, lists.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    rest = left.join(right, "value").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _near("n", "n2"))
-    found = _links(settle(rest.select(*_ordered("rep", "rep2")).distinct(), "pairs"), classes, docs)
+        lists = _open_lists(lists, labels)
+        release(documents.sparkSession)
+    found = _links(settle(_full_pairs(lists, docs), "pairs"), docs)
     if found.limit(1).count():
         labels = components(links.union(found))
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -38,28 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel
-from factloom.llm.common import settle, texts
+from factloom.llm.common import bitmap, in_bitmap, release, settle, texts
 
 WINDOW, SEED = 13, 5
-#: Largest bitmap, 32 MB; bits for each value where there is room.
-MOST_BITS, BITS_EACH = 28, 16
-
-
-def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """A set of hash values as bits, by their low bits; at most 2 ** MOST_BITS of them."""
-    count = values.count()
-    bits = min(MOST_BITS, max(10, int(count * BITS_EACH).bit_length()))
-    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    words = values.select(low.alias("low")).selectExpr("cast(shiftright(low, 5) AS int) AS at", "shiftleft(1L, cast(low & 31 AS int)) AS bit")
-    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    table = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
-    return out
-
-
-def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    low = values & np.uint64(len(bits) * 32 - 1)
-    return (bits[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
 
 def blocks(w: textkernel.Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
