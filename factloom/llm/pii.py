@@ -77,15 +77,15 @@ def _valid(kind: str, found: Column) -> Column:
 
 
 def base_spans(text: str) -> Column:
-    """Spans (start, kind_no, end) of the exact forms, by start, then kind."""
+    """Spans (start, kind_no, end, found) of the exact forms, by start, then kind."""
     return F.array_sort(F.concat(*(_kind_spans(text, k) for k in range(len(KINDS)))))
 
 
 def _kind_spans(text: str, k: int) -> Column:
     needs, form = FORMS[KINDS[k]]
     guard = F.contains(F.col(text), F.lit(needs)) if needs == "@" else F.col(text).rlike(needs)
-    spans = F.transform(F.filter(_matches(text, form), lambda m: _valid(KINDS[k], m["found"])), lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind_no"), m["end"].alias("end")))
-    return F.when(guard, spans).otherwise(F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))
+    spans = F.transform(F.filter(_matches(text, form), lambda m: _valid(KINDS[k], m["found"])), lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind_no"), m["end"].alias("end"), m["found"].alias("found")))
+    return F.when(guard, spans).otherwise(F.array().cast("array<struct<start:int,kind_no:int,end:int,found:string>>"))
 
 
 def identifiers(text: str) -> Column:
@@ -139,13 +139,16 @@ def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: s
     ``kind:start:end`` by start, then kind, comma-joined) and n_found, the spans that patterns added."""
     docs = texts(documents, id_col, text_col)
     rows = settle(docs.select(F.expr("uuid()").alias("row"), "doc_id", base_spans("text").alias("base"), identifiers("text").alias("tokens")), "spans")
-    overlap = lambda: F.get(F.filter("base", lambda b: (b["start"] < F.col("token.end")) & (b["end"] > F.col("token.start"))), F.lit(0))["kind_no"]
-    found = settle(rows.select("row", "base", F.explode("tokens").alias("token")).select("row", "token.*", overlap().alias("seed")), "identifiers")
+    token = rows.select("row", "base", F.explode("tokens").alias("token")).select("row", "base", "token.*")
+    first = F.get(F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))), F.lit(0))
+    token = token.withColumn("seen", first).where("seen IS NULL OR seen.start >= start")  # the rest of a seed is no identifier of its own
+    found = settle(token.select("row", "start", "end", "pattern", "labelled", F.coalesce("seen.found", "value").alias("value"), F.col("seen.kind_no").alias("seed")), "identifiers")
     patterns = confident_patterns(found, docs)
     added = found.where("seed IS NULL AND value <> ''").join(patterns, "pattern")
     added = settle(added.groupBy("row").agg(F.collect_list(F.struct("start", "kind_no", "end")).alias("added")), "added")
     out = rows.select("row", "doc_id", "base").join(added, "row", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))))
+    plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind_no"].alias("kind_no"), b["end"].alias("end")))
+    every = F.array_sort(F.concat(plain, F.coalesce("added", F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind_no"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return out.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"), F.size(F.coalesce("added", F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))).alias("n_found"))
