@@ -35,7 +35,7 @@ from factloom.llm.common import texts
 BITS, RANK, PREFIXES = 18, 8, (4, 5, 6)
 #: Most labelled documents in the fit.
 SAMPLE = 12_000
-LEAST, EPOCHS, BATCH, RATE, L1, L2 = 3, 8, 64, 0.3, 5e-4, 1e-4
+LEAST, EPOCHS, STEPS, BATCH, RATE, L1, L2 = 3, 8, 1500, 64, 0.3, 5e-4, 1e-4
 
 
 @dataclass
@@ -88,7 +88,8 @@ def fit(bounds: np.ndarray, index: np.ndarray, labels: np.ndarray, seed: int = 7
     index, bounds = index[keep], np.searchsorted(doc, np.arange(len(labels) + 1))
     machine.factors[~seen] = 0
     g_bias, g_linear, g_factors = 1.0, np.full(size, 1e-3), np.full((size, RANK), 1e-3)
-    for _ in range(EPOCHS if 0 < positive < len(labels) else 0):
+    batches = -(-len(labels) // BATCH)
+    for _ in range(max(EPOCHS, -(-STEPS // batches)) if 0 < positive < len(labels) else 0):  # small samples are seen more often
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
