@@ -96,5 +96,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op4_contextual_pii, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op8_elias_fano_tokens, op9_bottom_k_near_dedup, op10_seed_and_extend, pipeline)}
 
 
+_WORDS = r"""list_filter(string_split_regex({text}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHINGLES = """SELECT DISTINCT {id}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+FROM (SELECT {id}, {words} AS w FROM {table})"""
+
+_CONTAINMENT = f"""WITH d AS ({_SHINGLES.format(id="doc_id", words=_WORDS.format(text=_LOWER), table="documents")}), b AS ({_SHINGLES.format(id="item_id", words=_WORDS.format(text=_LOWER), table="benchmark")}),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id), p AS (SELECT doc_id, item_id, count(*) AS k FROM d JOIN b USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS item_shingles, CAST(k AS INTEGER) AS shared, k / n AS containment FROM p JOIN n USING (item_id) WHERE k >= 0.75 * n"""
+
+_TOP_K = """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 5"""
+
+_REPEATS = f"""WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT t, min(doc_id) AS f FROM g GROUP BY t HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT g.doc_id, g.i, unnest(range(13)) AS k FROM g JOIN m ON m.t = g.t WHERE m.f < g.doc_id)),
+x AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id),
+k AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.p) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) u ANTI JOIN c ON c.doc_id = u.doc_id AND c.p = u.p GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(x.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL expresses the whole result; the other queries are tested against brute force."""
+    return {"op2_benchmark_containment": _CONTAINMENT, "op5_maxscore": _TOP_K, "op10_seed_and_extend": _REPEATS}
