@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from factloom.llm import textkernel
 from factloom.llm.common import texts
 
-BITS, RANK, PREFIXES = 18, 8, (4, 5, 6)
+BITS, RANK, PREFIXES = 18, 4, (4, 5, 6)
 #: Most labelled documents in the fit.
-SAMPLE = 12_000
-LEAST, EPOCHS, STEPS, BATCH, RATE, L1, L2 = 3, 8, 1500, 64, 0.3, 5e-4, 1e-4
+SAMPLE = 8_000
+LEAST, EPOCHS, STEPS, BATCH, RATE, L1, L2 = 3, 6, 750, 64, 0.3, 5e-4, 1e-4
 
 
 @dataclass
@@ -90,28 +90,29 @@ def fit(bounds: np.ndarray, index: np.ndarray, labels: np.ndarray, seed: int = 7
     g_bias, g_linear, g_factors = 1.0, np.full(size, 1e-3), np.full((size, RANK), 1e-3)
     batches = -(-len(labels) // BATCH)
     for _ in range(max(EPOCHS, -(-STEPS // batches)) if 0 < positive < len(labels) else 0):  # small samples are seen more often
-        order = rng.permutation(len(labels))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
+        turn = rng.permutation(len(labels))
+        for at in range(0, len(turn), BATCH):
+            rows = turn[at : at + BATCH]
             sizes = bounds[rows + 1] - bounds[rows]
             inner = np.concatenate([[0], np.cumsum(sizes)])
             flat = index[np.repeat(bounds[rows] - inner[:-1], sizes) + np.arange(inner[-1])]
             error = sigmoid(logits(machine, inner, flat)) - labels[rows]
             error /= len(rows)
-            used, place = np.unique(flat, return_inverse=True)
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+            used = flat[order][first]
             each = np.repeat(error, sizes)
             v = machine.factors[flat]
             s = np.repeat(_sums(v, inner), sizes, axis=0)
-            grad = np.bincount(place, weights=each, minlength=len(used))
+            grad = np.add.reduceat(each[order], first) if len(first) else each
             g_linear[used] += grad**2
             rate = RATE / np.sqrt(g_linear[used])
             moved = machine.linear[used] - rate * grad
             machine.linear[used] = np.sign(moved) * np.maximum(np.abs(moved) - rate * L1, 0)
             push = (each / np.repeat(np.maximum(sizes, 1), sizes))[:, None] * (s - v)
-            for f in range(RANK):
-                grad = np.bincount(place, weights=push[:, f], minlength=len(used)) + L2 * machine.factors[used, f]
-                g_factors[used, f] += grad**2
-                machine.factors[used, f] -= 0.25 * RATE * grad / np.sqrt(g_factors[used, f])
+            grad = (np.add.reduceat(push[order], first) if len(first) else push) + L2 * machine.factors[used]
+            g_factors[used] += grad**2
+            machine.factors[used] -= 0.25 * RATE * grad / np.sqrt(g_factors[used])
             g_bias += float(error.sum()) ** 2
             machine.bias -= RATE * float(error.sum()) / np.sqrt(g_bias)
     return Machine(machine.bias, machine.linear.astype(np.float32), machine.factors.astype(np.float32))
