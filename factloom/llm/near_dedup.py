@@ -11,13 +11,15 @@
    many documents share makes no long lists unless they consist of little else.
 3. A list's members are compared with its hub first, the member with the most values
    in other sketches (in a group of copies the original, or one close to it), then
-   with another one.  Links form components: a group of n copies costs n comparisons.
+   with another one; of its lists' hubs a document meets the one it shares most lists with.
+   Links form components: a group of n copies costs n comparisons.
    The union sketch of a pair (the K smallest of both) estimates its similarity and
    drops pairs that are far off.
 4. Lists that still hold several components are finished on full sets.  Within their
    documents each has c shingles that others have too; two sets of n and n' at the
    threshold share at least 3/7 (n + n'), so both must have c that large and meet in one
-   of the c - 3/4 n + 1 rarest shingles of each.  Most documents drop out by c alone.
+   of the c - 3/4 n + 1 rarest shingles of each; and at the first one they share, both must
+   still have that many to come.  Most documents drop out by c alone.
 5. Every candidate is verified on the words: 100 * shared >= 75 * union.
 
 Nothing is capped: every list is finished.  Links that are not compared lie within
@@ -141,11 +143,11 @@ def _ordered(x: str, y: str) -> list:
 
 def _rarest(rows: DataFrame, take, *keys: str) -> DataFrame:
     """Of the rows (value, *keys) the rarest of each key: values in two rows or more, as many as ``take``,
-    a number over ``common``, says.  Adds ``common``, the number of such values."""
+    a number over ``common``, says.  Adds ``common``, the number of such values, and ``place``, from 0, the rarest first."""
     lengths = settle(rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "lengths")
     listed = rows.join(lengths, "value").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("c"))
     listed = listed.withColumn("common", F.size("c")).withColumn("take", F.greatest(take, F.lit(0)).cast("int")).where("take > 0")
-    return listed.select(*keys, "common", F.explode(F.slice("c", F.lit(1), F.col("take"))).alias("c")).select(F.col("c.value").alias("value"), *keys, "common")
+    return listed.select(*keys, "common", F.posexplode(F.slice("c", F.lit(1), F.col("take"))).alias("place", "c")).select(F.col("c.value").alias("value"), *keys, "common", "place")
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     bits = classes.sparkSession.sparkContext.broadcast(bitmap(settle(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value"), "shared"), "value"))
     common = classes.select("rep", F.col("n_shingles").alias("n"), "sketch").mapInArrow(_common(bits), "value long, rep long, n long, m int")
     share = F.when(F.col("n") <= EXACT, F.ceil(F.col("m") * PERCENT / 100)).otherwise(LEAST)
-    return _rarest(common, F.col("common") - share + 1, "rep", "n", "m").drop("m")  # values in one sketch alone are rarer still: they use up the rest
+    return _rarest(common, F.col("common") - share + 1, "rep", "n", "m").drop("m", "place")  # values in one sketch alone are rarer still: they use up the rest
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,8 +174,8 @@ def _full_pairs(lists: DataFrame, docs: DataFrame) -> DataFrame:
     least = F.ceil(F.col("n") * PERCENT / 100)
     rare = _rarest(full, F.col("common") - least + 1, "rep", "n").join(members, "rep")
     rare = settle(rare, "rare")
-    other = rare.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "common", "component")))
-    enough = F.least("common", "common2") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2"))
+    other = rare.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "common", "component", "place")))
+    enough = F.least(F.col("common") - F.col("place"), F.col("common2") - F.col("place2")) * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2"))
     return rare.join(other, "value").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _near("n", "n2") & enough).select(*_ordered("rep", "rep2")).distinct()
 
 
@@ -193,7 +195,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         first = F.xxhash64(F.col("rep"), F.lit(turn)) if turn else -F.col("common")
         hub = F.min(F.struct(first, F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
         hubs = settle(lists.groupBy("value").agg(hub.alias("h")).select("value", "h.hub", "h.hub_n"), "hubs")
-        pairs = lists.join(hubs, "value").where((F.col("rep") != F.col("hub")) & _near("n", "hub_n")).select(*_ordered("rep", "hub")).distinct()
+        met = lists.join(hubs, "value").where((F.col("rep") != F.col("hub")) & _near("n", "hub_n")).groupBy("rep", "hub").agg(F.count("*").alias("lists"))
+        pairs = met.groupBy("rep").agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("hub")).select(*_ordered("rep", "hub")).distinct()
         links = links.union(_links(settle(pairs, "pairs"), docs, sketches))
         labels = components(links)
         lists = _open_lists(lists, labels)
