@@ -28,6 +28,7 @@ empty table gives an empty store; rows without a doc_id have no place in the ord
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,8 +41,10 @@ from factloom.llm import textkernel
 from factloom.llm.common import settle, texts
 
 BLOCK_IDS = 1 << 20
-#: Pieces that a worker keeps; more are encoded again.
-KEPT_PIECES = 600_000
+#: Pieces in each of the two generations that a worker keeps; older ones are encoded again.
+KEPT_PIECES = 200_000
+#: Code points encoded at a time; some ten arrays of them are in memory.
+SLICE_POINTS = 1 << 19
 _STORE = "part int, block int, documents int, first_doc long, width int, total long, low_bits int, ids binary, low binary, high binary, docs binary"
 
 
@@ -139,13 +142,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         form = self.tokenizer.pre_tokenizer
         self.whole = type(form).__name__ != "ByteLevel" or form.add_prefix_space or not form.use_regex or self.tokenizer.normalizer is not None
 
-    def _library(self, batch: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+    def _library(self, batch: list[str]) -> list[bytes]:
+        """Ids as native unsigned 32-bit integers."""
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the bounds of each text's."""
@@ -154,10 +159,25 @@ class Encoder:
         ids, bounds = self._pieces(plain)
         if not any(odd):
             return ids, bounds
-        parts, own = iter(np.split(ids, bounds[1:-1]) if plain else []), iter(self._library([t for t, o in zip(batch, odd, strict=True) if o]))
+        parts, own = iter(np.split(ids, bounds[1:-1]) if plain else []), (np.frombuffer(x, dtype=np.uint32) for x in self._library([t for t, o in zip(batch, odd, strict=True) if o]))
         found = [next(own) if o else next(parts) for o in odd]
         return np.concatenate(found), np.cumsum([0, *map(len, found)])
 
+    def _known(self, names: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces.  Pieces in use move to the young generation; when that is full it becomes the old one."""
+        each = [self.young.get(x) for x in names]
+        missing = [i for i, x in enumerate(each) if x is None]
+        new = [i for i in missing if names[i] not in self.old]
+        fresh = dict(zip(new, self._library([names[i].decode() for i in new]), strict=True))
+        if len(self.young) + len(missing) > KEPT_PIECES:
+            before, self.old, self.young = self.old, self.young, {}
+        else:
+            before = self.old
+        for i in missing:
+            each[i] = fresh[i] if i in fresh else before[names[i]]
+            self.young[names[i]] = each[i]
+        return each
+
     def _pieces(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer("".join(batch).encode(), dtype=np.uint8)
         points = np.frombuffer("".join(batch).encode("utf-32-le"), dtype=np.uint32)
@@ -171,27 +191,33 @@ class Encoder:
         hashes = textkernel.Words(raw, edge[:-1], edge[1:], firsts, firsts, 0).hashes()
         _, one, kind = np.unique(hashes, return_index=True, return_inverse=True)  # equal pieces of the batch
         flat = raw.tobytes()
-        names = [flat[a:b] for a, b in zip(edge[one].tolist(), edge[one + 1].tolist(), strict=True)]
-        new = [x for x in names if x not in self.known]
-        if len(self.known) + len(new) > KEPT_PIECES:
-            self.known.clear()
-            new = names
-        self.known.update(zip(new, self._library([x.decode() for x in new]), strict=True))
-        each = [self.known[x] for x in names]
-        size = np.array([len(x) for x in each])
-        pool, offset, count = np.concatenate(each), np.cumsum(size) - size, size[kind]
+        each = self._known([flat[a:b] for a, b in zip(edge[one].tolist(), edge[one + 1].tolist(), strict=True)])
+        size = np.array([len(x) // 4 for x in each])
+        pool, offset, count = np.frombuffer(b"".join(each), dtype=np.uint32), np.cumsum(size) - size, size[kind]
         end = np.cumsum(count)
         ids = pool[np.repeat(offset[kind] - (end - count), count) + np.arange(int(end[-1]))]
         return ids, np.concatenate([[0], end])[np.searchsorted(starts, firsts)]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker process keeps its encoder, and the pieces it knows, from task to task."""
+    return Encoder(path)
+
+
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
-            ids, bounds = encoder.encode(batch.column(1).to_pylist())
-            rows = [np.append(ids[a:b], end_id).astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array([zlib.crc32(x) for x in rows], pa.int64())], names=["doc_id", "ids", "crc"])
+            texts_, at = batch.column(1).to_pylist(), 0
+            while at < len(texts_):
+                to, held = at + 1, len(texts_[at])
+                while to < len(texts_) and held + len(texts_[to]) <= SLICE_POINTS:
+                    held, to = held + len(texts_[to]), to + 1
+                ids, bounds = encoder.encode(texts_[at:to])
+                rows = [np.append(ids[a:b], end_id).astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(rows, pa.binary()), pa.array([zlib.crc32(x) for x in rows], pa.int64())], names=["doc_id", "ids", "crc"])
+                at = to
 
     return run
 
@@ -206,29 +232,33 @@ def pack(part: int, block: int, docs: list[int], rows: list[bytes]) -> dict:
     return {"part": part, "block": block, "documents": len(rows), "first_doc": int(known[0]), "width": width, "total": len(ids), "low_bits": low_bits, "ids": ids.astype("<u2").tobytes() if width == 2 else ids.tobytes(), "low": low, "high": high, "docs": zlib.compress(step.astype("<i8").tobytes(), 1)}
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(block_ids: int):
     """Pack the sorted documents of a partition, a block as soon as it is full."""
-    part, block, docs, rows, held = 0, 0, [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        one = pack(part, block, docs, rows)
-        kinds = {"part": pa.int32(), "block": pa.int32(), "documents": pa.int32(), "first_doc": pa.int64(), "width": pa.int32(), "total": pa.int64(), "low_bits": pa.int32()}
-        return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in one.items()], names=list(one))
-
-    for batch in batches:
-        for p, d, x in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            if rows and (held + len(x) // 4 > BLOCK_IDS or p != part):
-                yield flush()
-                block, docs, rows, held = (block + 1 if p == part else 0), [], [], 0
-            part = p
-            docs.append(d)
-            rows.append(x)
-            held += len(x) // 4
-    if rows:
-        yield flush()
-
-
-def write_store(documents: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, docs, rows, held = 0, 0, [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            one = pack(part, block, docs, rows)
+            kinds = {"part": pa.int32(), "block": pa.int32(), "documents": pa.int32(), "first_doc": pa.int64(), "width": pa.int32(), "total": pa.int64(), "low_bits": pa.int32()}
+            return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in one.items()], names=list(one))
+
+        for batch in batches:
+            for p, d, x in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if rows and (held + len(x) // 4 > block_ids or p != part):
+                    yield flush()
+                    block, docs, rows, held = (block + 1 if p == part else 0), [], [], 0
+                part = p
+                docs.append(d)
+                rows.append(x)
+                held += len(x) // 4
+        if rows:
+            yield flush()
+
+    return run
+
+
+def write_store(documents: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Tokenise every text, append ``end_id`` and write the store in ascending doc_id
     order; returns the store as read back.  Parts are ranges of doc_ids, of near equal
     numbers of documents; only the encoded ids are shuffled to them."""
@@ -241,7 +271,7 @@ def write_store(documents: DataFrame, tokenizer: str, end_id: int = 0, id_col: s
     # The part is a function of doc_id alone, so a task that runs again gets the same rows.
     part = F.expr(f"int(aggregate(array({','.join(f'{c}L' for c in cuts)}), 0, (n, c) -> n + IF(doc_id > c, 1, 0)))") if cuts else F.lit(0)
     spread = encoded.withColumn("part", part).repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "doc_id", "crc")
-    store = spread.select("part", "doc_id", "ids").mapInArrow(_blocks, _STORE)
+    store = spread.select("part", "doc_id", "ids").mapInArrow(_blocks(block_ids), _STORE)
     if path is None:
         return settle(store, "tokens")
     store.write.parquet(path)
