@@ -144,4 +144,4 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -
     """The documents that hold no test item, with all their columns.  Contaminated ids are few
     against the corpus and joined away on doc_id; a null doc_id is compared like any other value."""
     bad = contained_items(documents, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return documents.join(bad, documents["doc_id"].cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    return documents.join(bad, documents["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti")

@@ -212,5 +212,6 @@ def remove_near_duplicates(documents: DataFrame) -> DataFrame:
     """The documents with one of each component left, all columns kept; of rows
     with one doc_id one stays.  Rows without a doc_id cannot be told apart and stay."""
     keep = near_duplicates(documents).where("kept").select(F.col("doc_id").alias("keep_id")).distinct()
-    known = documents.where("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("keep_id"), "left_semi").dropDuplicates(["doc_id"])
+    known = documents.where("doc_id IS NOT NULL")
+    known = known.join(keep, known["doc_id"] == keep["keep_id"], "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(documents.where("doc_id IS NULL"))

@@ -42,7 +42,7 @@ def corpus():
 
 def frame(spark, rows, **extra):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for name in ("value", "rep", "key", "a", "doc"):
+    for name in ("value", "rep", "key", "a", "doc", "keep_id", "bad_id"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
