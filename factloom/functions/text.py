@@ -83,7 +83,7 @@ def contains_term(span: Column | str, term: Column | str, whole_words: bool = Fa
     filled = (s != "") & (t != "")
     if not whole_words:
         return filled & F.contains(s, t)
-    return filled & s.rlike(F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b")))
+    return filled & F.rlike(s, F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b")))
 
 
 def readable_size(size: Column | str) -> Column:
