@@ -8,9 +8,10 @@ forward recursion in log space:
 
     alpha[j] = logsumexp over edges (i, j) of alpha[i] + score(piece)
 
-Training words are edges too, each spanning its own word with its relative frequency
-as weight; the share of such edges is one minus the part of training tokens seen only
-once (Good-Turing's estimate of unseen words), and ``whole_words=False`` leaves them out.
+The score is that of the pieces alone.  ``whole_words=True`` gives another model: training
+words are edges too, each spanning its own word with its relative frequency as weight; the
+share of such edges is one minus the part of training tokens seen only once (Good-Turing's
+estimate of unseen words), so they take most of a known word's probability.
 
 No piece crosses a word start, so a text's log probability is the sum over its words
 plus that of the end symbol.  A character without a piece of its own is spelled in
@@ -255,7 +256,7 @@ def fit_scores(words: DataFrame, ends: int, vocabulary: Vocabulary, rounds: int
     return scores
 
 
-def score_documents(documents: DataFrame, vocabulary: Vocabulary, trains: Column, scores: Scores | None = None, whole_words: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(documents: DataFrame, vocabulary: Vocabulary, trains: Column, scores: Scores | None = None, whole_words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed word unigram) and
     score, the lattice model's log10 probability.  ``trains`` is a condition on doc_id; scores are fitted unless given."""
     spark = documents.sparkSession

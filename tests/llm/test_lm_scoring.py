@@ -69,6 +69,15 @@ def test_documents(spark, monkeypatch):
     assert all(r.score < 0 and math.isfinite(r.score) for r in out)
 
 
+def test_score_is_the_lattice_of_pieces_alone(spark):
+    """Words of the training texts, too, have the sum over their segmentations and nothing else."""
+    rows, s = [(0, "ab ab CA"), (2, "abab ca"), (3, "é")], scores(len(PIECES))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_documents(df, lm.Vocabulary.of(PIECES), trains=F.lit(True), scores=s).collect()}
+    want = {i: (sum(brute(w, PIECES, s) for w in t.lower().split()) + s.end) / math.log(10) for i, t in rows}
+    assert got == pytest.approx(want)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_documents(df, lm.Vocabulary.of(PIECES), trains=fold("doc_id") != 1).collect() == []
