@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel
-from factloom.llm.common import texts, union_all
+from factloom.llm.common import batches, settle, texts, union_all
 
 SHINGLE, THRESHOLD = 5, 0.75
 BLOCK_SHINGLES = 500_000
@@ -112,6 +112,18 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
     yield block
 
 
+def _held(column: pa.Array, index: Index, threshold: float, shingle: int) -> Iterator[tuple[int, int, int]]:
+    """(row, item, shared) where the row's text holds at least ``threshold`` of the item's shingles; rows ascend."""
+    last, own = -1, set()
+    for row, item in probe(column, index, shingle):
+        if row != last:
+            last, own = row, textkernel.shingle_set(column[row].as_py(), shingle)
+        want = index.shingles[item]
+        shared = len(want & own)
+        if shared >= threshold * len(want) - 1e-9:
+            yield row, item, shared
+
+
 def contained_items(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, item_shingles, shared, containment) of every document that holds at least ``threshold`` of an item's shingles."""
     docs = texts(documents, id_col, text_col)
@@ -120,18 +132,13 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, threshold: float
     for block in item_blocks(benchmark, item_col, item_text_col):
         shared_index = context.broadcast(build_index(block, threshold, shingle))
 
-        def search(batches: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
+        def search(parts: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
             index = shared_index.value
-            for batch in batches:
+            for batch in parts:
                 rows = []
-                column, last, own = batch.column(1), -1, set()
-                for row, item in probe(column, index, shingle):
-                    if row != last:
-                        last, own = row, textkernel.shingle_set(column[row].as_py(), shingle)
-                    want = index.shingles[item]
-                    shared = len(want & own)
-                    if shared >= threshold * len(want) - 1e-9:
-                        rows.append((batch.column(0)[row].as_py(), index.item_ids[item], len(want), shared, shared / len(want)))
+                for row, item, shared in _held(batch.column(1), index, threshold, shingle):
+                    n = len(index.shingles[item])
+                    rows.append((batch.column(0)[row].as_py(), index.item_ids[item], n, shared, shared / n))
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.float64())], names=["doc_id", "item_id", "item_shingles", "shared", "containment"])
@@ -140,8 +147,23 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, threshold: float
     return union_all(found)
 
 
-def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no test item, with all their columns.  Contaminated ids are few
-    against the corpus and joined away on doc_id; a null doc_id is compared like any other value."""
-    bad = contained_items(documents, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return documents.join(bad, documents["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti")
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows whose own text holds no test item, with all their columns, judged where they lie: nothing is
+    shuffled, and null or repeated ids take no other row along.  What a block of items leaves is settled
+    before the next one, so a task has one block in memory."""
+    batches(documents.sparkSession)
+    context = documents.sparkSession.sparkContext
+    at = documents.columns.index(text_col)
+    left = documents
+    for turn, block in enumerate(item_blocks(benchmark, item_col, item_text_col)):
+        shared_index = context.broadcast(build_index(block, threshold, shingle))
+
+        def clean(parts: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
+            index = shared_index.value
+            for part in parts:
+                keep = np.ones(part.num_rows, dtype=bool)
+                keep[[row for row, _, _ in _held(part.column(at).fill_null(""), index, threshold, shingle)]] = False
+                yield part.filter(pa.array(keep))
+
+        left = (settle(left, "clean") if turn else left).mapInArrow(clean, documents.schema)
+    return left

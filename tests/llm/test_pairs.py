@@ -142,6 +142,17 @@ def test_clean_documents_stay(spark):
     assert decontamination.remove_contaminated(frame(spark, docs), empty).count() == 4
 
 
+def test_only_contaminated_rows_go(spark, monkeypatch):
+    """A contaminated row takes no other row of its id along, null or repeated."""
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "a b c d e f g")], "item_id long, text string")
+    docs = [(None, "x one two three four five six y"), (None, "clean"), (None, None), (None, ""), (1, "a b c d e f g"), (1, "other"), (2, None)]
+    want = [(-1, ""), (-1, "-"), (-1, "clean"), (1, "other"), (2, "-")]
+    left = lambda: sorted((-1 if r.doc_id is None else r.doc_id, "-" if r.text is None else r.text) for r in decontamination.remove_contaminated(frame(spark, docs), items).collect())
+    assert left() == want
+    monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", 6)
+    assert left() == want
+
+
 def expected_repeats(rows, window=13):
     first = {}
     split = [(i, (t or "").encode().split()) for i, t in rows]
