@@ -9,7 +9,8 @@ at sign; the lexical pattern before it is the word to its left (lower-cased, dig
 9) or the label it carries itself (``id=``, ``tel:``).  Patterns and the identifiers they
 precede form a bipartite graph, scored in rounds: a pattern's confidence in a kind is
 the part of its distinct identifiers' confidence in that kind; an identifier's is the
-noisy-or over its patterns'; seeds stay at 1.  A pattern counts only with SUPPORT
+noisy-or over its patterns'; seeds stay at 1, and identifiers found in one round lend
+trust to patterns without a seed in the next.  A pattern counts only with SUPPORT
 distinct identifiers or more, if its identifiers are mostly of one kind, and if most
 occurrences of its word in the whole corpus precede an identifier: a word such as
 "the" is no pattern however many addresses follow it.  Identifiers after a pattern
@@ -43,6 +44,8 @@ FORMS = {
 IDENTIFIER = rf"(?<!{_WORD}){_WORD}*[0-9@]{_WORD}*"
 LABEL = r"^([A-Za-z][A-Za-z_.-]*[=:])(?=.)"
 ROUNDS, SUPPORT, PRECISION, SPECIFIC = 3, 3, 0.5, 0.5
+#: Most patterns that are broadcast (about 100 bytes each); beyond, all words are counted.
+BROADCAST_PATTERNS = 200_000
 
 
 def _matches(text: str, form: str) -> Column:
@@ -109,23 +112,25 @@ def confident_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(pattern, kind_no) of the patterns that are confident in a kind after the last round.
     ``found`` has (pattern, labelled, value, seed: kind_no or null), a row for each identifier in the corpus."""
     edges = settle(found.where("pattern <> '' AND value <> ''").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max("labelled").alias("labelled")), "edges")
-    support = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.count("seed").alias("seeds"), F.sum("n").alias("before"), F.max("labelled").alias("labelled"))
-    support = settle(support.where((F.col("values") >= SUPPORT) & (F.col("seeds") > 0)), "support")
+    support = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("before"), F.max("labelled").alias("labelled"))
+    support = settle(support.where(F.col("values") >= SUPPORT), "support")
     words = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).select(F.regexp_replace("word", "[0-9]", "9").alias("pattern"))
-    asked = support.where("NOT labelled").select("pattern")
-    everywhere = words.join(asked, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("all"))
-    specific = support.join(everywhere, "pattern", "left").where(F.col("before") >= SPECIFIC * F.coalesce(F.col("all"), F.col("before"))).select("pattern")
+    if support.count() <= BROADCAST_PATTERNS:
+        words = words.join(F.broadcast(support.where("NOT labelled").select("pattern")), "pattern", "left_semi")
+    everywhere = words.groupBy("pattern").agg(F.count("*").alias("all"))
+    occurs = F.coalesce(F.when(~F.col("labelled"), F.col("all")), F.col("before"))
+    specific = support.join(everywhere, "pattern", "left").where(F.col("before") >= SPECIFIC * occurs).select("pattern")
     edges = settle(edges.join(settle(specific, "specific"), "pattern").select("pattern", "value", "seed"), "graph")
-    instances = edges.where("seed IS NOT NULL").groupBy("value").agg(F.max("seed").alias("kind_no")).withColumn("trust", F.lit(1.0))
-    patterns = None
+    seeds = settle(edges.where("seed IS NOT NULL").groupBy("value").agg(F.max("seed").alias("kind_no")).withColumn("trust", F.lit(1.0)), "seeds")
+    instances, patterns = seeds, None
     for _ in range(ROUNDS):
         held = edges.join(instances, "value", "left").groupBy("pattern", "kind_no").agg(F.sum(F.coalesce("trust", F.lit(0.0))).alias("trust"), F.count("*").alias("n"))
         totals = held.groupBy("pattern").agg(F.sum("n").alias("total"), F.max(F.struct("trust", "kind_no")).alias("best"))
         patterns = totals.select("pattern", F.col("best.kind_no").alias("kind_no"), (F.col("best.trust") / F.col("total")).alias("confidence"))
         patterns = settle(patterns.where((F.col("confidence") >= PRECISION) & F.col("kind_no").isNotNull()), "patterns")
-        scored = edges.join(patterns, "pattern").groupBy("value", "kind_no").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("trust"), F.max("seed").alias("seed"))
-        best = scored.groupBy("value").agg(F.max(F.struct("trust", "kind_no")).alias("best"), F.max("seed").alias("seed"))
-        instances = settle(best.select("value", F.coalesce("seed", "best.kind_no").alias("kind_no"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.greatest(F.col("best.trust"), F.lit(0.0))).alias("trust")), "instances")
+        scored = edges.join(patterns, "pattern").groupBy("value", "kind_no").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("trust"))
+        best = scored.join(seeds, "value", "left_anti").groupBy("value").agg(F.max(F.struct("trust", "kind_no")).alias("best"))
+        instances = settle(seeds.unionByName(best.select("value", "best.kind_no", F.greatest("best.trust", F.lit(0.0)).alias("trust"))), "instances")
     return patterns.select("pattern", "kind_no")
 
 

@@ -327,6 +327,19 @@ def test_patterns_find_unseen_identifiers(spark):
     assert sum(r.n_found for r in got.values()) == 1  # "the" and "version" are no patterns
 
 
+def test_patterns_without_seeds_are_reached_in_two_hops(spark, monkeypatch):
+    """"helpdesk:" precedes discovered identifiers only; it is scored by what "hotline:" found."""
+    rows = [(i, f"word hotline: +1 555 010 {1000 + i} word") for i in range(30)]
+    rows += [(100 + i, f"word hotline: 0800-CALL-{i} word") for i in (42, 43)]
+    rows += [(200 + i, f"word helpdesk: 0800-CALL-{i} word") for i in (42, 43, 44)]
+    rows += [(300 + i, f"word version 7.{i} word") for i in range(5)]
+    found = lambda: {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, rows)).where("n_found > 0").collect()}
+    want = {100 + i: "phone:14:26" for i in (42, 43)} | {200 + i: "phone:15:27" for i in (42, 43, 44)}
+    assert found() == want
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
+    assert found() == want
+
+
 def test_personal_data_of_nothing(spark):
     assert pii.find_personal_data(frame(spark, [])).count() == 0
 
