@@ -49,12 +49,13 @@ BROADCAST_PATTERNS = 200_000
 
 
 def _matches(text: str, form: str) -> Column:
-    """Matches as (start, end, found): each match's place is the length of all pieces and matches before it."""
+    """Matches as (start, end, found, before): each match's place is the length of all pieces and matches before it;
+    ``before`` is the last match and the piece after it."""
     found = F.regexp_extract_all(text, F.lit(form), F.lit(0))
     both = F.filter(F.arrays_zip(F.split(text, form, -1).alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
     start = lambda acc, x: acc["at"] + F.length(x["gap"])
-    step = lambda acc, x: F.struct((start(acc, x) + F.length(x["found"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["found"])).alias("end"), x["found"].alias("found"), x["gap"].alias("gap")))).alias("out"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,gap:string>>").alias("out"))
+    step = lambda acc, x: F.struct((start(acc, x) + F.length(x["found"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["found"])).alias("end"), x["found"].alias("found"), F.concat(acc["last"], x["gap"]).alias("before")))).alias("out"), x["found"].alias("last"))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,before:string>>").alias("out"), F.lit("").alias("last"))
     return F.aggregate(both, first, step, lambda acc: acc["out"])
 
 
@@ -100,7 +101,7 @@ def identifiers(text: str) -> Column:
         lead = F.length(F.regexp_extract(body, r"^[^\p{L}0-9+@]*", 0))
         value = F.regexp_replace(body, r"^[^\p{L}0-9+@]+|[^\p{L}0-9]+$", "")
         start = m["start"] + F.length(label) + lead
-        left = F.regexp_extract(m["gap"], rf"({_WORD}+)[\x20\x09-\x0D]*$", 1)
+        left = F.regexp_extract(m["before"], rf"(?<!{_WORD})({_WORD}++)[\x20\x09-\x0D]*+$", 1)
         pattern = F.regexp_replace(F.lower(F.when(label != "", label).otherwise(left)), "[0-9]", "9")
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), pattern.alias("pattern"), (label != "").alias("labelled"))
 

@@ -340,6 +340,14 @@ def test_patterns_without_seeds_are_reached_in_two_hops(spark, monkeypatch):
     assert found() == want
 
 
+def test_context_words_may_hold_digits(spark):
+    """"Line2:" is a pattern, and so is a word that is an identifier itself."""
+    rows = [(i, f"word Line{i % 10}: +1 555 010 {1000 + i} word") for i in range(30)]
+    rows += [(100, "word line7: 0800-CALL-42 word"), (101, "7 " + "x" * 60_000 + " b 5 " + "7" * 60_000 + " b 5")]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, rows)).where("n_found > 0").collect()}
+    assert got == {100: "phone:12:24"}
+
+
 def test_personal_data_of_nothing(spark):
     assert pii.find_personal_data(frame(spark, [])).count() == 0
 
