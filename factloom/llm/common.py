@@ -1,74 +1,32 @@
-"""What the corpus operators share: settled tables, input columns, components."""
+"""What the corpus operators share: input columns, joins with hot keys, components, bitmaps."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch: bounds a Python worker's memory also for very long texts.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+from factloom.plans.workspace import BATCH_BYTES, BATCH_ROWS, settle
 
 #: Largest bitmap, 32 MB; bits for each value where there is room.
 MOST_BITS, BITS_EACH = 28, 16
 
-_workspaces: dict[str, str] = {}
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="factloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def _workspace(spark: SparkSession) -> str:
-    """A folder of this session inside the shared one, removed when Python ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _workspaces:
-        path = f"{shared_dir(spark).rstrip('/')}/factloom-{app}-{uuid.uuid4().hex[:8]}"
-        _workspaces[app] = path
-        atexit.register(_remove, spark, path)
-    return _workspaces[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, and
-    what is read later survives the loss of any executor.  Parquet keeps it smaller
-    than a checkpoint of rows."""
-    spark = df.sparkSession
-    path = f"{_workspace(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small; they are sent to Python workers whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most BATCH_ROWS rows and about BATCH_BYTES bytes: what Python makes of
+    a batch stays small whatever the session's batch size is."""
+    for batch in batches:
+        rows = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id, as ``doc_id`` long, and the text, null as empty: extra columns, whatever their names, stay out."""
-    batches(documents.sparkSession)
     return documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
@@ -124,6 +82,22 @@ def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
 
+#: A key with more than one in HOT_PARTS of all rows is hot; there are fewer than HOT_PARTS of them.
+HOT_PARTS = 1000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Left join of rows with a table of one row for each key and, under ``count``, the number of rows that have it.
+    Hot keys, fewer than HOT_PARTS, are broadcast, so their rows stay where they lie; all others are joined by shuffle."""
+    values = [c for c in table.columns if c not in (key, count)]
+    hot = table.where(F.col(count) * HOT_PARTS > total).drop(count)
+    if not hot.limit(1).count():
+        return rows.join(table.drop(count), key, "left")
+    at = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    rest = at.where("_hot IS NULL").drop("_hot", *values).join(table.where(F.col(count) * HOT_PARTS <= total).drop(count), key, "left")
+    return at.where("_hot").drop("_hot").unionByName(rest)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases now: it does so for plans that
     nothing refers to any more, which it learns from the driver's garbage collection."""

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel
-from factloom.llm.common import batches, settle, texts, union_all
+from factloom.llm.common import settle, sliced, texts, union_all
 
 SHINGLE, THRESHOLD = 5, 0.75
 BLOCK_SHINGLES = 500_000
@@ -134,7 +134,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, threshold: float
 
         def search(parts: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
             index = shared_index.value
-            for batch in parts:
+            for batch in sliced(parts):
                 rows = []
                 for row, item, shared in _held(batch.column(1), index, threshold, shingle):
                     n = len(index.shingles[item])
@@ -151,7 +151,6 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: f
     """The rows whose own text holds no test item, with all their columns, judged where they lie: nothing is
     shuffled, and null or repeated ids take no other row along.  What a block of items leaves is settled
     before the next one, so a task has one block in memory."""
-    batches(documents.sparkSession)
     context = documents.sparkSession.sparkContext
     at = documents.columns.index(text_col)
     left = documents
@@ -160,7 +159,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: f
 
         def clean(parts: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
             index = shared_index.value
-            for part in parts:
+            for part in sliced(parts):
                 keep = np.ones(part.num_rows, dtype=bool)
                 keep[[row for row, _, _ in _held(part.column(at).fill_null(""), index, threshold, shingle)]] = False
                 yield part.filter(pa.array(keep))

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import settle, texts
+from factloom.llm.common import settle, sliced, texts
 
 MARK = "▁"
 FREQUENT, FREQUENT_BYTES = 1 << 18, 64
@@ -293,7 +293,7 @@ def score_documents(documents: DataFrame, vocabulary: Vocabulary, trains: Column
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with what the table knows of it, and a row for each other word in it."""
         place, lp, base, known = table.value
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 raw = text.as_py().encode().lower()

@@ -2,7 +2,7 @@
 
 1. Every document's set of five-word shingles is hashed once; the K smallest
    values are its sketch, the whole set if it has no more.  Documents of one word
-   sequence form a class and go on as one representative.
+   sequence form a class and go on as one, under a number of the class's own.
 2. Inverted lists: a sketch of m values of which a partner must share at least c
    has its partner in the list of one of its m - c + 1 rarest values.  For sets of
    at most EXACT shingles c follows from the threshold and holds always; for larger
@@ -26,9 +26,10 @@ Nothing is capped: every list is finished.  Links that are not compared lie with
 a component already found, so components are those of all links.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; fewer than five are one shingle.
-Defined cases: documents without words, or with null text, are their own component;
-a repeated doc_id is one node per text; ties go to the smallest doc_id; an empty
-table gives an empty result; other columns are not looked at.
+Defined cases: documents without words, or with null text, are linked with nothing;
+rows are told apart by their texts, so a doc_id with several texts is several nodes, and rows
+without a doc_id take part; component_id is the smallest doc_id in the component, null where
+it has none; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -42,29 +43,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel
-from factloom.llm.common import bitmap, components, in_bitmap, release, settle, texts
+from factloom.llm.common import bitmap, components, in_bitmap, join_by_key, release, settle, texts
 
 SHINGLE, PERCENT = 5, 75
 #: Sketch length; most shingles for which the bound is certain; least shared values otherwise.
 K, EXACT, LEAST = 64, 48, 24
 HUB_ROUNDS = 2
+#: Most rows to remove whose two hashes are broadcast (some 60 bytes each).
+BROADCAST_ROWS = 500_000
 _SIGN = np.uint64(1 << 63)
 
 
+def _key(raw: bytes) -> bytes:
+    """Tells word sequences apart; ``raw`` is lower-cased."""
+    return hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest()
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, number of shingles, key of the word sequence and sketch.  Hash values
+    """The columns but the text, number of shingles, key of the word sequence and sketch.  Hash values
     are shifted to signed longs in the same order."""
     for batch in batches:
         count, key, sketch = [], [], []
-        for w in textkernel.words(batch.column(1), lower=True):
+        for w in textkernel.words(batch.column("text"), lower=True):
             for i, h in enumerate(textkernel.document_shingles(w, w.hashes(), SHINGLE)):
                 count.append(len(h))
                 sketch.append((h[:K] ^ _SIGN).view(np.int64))
-                raw = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes()
-                key.append(hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest())
+                key.append(_key(w.data[w.offsets[i] : w.offsets[i + 1]].tobytes()))
         bounds = np.cumsum([0, *map(len, sketch)], dtype=np.int32)
         values = pa.array(np.concatenate(sketch) if sketch else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), values)], names=["doc_id", "n_shingles", "key", "sketch"])
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(count, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), values)], names=[*names, "n_shingles", "key", "sketch"])
+
+
+def _first_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the keys of their word sequences, each sequence once for a task."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        found = [_key(t.as_py().encode().lower()) for t in batch.column(0)]
+        new = []
+        for i, k in enumerate(found):
+            if k not in seen:
+                seen.add(k)
+                new.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in new], pa.binary()), batch.column(0).take(pa.array(new, pa.int64()))], names=["key", "text"])
 
 
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,19 +136,25 @@ def _common(bits):
 
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for w in textkernel.words(batch.column(1), lower=True):
+        ids = batch.column("rep").to_numpy(zero_copy_only=False)
+        for w in textkernel.words(batch.column("text"), lower=True):
             for i, h in enumerate(textkernel.document_shingles(w, w.hashes(), SHINGLE)):
                 yield pa.RecordBatch.from_arrays([pa.array((h ^ _SIGN).view(np.int64)), pa.array(np.full(len(h), ids[w.first + i])), pa.array(np.full(len(h), len(h)))], names=["value", "rep", "n"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+def _texts_of(reps: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, text): a text of each of the classes, settled.  Documents are picked by a doc_id of the class, then by their words."""
+    wanted = settle(classes.select("rep", "key", "doc").join(reps.select("rep"), "rep", "left_semi"), "wanted")
+    near = docs.join(wanted.select("doc").distinct(), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi").select("text")
+    return settle(near.mapInArrow(_first_texts, "key binary, text string").join(wanted.select("key", "rep"), "key").select("rep", "text"), "texts")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) of representatives that are links, settled; estimated first where sketches are given."""
     likely = pairs
     if sketches is not None:
         likely = settle(pairs.join(sketches.toDF("b", "sb"), "b").join(sketches.toDF("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_estimate, "a long, b long"), "likely")
-    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    text = settle(docs.join(wanted, "doc_id", "left_semi"), "wanted")
+    text = _texts_of(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), docs, classes)
     found = likely.join(text.toDF("b", "tb"), "b").join(text.toDF("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
     return settle(found.distinct(), "links")
 
@@ -166,11 +193,10 @@ def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return settle(lists.join(settle(several, "open"), "value"), "lists")
 
 
-def _full_pairs(lists: DataFrame, docs: DataFrame) -> DataFrame:
+def _full_pairs(lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of different components in the open lists, on full sets of shingles."""
     members = settle(lists.select("rep", "component").distinct(), "members")
-    text = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    full = settle(text.mapInArrow(_all_shingles, "value long, rep long, n long"), "full")
+    full = settle(_texts_of(members, docs, classes).mapInArrow(_all_shingles, "value long, rep long, n long"), "full")
     least = F.ceil(F.col("n") * PERCENT / 100)
     rare = _rarest(full, F.col("common") - least + 1, "rep", "n").join(members, "rep")
     rare = settle(rare, "rare")
@@ -179,39 +205,65 @@ def _full_pairs(lists: DataFrame, docs: DataFrame) -> DataFrame:
     return rare.join(other, "value").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _near("n", "n2") & enough).select(*_ordered("rep", "rep2")).distinct()
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, or its own) and kept."""
-    docs = texts(documents, id_col, text_col)
-    rows = settle(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, key binary, sketch array<long>"), "sketches")
-    classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = settle(classes, "classes")
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` has doc_id, text and more.  Returns its rows without the text, with n_shingles, rep (the class; null
+    without words) and doc (the class's smallest doc_id); the classes; and the component of every class with a link."""
+    more = "".join(f"{c} {t}, " for c, t in docs.dtypes if c != "text")
+    rows = settle(docs.mapInArrow(_sketches, f"{more}n_shingles long, key binary, sketch array<long>"), "sketches")
+    classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    members = settle(join_by_key(rows.drop("sketch"), classes.select("key", "rep", "doc", "members"), "key", "members", rows.count()).drop("key"), "members")
     lists = settle(inverted_lists(classes), "lists")
-    members = rows.select("doc_id", "n_shingles", "key").join(classes.select("key", "rep"), "key", "left")
-    members = settle(members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    twice = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
-    links = members.join(twice, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()  # texts under one doc_id
     sketches = classes.select("rep", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")))
+    links = None
     for turn in range(HUB_ROUNDS):
         first = F.xxhash64(F.col("rep"), F.lit(turn)) if turn else -F.col("common")
         hub = F.min(F.struct(first, F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
         hubs = settle(lists.groupBy("value").agg(hub.alias("h")).select("value", "h.hub", "h.hub_n"), "hubs")
         met = lists.join(hubs, "value").where((F.col("rep") != F.col("hub")) & _near("n", "hub_n")).groupBy("rep", "hub").agg(F.count("*").alias("lists"))
         pairs = met.groupBy("rep").agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("hub")).select(*_ordered("rep", "hub")).distinct()
-        links = links.union(_links(settle(pairs, "pairs"), docs, sketches))
+        found = _links(settle(pairs, "pairs"), docs, classes, sketches)
+        links = found if links is None else links.union(found)
         labels = components(links)
         lists = _open_lists(lists, labels)
-        release(documents.sparkSession)
-    found = _links(settle(_full_pairs(lists, docs), "pairs"), docs)
+        release(docs.sparkSession)
+    found = _links(settle(_full_pairs(lists, docs, classes), "pairs"), docs, classes)
     if found.limit(1).count():
         labels = components(links.union(found))
-    out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return members, classes, labels.withColumnRenamed("node", "rep")
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, or its own) and kept."""
+    members, classes, labels = _grouped(texts(documents, id_col, text_col))
+    least = labels.join(classes.select("rep", "doc"), "rep").groupBy("component").agg(F.min("doc").alias("least"))
+    linked = settle(labels.join(least, "component").select("rep", "least", F.lit(True).alias("linked")), "linked")
+    out = members.join(linked, "rep", "left")
+    component_id = F.when(F.col("linked"), F.col("least")).when(F.col("rep").isNotNull(), F.col("doc")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _whole_row(documents: DataFrame) -> list:
+    """Two hashes of a row's columns, 128 bits: equal rows have equal ones.  Maps and variants are left out."""
+    named = [F.col(f"`{f.name}`") for f in documents.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return [F.xxhash64(F.lit(seed), *named).alias(f"__row_{seed}") for seed in (1, 2)]
 
 
 def remove_near_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents with one of each component left, all columns kept; of rows
-    with one doc_id one stays.  Rows without a doc_id cannot be told apart and stay."""
-    keep = near_duplicates(documents).where("kept").select(F.col("doc_id").alias("keep_id")).distinct()
-    known = documents.where("doc_id IS NOT NULL")
-    known = known.join(keep, known["doc_id"] == keep["keep_id"], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(documents.where("doc_id IS NULL"))
+    """The documents with one row of each component left, all columns kept: the one with the smallest doc_id (null
+    last), ties by a hash of the row; of equal rows one.  Rows without words all stay.  Rows that go are found by hashes
+    of themselves; up to BROADCAST_ROWS of them are broadcast, so that texts stay where they lie."""
+    row = ["__row_1", "__row_2"]
+    keyed = documents.select("*", *_whole_row(documents))
+    members, _, labels = _grouped(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row))
+    grouped = members.where("rep IS NOT NULL").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *row)).alias("f")).select(*(F.col(f"f.{c}") for c in row), F.lit(True).alias("first"))
+    rows = grouped.groupBy(*row).agg(F.count("*").alias("n")).join(first, row, "left")
+    rows = settle(rows.where("first IS NULL OR n > 1").select(*row, (F.col("first").isNotNull()).alias("twin")), "repeated")
+    small = rows.count() <= BROADCAST_ROWS
+    repeated = F.broadcast(rows) if small else rows
+    left = keyed.join(repeated.select(*row), row, "left_anti")
+    if rows.where("twin").limit(1).count():
+        twins = keyed.join(repeated.where("twin").select(*row), row, "left_semi")
+        left = left.unionByName(twins.dropDuplicates(row))
+    return left.drop(*row)

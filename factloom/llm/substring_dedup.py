@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel
-from factloom.llm.common import bitmap, in_bitmap, release, settle, texts
+from factloom.llm.common import bitmap, in_bitmap, settle, sliced, texts
 
 WINDOW, SEED = 13, 5
 
@@ -91,7 +91,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, tag, n_words and the hash of all words, joined."""
-    for batch in batches:
+    for batch in sliced(batches):
         n, tag, sha = [], [], []
         for text in batch.column(1):
             found = text.as_py().encode().split()

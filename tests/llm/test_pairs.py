@@ -48,44 +48,61 @@ def frame(spark, rows, **extra):
 
 
 def expected_components(rows):
-    """Union of links between any two texts, and of texts under one doc_id."""
-    nodes = [(i, shingle_set(t, 5)) for i, t in rows if i is not None]
-    parent = {i: i for i, _ in nodes}
+    """For each row the rows that links between any two texts reach."""
+    sets = [shingle_set(t, 5) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for k, (i, s) in enumerate(nodes):
-        for j, r in nodes[:k]:
+    for k, s in enumerate(sets):
+        for j, r in enumerate(sets[:k]):
             both = len(s & r)
             if both and 100 * both >= 75 * (len(s) + len(r) - both):
-                a, b = sorted((find(i), find(j)))
+                a, b = sorted((find(k), find(j)))
                 parent[b] = a
-    return {i: find(i) for i in parent}
+    return [find(k) for k in range(len(rows))]
+
+
+def smallest_ids(rows):
+    """component_id of each row."""
+    found, least = expected_components(rows), {}
+    for (i, _), c in zip(rows, found, strict=True):
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    return [least[c] for c in found]
 
 
 def test_near_duplicates(spark, corpus):
     got = near_dedup.near_duplicates(frame(spark, corpus)).collect()
-    assert len(got) == len(corpus)
-    want = expected_components(corpus)
-    for r in got:
-        if r.doc_id is not None:
-            assert r.component_id == want[r.doc_id], r
-            assert r.kept == (r.doc_id == r.component_id)
-        else:
-            assert not r.kept
-    sizes = sorted(len(shingle_set(t, 5)) for _, t in corpus)
-    assert sorted(r.n_shingles for r in got) == sizes
-    assert len({want[i] for i in want}) < len(want) - 30
-
-
-def test_one_of_each_group_stays(spark, corpus):
-    rows = [r for r in corpus if r[0] is not None]
-    kept = near_dedup.remove_near_duplicates(frame(spark, rows)).collect()
-    want = expected_components(rows)
-    assert sorted(r.doc_id for r in kept) == sorted({want[i] for i in want})
+    want = [(i, len(shingle_set(t, 5)), c, i is not None and i == c) for (i, t), c in zip(corpus, smallest_ids(corpus), strict=True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert len({c for _, _, c, _ in want}) < len(want) - 30
+
+
+def test_one_row_of_each_group_stays(spark, corpus, monkeypatch):
+    """Also of rows without a doc_id, and under one doc_id every text that is like no other."""
+    rng = random.Random(5)
+    lone = [" ".join(text_of(rng, 40)) for _ in range(4)]
+    rows = corpus + [(700, lone[0]), (700, lone[1]), (None, lone[2]), (None, lone[3]), (None, lone[3]), (None, lone[3].upper()), (701, lone[0] + " more")]
+    for most in (10**6, 0):
+        monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", most)
+        df = frame(spark, rows)
+        left = near_dedup.remove_near_duplicates(df)
+        assert left.columns == df.columns
+        kept = [(r.doc_id, r.text) for r in left.collect()]
+        groups = {}
+        for (i, t), c in zip(rows, expected_components(rows), strict=True):
+            if shingle_set(t, 5):
+                groups.setdefault(c, []).append((i, t))
+        assert sum(not shingle_set(t, 5) for _, t in kept) == sum(not shingle_set(t, 5) for _, t in rows)
+        worded = [k for k in kept if shingle_set(k[1], 5)]
+        assert len(worded) == len(groups)
+        for members in groups.values():
+            (one,) = [k for k in worded if k in members]
+            ids = [i for i, _ in members if i is not None]
+            assert one[0] == (min(ids) if ids else None)
 
 
 def test_near_duplicates_of_nothing(spark):
