@@ -39,7 +39,7 @@ def op3_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     machine = learn(documents, _table(spark, sf_dir, "labels"), learns=fold("doc_id") != 0)
     scored = score(documents, machine)
-    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +105,10 @@ _CONTAINMENT = f"""WITH d AS ({_SHINGLES.format(id="doc_id", words=_WORDS.format
 n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id), p AS (SELECT doc_id, item_id, count(*) AS k FROM d JOIN b USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS item_shingles, CAST(k AS INTEGER) AS shared, k / n AS containment FROM p JOIN n USING (item_id) WHERE k >= 0.75 * n"""
 
-_TOP_K = """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
-SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 5"""
+_TOP_K = """WITH q AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.r <> b.r)
+SELECT * EXCLUDE (r) FROM (SELECT r, query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 5"""
 
 _REPEATS = f"""WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),

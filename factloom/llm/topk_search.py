@@ -21,9 +21,10 @@ SHARD_ROWS, so memory is bounded on both sides, and every vector meets every que
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take
 no part, as query or candidate; vectors of another length are compared over the
-components both have; fewer than k other rows give all of them; rows that repeat a
-vec_id are candidates of their own, and a query skips all rows with its own vec_id; an
-empty table gives an empty result.
+components both have; fewer than k other rows give all of them; every row is a candidate of
+its own and every query row is searched for, also where rows repeat a vec_id: then its results
+stand once for each of these rows, and a query leaves out its own row only (of equal rows one);
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import settle, union_all
+from factloom.llm.common import settle, sliced, union_all
 
 QUERY_BLOCK, SHARD_ROWS, SEED_ROWS = 4096, 4096, 1024
-_SCHEMA = "query_id long, vec_id long, score long"
+_SCHEMA = "query long, query_id long, vec_id long, score long"
 
 
 def quantised(embeddings: DataFrame, scale: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -63,14 +64,14 @@ def _matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
 class Shard:
     """Postings of a shard: for each signed component the rows that have it, and the largest value."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, marks: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids, self.marks, self.vectors = ids, marks, vectors
         self.columns = np.ascontiguousarray(vectors.T)
         self.rows = {(d, s): np.flatnonzero(c * s > 0) for d, c in enumerate(self.columns) for s in (1, -1)}
         self.largest = {t: int(np.abs(self.columns[t[0]][r]).max(initial=0)) for t, r in self.rows.items()}
 
-    def search(self, query: np.ndarray, own: int, k: int, threshold: int | None) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) of the shard that reach the threshold."""
+    def search(self, query: np.ndarray, own: tuple[int, int], k: int, threshold: int | None) -> list[tuple[int, int]]:
+        """The k best (score, vec_id) of the shard that reach the threshold; rows equal to the query, ``own`` its id and mark, left out."""
         terms = sorted(((abs(int(q)) * self.largest[(d, 1 if q > 0 else -1)], d, 1 if q > 0 else -1) for d, q in enumerate(query.tolist()) if q), reverse=True)
         bounds = np.array([b for b, _, _ in terms], dtype=np.int64)
         rest = np.concatenate([np.cumsum(bounds[::-1])[::-1], [0]])  # what the terms from i on can still add
@@ -89,75 +90,82 @@ class Shard:
                 _, d, s = terms[i]
                 partial[candidates] += np.maximum(query[d] * self.columns[d][candidates], 0)
                 candidates = candidates[partial[candidates] + rest[i + 1] >= threshold]
-        candidates = candidates[self.ids[candidates] != own]
+        candidates = candidates[(self.ids[candidates] != own[0]) | (self.marks[candidates] != own[1])]
         scores = self.vectors[candidates] @ query
         best = np.lexsort((self.ids[candidates], -scores))[:k]
         return [(int(scores[i]), int(self.ids[candidates[i]])) for i in best if threshold is None or scores[i] >= threshold]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Shard]:
-    ids, vectors, held = [], [], 0
+    ids, marks, vectors, held = [], [], [], 0
     for batch in batches:
         ids.append(batch.column(0).to_numpy(zero_copy_only=False))
-        vectors.append(_matrix(batch.column(1), width))
+        marks.append(batch.column(1).to_numpy(zero_copy_only=False))
+        vectors.append(_matrix(batch.column(2), width))
         held += batch.num_rows
         if held >= SHARD_ROWS:
-            yield Shard(np.concatenate(ids), np.concatenate(vectors))
-            ids, vectors, held = [], [], 0
+            yield Shard(np.concatenate(ids), np.concatenate(marks), np.concatenate(vectors))
+            ids, marks, vectors, held = [], [], [], 0
     if held:
-        yield Shard(np.concatenate(ids), np.concatenate(vectors))
+        yield Shard(np.concatenate(ids), np.concatenate(marks), np.concatenate(vectors))
 
 
-def _block(ids: np.ndarray, queries: np.ndarray, seeds: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[int | None]:
+def _block(own: list[tuple[int, int]], queries: np.ndarray, seeds: Shard | None, k: int) -> list[int | None]:
     """Starting thresholds: the k-th best score among the seed vectors, None where these are fewer."""
-    if not seeds:
-        return [None] * len(ids)
-    seed_ids, seed = seeds[0]
+    if seeds is None:
+        return [None] * len(own)
     out: list[int | None] = []
-    for own, scores in zip(ids, queries @ seed.T, strict=True):
-        other = np.sort(scores[seed_ids != own])
+    for (i, mark), scores in zip(own, queries @ seeds.vectors.T, strict=True):
+        other = np.sort(scores[(seeds.ids != i) | (seeds.marks != mark)])
         out.append(int(other[-k]) if len(other) >= k else None)
     return out
 
 
 def _search(k: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, thresholds = shared.value
-        best: list[list[tuple[int, int]]] = [[] for _ in ids]
+        numbers, own, queries, thresholds = shared.value
+        best: list[list[tuple[int, int]]] = [[] for _ in own]
         now = list(thresholds)
-        for shard in _shards(batches, queries.shape[1]):
-            for q, own in enumerate(ids.tolist()):
-                found = shard.search(queries[q], own, k, now[q])
+        for shard in _shards(sliced(batches), queries.shape[1]):
+            for q in range(len(own)):
+                found = shard.search(queries[q], own[q], k, now[q])
                 if found:
                     best[q] = sorted(best[q] + found, key=lambda x: (-x[0], x[1]))[:k]
                     if len(best[q]) == k:
                         now[q] = max(best[q][-1][0], best[q][-1][0] if now[q] is None else now[q])
-        rows = [(int(ids[q]), i, s) for q, found in enumerate(best) for s, i in found]
+        rows = [(numbers[q], own[q][0], i, s) for q, found in enumerate(best) for s, i in found]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
 
+def _lists(table: pa.Table, name: str) -> pa.Array:
+    lists = table.column(name).combine_chunks()
+    return lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k vectors of largest inner product with each query, its own row left out."""
+    """(query_id, rank, vec_id, score): the k vectors of largest inner product with each query row, that row left out.
+    ``queries`` are rows of ``vectors``."""
     context = vectors.sparkSession.sparkContext
-    first = vectors.limit(SEED_ROWS).toArrow()
-    wanted = settle(queries, "queries")
-    count = wanted.count()
-    blocks = -(-count // QUERY_BLOCK)
-    numbered = wanted.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))))
+    marked = vectors.select("vec_id", F.xxhash64("v").alias("mark"), "v")
+    first = marked.limit(SEED_ROWS).toArrow()
+    # Equal query rows are searched for once and are candidates of each other.
+    wanted = settle(queries.select("vec_id", F.xxhash64("v").alias("mark"), "v").groupBy("vec_id", "mark", "v").agg(F.count("*").alias("rows")).withColumn("query", F.monotonically_increasing_id()), "queries")
+    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
+    numbered = wanted.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     found = []
-    for b in range(max(1, blocks)):
-        part = numbered.where(F.col("block") == b).select("vec_id", "v").toArrow().sort_by("vec_id")
-        lists = part.column("v").combine_chunks()
-        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-        ids, matrix = part.column("vec_id").to_numpy(), _matrix(lists)
-        ids, one = np.unique(ids, return_index=True)
-        matrix = matrix[one]
-        head = first.column("v").combine_chunks() if first.num_rows else None
-        seeds = [(first.column("vec_id").to_numpy(), _matrix(head if isinstance(head, pa.ListArray) else pa.concat_arrays(head.chunks), matrix.shape[1]))] if first.num_rows else []
-        shared = context.broadcast((ids, matrix, _block(ids, matrix, seeds, k)))
-        found.append(vectors.select("vec_id", "v").mapInArrow(_search(k, shared), _SCHEMA))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return union_all(found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    for b in range(blocks):
+        part = numbered.where(F.col("block") == b).select("query", "vec_id", "mark", "v").toArrow()
+        own, matrix = list(zip(part.column("vec_id").to_pylist(), part.column("mark").to_pylist(), strict=True)), _matrix(_lists(part, "v"))
+        seeds = Shard(first.column("vec_id").to_numpy(), first.column("mark").to_numpy(), _matrix(_lists(first, "v"), matrix.shape[1])) if first.num_rows else None
+        shared = context.broadcast((part.column("query").to_pylist(), own, matrix, _block(own, matrix, seeds, k)))
+        found.append(marked.mapInArrow(_search(k, shared), _SCHEMA))
+    one = wanted.select("query", F.col("vec_id").alias("query_id"), "vec_id", F.aggregate(F.transform("v", lambda x: x * x), F.lit(0).cast("long"), lambda a, x: a + x).alias("score"), "rows")
+    twins = one.where("rows > 1").withColumn("_", F.explode(F.sequence(F.lit(1), F.least(F.col("rows") - 1, F.lit(k))))).select("query", "query_id", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    best = union_all([*found, twins]).withColumn("rank", rank).where(F.col("rank") <= k)
+    if wanted.where("rows > 1").limit(1).count():
+        best = best.join(wanted.select("query", "rows"), "query").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return best.select("query_id", "rank", "vec_id", "score")

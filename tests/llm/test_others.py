@@ -218,6 +218,27 @@ def test_top_k(spark, monkeypatch, width):
     assert got == sorted(want)
 
 
+def test_repeated_queries_are_all_searched(spark, monkeypatch):
+    """Rows that repeat a vec_id, with equal and with other vectors, against every row but the query's own."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (120, 4)).astype(float)
+    ids = [i % 60 for i in range(120)]  # every id twice
+    x[110] = x[50]  # id 50: two equal rows
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(0, x[0].tolist()), (0, x[0].tolist())]
+    vectors = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 256)
+    q = np.array([[256 * int(c) for c in v] for _, v in rows])
+    want = []
+    for n, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            s = q @ q[n]
+            best = sorted((j for j in range(len(rows)) if j != n), key=lambda j: (-s[j], rows[j][0]))[:5]
+            want += [(i, r + 1, rows[j][0], int(s[j])) for r, j in enumerate(best)]
+    for block in (4096, 2):
+        monkeypatch.setattr(topk_search, "QUERY_BLOCK", block)
+        got = topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_top_k_of_few(spark):
     vectors = topk_search.quantised(spark.createDataFrame([(0, [1.0]), (1, [-1.0]), (2, [0.0])], "vec_id long, embedding array<double>"), 256)
     assert [tuple(r) for r in topk_search.top_k(vectors, vectors.where("vec_id = 0"), 5).orderBy("rank").collect()] == [(0, 1, 2, 0), (0, 2, 1, -65536)]
