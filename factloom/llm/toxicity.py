@@ -9,7 +9,7 @@ so that long texts do not drown in pairs.  The second sum is linear to compute
 additive weights miss.
 
 The machine is fitted on at most SAMPLE labelled documents, the first ones in a hash
-order of their ids, by mini-batch Adagrad with proximal L1 on the linear weights;
+order of their ids (of an id with several texts the first by a hash of the text), by mini-batch Adagrad with proximal L1 on the linear weights;
 terms in fewer than LEAST sampled documents are not learnt; the sample's size does not grow with the corpus.  Every
 document is scored whole, in one pass without a shuffle; the model is a broadcast of fixed size.
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkernel
-from factloom.llm.common import texts
+from factloom.llm.common import sliced, texts
 
 BITS, RANK, PREFIXES = 18, 4, (4, 5, 6)
 #: Most labelled documents in the fit.
@@ -119,16 +119,18 @@ def fit(bounds: np.ndarray, index: np.ndarray, labels: np.ndarray, seed: int = 7
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         for first, bounds, index in terms(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(bounds) - 1), batch.column("toxic").slice(first, len(bounds) - 1), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(index))], names=["doc_id", "toxic", "terms"])
+            own = [batch.column(c).slice(first, len(bounds) - 1) for c in ("doc_id", "toxic", "mark")]
+            yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(index))], names=["doc_id", "toxic", "mark", "terms"])
 
 
 def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fit on at most SAMPLE labelled documents for which ``learns``, a condition on doc_id, holds."""
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where(learns & F.col("toxic").isNotNull())
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    found = texts(documents, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_featurise, "doc_id long, toxic int, terms array<int>").toArrow()
+    found = texts(documents, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("mark"), "text").mapInArrow(_featurise, "doc_id long, toxic int, mark long, terms array<int>")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("mark", "toxic", "terms")).alias("one")).select("doc_id", "one.toxic", "one.terms").toArrow()
     found = found.sort_by("doc_id")  # the same fit whatever order the rows came in
     lists = found.column("terms").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
@@ -141,7 +143,7 @@ def score(documents: DataFrame, machine: Machine, id_col: str = "doc_id", text_c
     shared = documents.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [sigmoid(logits(shared.value, bounds, index)) for _, bounds, index in terms(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "score"])
 
@@ -155,7 +157,7 @@ def reject_toxic(documents: DataFrame, labels: DataFrame, learns: Column, thresh
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [logits(shared.value, bounds, index) < np.log(threshold / (1 - threshold)) for _, bounds, index in terms(batch.column(at))]
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, pii, sharding, token_store, topk_search, toxicity
+from factloom.llm import mixing, pii, sharding, textkernel, token_store, topk_search, toxicity
 from factloom.llm.common import components, fold
 
 
@@ -289,6 +289,46 @@ def test_pairs_are_learnt():
     assert right.mean() > 0.95
 
 
+def plain_terms(text):
+    """Distinct places of a text's lower-cased words and prefixes, one text and one word at a time."""
+    out = set()
+    for word in re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")):
+        raw = word.encode()
+        w = next(textkernel.words(pa.array([word]), lower=True, separators=textkernel.NOT_ALPHANUMERIC))
+        out.add(int(w.hashes()[0] >> np.uint64(64 - toxicity.BITS)))
+        out |= {int(textkernel.mix64(w.hashes(k) + np.uint64(k))[0] >> np.uint64(64 - toxicity.BITS)) for k in toxicity.PREFIXES if len(raw) > k}
+    return sorted(out)
+
+
+def test_scores_equal_the_sum_over_all_pairs(spark):
+    """The query's scores against the formula itself, pair by pair."""
+    rng = random.Random(31)
+    rows = labelled(rng, 200)
+    very_long = " ".join(f"w{rng.randrange(300)}" for _ in range(20_000)) + " scum"
+    more = [(900, None), (901, ""), (902, "Été! 日本 scum, (SCUM)"), (903, very_long), (None, "idiot w1"), (904, "...")]
+    documents = frame(spark, [(i, t) for i, t, _ in rows] + more)
+    machine = toxicity.learn(documents, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), learns=fold("doc_id") != 0)
+    got = Counter((r.doc_id, round(r.score, 5)) for r in toxicity.score(documents, machine).collect())
+    v, want = machine.factors.astype(float), Counter()
+    for i, t in [(i, t) for i, t, _ in rows[:60]] + more:
+        at = plain_terms(t)
+        pairs = sum(float(v[a] @ v[b]) for k, a in enumerate(at) for b in at[:k]) if len(at) < 900 else (np.linalg.norm(v[at].sum(axis=0)) ** 2 - (v[at] ** 2).sum()) / 2
+        logit = machine.bias + float(machine.linear[at].astype(float).sum()) + pairs / max(1, len(at))
+        want[(i, round(1 / (1 + np.exp(-logit)), 5))] += 1
+    assert not want - got
+
+
+def test_repeated_labelled_ids_teach_one_text(spark, monkeypatch):
+    """The sample is bounded in rows, and the fit does not depend on their order."""
+    rows = [(1, f"word{i} scum") for i in range(50)] + [(i, f"fine words number{i}") for i in range(2, 40)]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)] + [(i, 0) for i in range(2, 40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bounds, index, y, seed=7: seen.append((bounds.tolist(), index.tolist(), y.tolist())))
+    for part in (1, 7):
+        toxicity.learn(frame(spark, rows).repartition(part), labels, learns=F.lit(True))
+    assert seen[0] == seen[1] and len(seen[0][2]) == 39 and sum(seen[0][2]) == 1
+
+
 def test_without_labels(spark):
     documents = frame(spark, [(1, "a b"), (2, None)])
     machine = toxicity.learn(documents, spark.createDataFrame([], "doc_id long, toxic int"), learns=fold("doc_id") != 0)
