@@ -20,15 +20,20 @@ answers select(i), the end of document i, from a sampled directory of the high b
 Blocks are rows of Parquet: Spark's commit protocol makes the write safe against lost
 executors, any file system that Spark reaches will do, and a block is read by itself.
 
-Defined cases: a null text is an empty one, whose only id is the end id; rows with
-equal doc_ids are stored one after the other, ordered by their ids' checksum; an
-empty table gives an empty store; rows without a doc_id have no place in the order and are left out.
+A store has parts, ranges of documents of near equal bytes, about PART_BYTES each and at most MOST_PARTS.
+They are cut by (doc_id, checksum of the text, a seeded number), found from a sample of
+SAMPLE_EACH rows a part, so a doc_id or a text that a third of all rows has is spread over parts, too.
+
+Defined cases: a null text is an empty one, whose only id is the end id; rows without a
+doc_id come last; rows with equal doc_ids are stored one after the other, ordered by their texts'
+checksum; an empty table gives an empty store.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,10 +44,13 @@ from pyspark.sql import functions as F
 
 from factloom.llm import textkernel
 from factloom.llm.common import settle, texts
+from factloom.plans.workspace import small_batches
 
 BLOCK_IDS = 1 << 20
 #: Pieces in each of the two generations that a worker keeps; older ones are encoded again.
 KEPT_PIECES = 200_000
+#: Bytes of text in a part, most parts, sampled rows for each of them.
+PART_BYTES, MOST_PARTS, SAMPLE_EACH = 24 << 20, 20_000, 50
 #: Code points encoded at a time; some ten arrays of them are in memory.
 SLICE_POINTS = 1 << 19
 _STORE = "part int, block int, documents int, first_doc long, width int, total long, low_bits int, ids binary, low binary, high binary, docs binary"
@@ -205,31 +213,35 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoded(path: str, end_id: int):
+def _encoded(path: str, end_id: int, cuts: list[tuple]):
+    """``cuts`` are the first places of the parts after the first one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            texts_, at = batch.column(1).to_pylist(), 0
+            texts_, at = batch.column("text").to_pylist(), 0
+            places = zip(*(batch.column(c).to_pylist() for c in ("last", "doc_id", "mark", "spread")), strict=True)
+            parts = pa.array([bisect_right(cuts, (last, 0 if last else doc, mark, spread)) for last, doc, mark, spread in places], pa.int32())
             while at < len(texts_):
                 to, held = at + 1, len(texts_[at])
                 while to < len(texts_) and held + len(texts_[to]) <= SLICE_POINTS:
                     held, to = held + len(texts_[to]), to + 1
                 ids, bounds = encoder.encode(texts_[at:to])
                 rows = [np.append(ids[a:b], end_id).astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(rows, pa.binary()), pa.array([zlib.crc32(x) for x in rows], pa.int64())], names=["doc_id", "ids", "crc"])
+                yield pa.RecordBatch.from_arrays([parts.slice(at, to - at), *(batch.column(c).slice(at, to - at) for c in ("last", "doc_id", "mark")), pa.array(rows, pa.binary())], names=["part", "last", "doc_id", "mark", "ids"])
                 at = to
 
     return run
 
 
-def pack(part: int, block: int, docs: list[int], rows: list[bytes]) -> dict:
-    """One block of the store."""
+def pack(part: int, block: int, docs: list[int | None], rows: list[bytes]) -> dict:
+    """One block of the store; documents without an id stand last."""
     ids = np.frombuffer(b"".join(rows), dtype="<u4")
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     low_bits, low, high = Boundaries.encode(np.cumsum([len(x) // 4 for x in rows]))
-    known = np.array(docs, dtype="<i8")
+    known = np.array([d for d in docs if d is not None], dtype="<i8")
     step = np.diff(known, prepend=known[:1])
-    return {"part": part, "block": block, "documents": len(rows), "first_doc": int(known[0]), "width": width, "total": len(ids), "low_bits": low_bits, "ids": ids.astype("<u2").tobytes() if width == 2 else ids.tobytes(), "low": low, "high": high, "docs": zlib.compress(step.astype("<i8").tobytes(), 1)}
+    return {"part": part, "block": block, "documents": len(rows), "first_doc": int(known[0]) if len(known) else None, "width": width, "total": len(ids), "low_bits": low_bits, "ids": ids.astype("<u2").tobytes() if width == 2 else ids.tobytes(), "low": low, "high": high, "docs": zlib.compress(step.astype("<i8").tobytes(), 1)}
 
 
 def _blocks(block_ids: int):
@@ -258,30 +270,42 @@ def _blocks(block_ids: int):
     return run
 
 
+def _cuts(docs: DataFrame) -> tuple[int, list[tuple]]:
+    """The number of parts, and where all but the first begin: places (last, doc_id, mark, spread) that split a
+    sample of the rows, weighted by size, into near equal parts."""
+    total = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text") + 2), F.lit(0)).alias("bytes")).first()
+    parts = min(MOST_PARTS, max(1, -(-total["bytes"] // PART_BYTES)))
+    if parts == 1:
+        return 1, []
+    share = min(1.0, parts * SAMPLE_EACH / total["rows"])
+    sample = docs.where(F.pmod(F.xxhash64("spread"), F.lit(1_000_000)) <= int(share * 1_000_000))
+    sample = sample.select("last", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "mark", "spread", (F.octet_length("text") + 2).alias("size")).toPandas().sort_values(["last", "doc_id", "mark", "spread"])
+    ends = sample["size"].cumsum().to_numpy()
+    at = np.unique(np.searchsorted(ends, np.arange(1, parts) * (ends[-1] / parts)))
+    return parts, [(bool(r[0]), int(r[1]), int(r[2]), float(r[3])) for r in sample.iloc[at][["last", "doc_id", "mark", "spread"]].itertuples(index=False)]
+
+
 def write_store(documents: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Tokenise every text, append ``end_id`` and write the store in ascending doc_id
-    order; returns the store as read back.  Parts are ranges of doc_ids, of near equal
-    numbers of documents; only the encoded ids are shuffled to them."""
+    order; returns the store as read back.  Only the encoded ids are shuffled, each part to a task of its own."""
     spark = documents.sparkSession
-    docs = texts(documents, id_col, text_col).where("doc_id IS NOT NULL")
-    encoded = docs.mapInArrow(_encoded(tokenizer, end_id), "doc_id long, ids binary, crc long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or [] if parts > 1 else []
-    cuts = sorted(set(cuts))
-    # The part is a function of doc_id alone, so a task that runs again gets the same rows.
-    part = F.expr(f"int(aggregate(array({','.join(f'{c}L' for c in cuts)}), 0, (n, c) -> n + IF(doc_id > c, 1, 0)))") if cuts else F.lit(0)
-    spread = encoded.withColumn("part", part).repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "doc_id", "crc")
+    docs = texts(documents, id_col, text_col).select(F.col("doc_id").isNull().alias("last"), "doc_id", F.crc32("text").alias("mark"), F.rand(17).alias("spread"), "text")
+    parts, cuts = _cuts(docs)
+    # A row's part follows from its place; equal rows in one place may trade the seeded number, which changes nothing.
+    encoded = docs.mapInArrow(_encoded(tokenizer, end_id, cuts), "part int, last boolean, doc_id long, mark long, ids binary")
+    spread = encoded.repartitionById(parts, "part").sortWithinPartitions("part", "last", "doc_id", "mark")
     store = spread.select("part", "doc_id", "ids").mapInArrow(_blocks(block_ids), _STORE)
     if path is None:
         return settle(store, "tokens")
-    store.write.parquet(path)
+    with small_batches(spark):
+        store.write.parquet(path)
     return spark.read.schema(store.schema).parquet(path)
 
 
 def read_block(row: dict) -> tuple[np.ndarray, Boundaries, np.ndarray]:
-    """Ids, boundaries and doc_ids of a stored block."""
+    """Ids, boundaries and doc_ids of a stored block; the last documents of it may have no doc_id."""
     ids = np.frombuffer(row["ids"], dtype="<u2" if row["width"] == 2 else "<u4")
-    docs = np.cumsum(np.frombuffer(zlib.decompress(row["docs"]), dtype="<i8")) + row["first_doc"]
+    docs = np.cumsum(np.frombuffer(zlib.decompress(row["docs"]), dtype="<i8")) + (row["first_doc"] or 0)
     return ids, Boundaries(row["documents"], row["low_bits"], row["low"], row["high"]), docs
 
 
@@ -304,6 +328,6 @@ def read_documents(store: DataFrame) -> DataFrame:
                 begins = np.concatenate([[0], ends[:-1]])
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(begins + row["start"]), pa.array(ends - begins), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([*docs.tolist(), *[None] * (len(ends) - len(docs))], pa.int64()), pa.array(begins + row["start"]), pa.array(ends - begins), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
