@@ -6,8 +6,10 @@ balanced tree by remaining capacity, and a new bin opens only when none fits.
 
 Groups of one size are interchangeable, so the packing runs over the histogram
 (size, number of groups): a run of equal groups fills the tightest bin in one
-step.  A corpus of T bytes has at most sqrt(2T) distinct group sizes, which is
-what the driver receives: 14 million integers at 100 TB, some thousands here.
+step.  The histogram is what the driver receives, and it is bounded whatever the corpus:
+sizes up to 2 ** EXACT_BITS are exact, larger ones are rounded up to EXACT_BITS leading bits,
+to at most 0.01 % more, so there are 2 ** EXACT_BITS of them and half as many for each doubling
+beyond (some 300,000 for groups of up to 100 TB).  A packing of the rounded sizes holds the true ones.
 Documents, groups and assignments stay in Spark.
 
 Defined cases: a null text is an empty one (size 1); equal rows and equal texts
@@ -20,13 +22,13 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import settle
+from factloom.llm.common import join_by_key, settle
 
-#: Sub-buckets that split the numbering of groups of one size, and the rows a slot bucket aims at.
-SIZE_BUCKETS, SLOT_ROWS = 64, 4096
+#: Leading bits of a size that count, and the rows that a bucket of a numbering aims at.
+EXACT_BITS, BUCKET_ROWS = 14, 4096
 
 
 class RemainingTree:
@@ -128,11 +130,19 @@ def _rank(df: DataFrame, by: str, order: str, buckets: int, out: str) -> DataFra
     return df.withColumn("_row", F.row_number().over(inner) - 1).join(counts, [by, "_sub"]).withColumn(out, F.col("_base") + F.col("_row")).drop("_sub", "_base", "_row")
 
 
+def rounded(size: str) -> Column:
+    """A size rounded up to EXACT_BITS leading bits."""
+    step = f"shiftleft(1L, greatest(0, length(bin({size})) - {EXACT_BITS}))"
+    return F.expr(f"({size} + {step} - 1) div {step} * {step}").cast("long")
+
+
 def shard_groups(groups: DataFrame, shards: int | None = None, capacity: int | None = None) -> DataFrame:
-    """(group_key, group_size) -> (group_key, shard): into ``shards`` shards of near
+    """(group_key, group_size) -> (group_key, shard) and further columns: into ``shards`` shards of near
     equal size, or into as few shards of ``capacity`` as best-fit-decreasing needs."""
-    spark = groups.sparkSession
-    histogram = [(int(s), int(n)) for s, n in groups.groupBy("group_size").agg(F.count("*").alias("n")).toPandas().itertuples(index=False)]
+    spark, more = groups.sparkSession, [c for c in groups.columns if c not in ("group_key", "group_size")]
+    size = rounded("group_size") if capacity is None else F.when(F.col("group_size") <= capacity, F.least(rounded("group_size"), F.lit(capacity))).otherwise(F.col("group_size"))
+    sized = groups.select("group_key", *more, size.alias("group_size"))
+    histogram = [(int(s), int(n)) for s, n in sized.groupBy("group_size").agg(F.count("*").alias("n")).toPandas().itertuples(index=False)]
     runs = pack_into(histogram, shards) if shards else best_fit_decreasing(histogram, capacity)[0]
     at: dict[int, int] = {}
     rows = []
@@ -143,17 +153,20 @@ def shard_groups(groups: DataFrame, shards: int | None = None, capacity: int | N
     table = spark.createDataFrame(frame, "group_size long, shard int, rank_from long, rank_to long")
     if len(rows) > 100_000:
         table = settle(table, "runs")
-    ranked = _rank(groups, "group_size", "group_key", SIZE_BUCKETS, "rank")
-    return ranked.join(table, "group_size").where("rank >= rank_from AND rank < rank_to").select("group_key", "shard")
+    most = max((n for _, n in histogram), default=0)
+    ranked = _rank(sized, "group_size", "group_key", max(64, -(-most // BUCKET_ROWS)), "rank")
+    return ranked.join(table, "group_size").where("rank >= rank_from AND rank < rank_to").select("group_key", *more, "shard")
 
 
 def shard_documents(documents: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in a shard) of every
     row; equal texts share a shard and the shards' bytes are near equal."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = documents.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group_key"))
+    rows = documents.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group_key"), F.rand(29).alias("spread"))
     rows = settle(rows, "sizes")
-    placed = settle(shard_groups(rows.groupBy("group_key").agg(F.sum("size").alias("group_size")), shards), "placed")
-    out = rows.join(placed, "group_key")
-    buckets = max(1, -(-rows.count() // (shards * SLOT_ROWS)))
-    return _rank(out, "shard", "doc_id", buckets, "slot").select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long"))
+    groups = settle(rows.groupBy("group_key").agg(F.sum("size").alias("group_size"), F.count("*").alias("members")), "groups")
+    total = rows.count()
+    placed = settle(shard_groups(groups, shards), "placed")
+    out = join_by_key(rows, placed, "group_key", "members", total)
+    buckets = max(1, -(-total // (shards * BUCKET_ROWS)))
+    return _rank(out, "shard", "spread", buckets, "slot").select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long"))

@@ -84,6 +84,60 @@ def test_shards(spark):
     assert sorted((r["size"], r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows)
 
 
+def test_rounded_sizes(spark):
+    sizes = [1, 2, 3, 16383, 16384, 16385, 16387, 32768, 32769, 10**6 + 1, 2**40 + 1, 2**46 - 1]
+    got = [r.r for r in spark.createDataFrame([(s,) for s in sizes], "s long").select(sharding.rounded("s").alias("r")).collect()]
+    for s, r in zip(sizes, got, strict=True):
+        step = 1 << max(0, s.bit_length() - sharding.EXACT_BITS)
+        assert r == -(-s // step) * step and r <= s * 1.0002
+
+
+def plain_packing(sizes, shards):
+    """Every group by itself: groups above the fair share alone, then the least capacity whose best-fit-decreasing
+    packing, bin by bin, needs no more bins."""
+    sizes = sorted(sizes, reverse=True)
+    alone = []
+    while sizes and len(alone) < shards - 1 and sizes[0] * (shards - len(alone)) > sum(sizes):
+        alone.append(sizes.pop(0))
+
+    def fill(capacity):
+        rooms = []
+        for s in sizes:
+            fit = [r for r in rooms if r >= s]
+            if fit:
+                rooms[rooms.index(min(fit))] -= s
+            elif s > capacity:
+                return None
+            else:
+                rooms.append(capacity - s)
+        return [capacity - r for r in rooms] if len(rooms) <= shards - len(alone) else None
+
+    capacity = -(-sum(sizes) // (shards - len(alone))) if sizes else 0
+    while fill(capacity) is None:
+        capacity += 1
+    return sorted(alone + fill(capacity))
+
+
+def test_whole_query_equals_plain_packing(spark, monkeypatch):
+    """Shard sizes of documents with copies, very long texts, nulls and rows without ids, with hot groups and numberings split."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 16)
+    rng = random.Random(14)
+    rows = [(rng.choice([None, i]), "y" * rng.choice([0, 3, rng.randrange(400)])) for i in range(500)] + [(600, "z" * 300_000), (601, None), (602, "é" * 9000), (602, "é" * 9000)]
+    got = sharding.shard_documents(frame(spark, rows), 16).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    groups = Counter()
+    for _, t in rows:
+        groups[t or ""] += len((t or "").encode()) + 1
+    step = lambda s: 1 << max(0, s.bit_length() - sharding.EXACT_BITS)
+    want = plain_packing([-(-s // step(s)) * step(s) for s in groups.values()], 16)
+    assert sum(sizes.values()) == sum(groups.values())
+    assert all(a <= b <= a + 64 for a, b in zip(sorted(sizes.values()), want, strict=True))
+
+
 def test_oversized_group_gets_its_own_shard(spark):
     rows = [(i, "z" * 999) for i in range(50)] + [(100 + i, f"text {i}") for i in range(200)]
     got = sharding.shard_documents(frame(spark, rows), 16).collect()
@@ -178,20 +232,25 @@ def test_boundaries_are_near_minimal():
     assert (len(low) + len(high)) * 8 < 10_000 * (2 + np.log2(ends[-1] / 10_000) + 0.5) < 10_000 * 64 / 4
 
 
-def test_store_round_trip(spark, tokenizer_path):
+@pytest.mark.parametrize("part_bytes", [1 << 20, 700])
+def test_store_round_trip(spark, tokenizer_path, monkeypatch, part_bytes):
+    """Rows without a doc_id come last; a doc_id with several texts has all of them."""
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_store, "PART_BYTES", part_bytes)
     plain = Tokenizer.from_file(tokenizer_path)
     rng = random.Random(7)
-    rows = [(i * 3, "".join(rng.choice("abc dé\n'") for _ in range(rng.randrange(80)))) for i in range(120)] + [(1, None), (2, "long " * 2000), (5000, ""), (None, "lost")]
+    rows = [(i * 3, "".join(rng.choice("abc dé\n'") for _ in range(rng.randrange(80)))) for i in range(120)] + [(1, None), (2, "long " * 2000), (5000, ""), (None, "lost"), (None, None), (-4, "first")]
+    rows += [(9, "one"), (9, "two"), (9, "one")] + [(77, "equal rows")] * 60 + [(None, "x")] * 40
     store = token_store.write_store(frame(spark, rows).repartition(5), tokenizer_path, block_ids=50)
-    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_documents(store).collect()}
-    at, want = 0, {}
-    for i, t in sorted((r for r in rows if r[0] is not None)):
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_documents(store).collect()]
+    at, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, zlib.crc32((r[1] or "").encode()))):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
-        want[i] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert got == want and store.count() > 10
+    assert sorted(got, key=lambda r: r[1]) == want and store.count() > 10
+    assert (store.select("part").distinct().count() > 8) == (part_bytes < 1000)
     assert token_store.read_documents(token_store.write_store(frame(spark, []), tokenizer_path)).count() == 0
 
 
