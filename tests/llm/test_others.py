@@ -183,9 +183,30 @@ def test_mix(spark):
     assert all(abs(taken[s] - target[s]) <= 2 for s in order)
 
 
+def test_many_sources_are_joined_by_shuffle(spark, monkeypatch):
+    """Also hot ones, null among them, and very long texts."""
+    rows = [(i, "w " * (1 + i % 5), None if i % 3 == 0 else f"s{i % 40}") for i in range(400)] + [(999, "long " * 100_000, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    for parts in (1000, 3):
+        monkeypatch.setattr("factloom.llm.common.HOT_PARTS", parts)
+        assert sorted(map(str, mixing.mix(df).collect())) == want
+
+
 def test_repeated_rows(spark):
     rows = [(i, "one two three", "s") for i in range(100)] + [(200, None, "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("taken", F.lit(1))
+    for n, more in ((1, []), (3, [(None, "one two three", "t")] * 40 + [(5, "x y", "t")] * 41)):
+        df2 = spark.createDataFrame(rows + more, "doc_id long, text string, source string").repartition(n)
+        mixed = mixing.repeat_rows(df2)
+        words = Counter()
+        for r in mixed.collect():
+            words[r.source] += len((r.text or "").split())
+        target = {r.source_size: r.target for r in mixing.mix(df2).where("size > 0").collect()}
+        for s in {r[2] for r in rows + more}:
+            own = sum(len((t or "").split()) for _, t, x in rows + more if x == s)
+            assert abs(words[s] - target[own]) <= 1.5
     out = mixing.repeat_rows(df)
     assert out.columns == df.columns
     n = Counter(r.doc_id for r in out.collect())
