@@ -2,37 +2,41 @@
 
 Base.  Four kinds have exact forms: e-mail addresses, IPv4 addresses, payment cards
 (Luhn) and international phone numbers.  A text's pieces between matches, from
-``split``, and the matches, from ``regexp_extract_all``, give their places.
-
-Bootstrapping.  The base spans are seeds.  An identifier is a token with a digit or an
-at sign; the lexical pattern before it is the word to its left (lower-cased, digits as
-9) or the label it carries itself (``id=``, ``tel:``).  Patterns and the identifiers they
-precede form a bipartite graph, scored in rounds: a pattern's confidence in a kind is
-the part of its distinct identifiers' confidence in that kind; an identifier's is the
+``split``, and the matches, from ``regexp_extract_all``, become rows; running sums over a text's
+rows give their places, so the work grows with the text's length and no faster.
+
+Bootstrapping.  The base spans are seeds, and so are tokens that look like secrets (SECRET: long hexadecimal
+strings), a fifth kind, which the base does not have: these are reported only where a pattern finds them.
+An identifier is a token with a digit or an at sign.  Its lexical patterns are the word to its left, the
+two words to its left, the words on both sides (lower-cased, digits as 9), or the label that it carries
+itself (``id=``, ``tel:``).  Patterns and the identifiers they stand around form a bipartite graph, scored in rounds: a
+pattern's confidence in a kind is the part of its distinct identifiers' confidence in that kind; an identifier's is the
 noisy-or over its patterns'; seeds stay at 1, and identifiers found in one round lend
 trust to patterns without a seed in the next.  A pattern counts only with SUPPORT
 distinct identifiers or more, if its identifiers are mostly of one kind, and if most
-occurrences of its word in the whole corpus precede an identifier: a word such as
-"the" is no pattern however many addresses follow it.  Identifiers after a pattern
-that is still confident after the last round are found, with the pattern's kind.
+occurrences of its words in the whole corpus stand around an identifier: a word such as
+"the" is no pattern however many addresses follow it.  Identifiers in a pattern
+that is still confident after the last round are found, with the kind of their most confident pattern.
 
 The forms are written so that Java's matcher needs neither recursion nor a second look at
 a character run: possessive loops, and runs entered at their start or where the last match
 ended; they match what the plain forms match.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows are each
-returned; spans count code points; a found span that overlaps a base span is dropped; an
-empty table gives an empty result.
+returned; spans count code points; a found span that overlaps a base span is dropped; of patterns with
+equal confidence the kind listed first counts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import settle, texts
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of found spans: the base's, then those that have seeds only.
+FOUND_KINDS = (*KINDS, "secret")
 _WORD = r"[^\x20\x09-\x0D]"
 #: What a text must hold for a form to match at all, and the form.
 FORMS = {
@@ -42,23 +46,16 @@ FORMS = {
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 IDENTIFIER = rf"(?<!{_WORD}){_WORD}*[0-9@]{_WORD}*"
+#: A secret's value: 32 hexadecimal digits or more, letters and figures among them.
+SECRET = r"^(?=[0-9]*+[a-fA-F])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+$"
 LABEL = r"^([A-Za-z][A-Za-z_.-]*[=:])(?=.)"
+#: Stands for the identifier between the words of a two-sided pattern; no word is equal to it.
+GAP = "\x01"
 ROUNDS, SUPPORT, PRECISION, SPECIFIC = 3, 3, 0.5, 0.5
 #: Most patterns that are broadcast (about 100 bytes each); beyond, all words are counted.
 BROADCAST_PATTERNS = 200_000
 
 
-def _matches(text: str, form: str) -> Column:
-    """Matches as (start, end, found, before): each match's place is the length of all pieces and matches before it;
-    ``before`` is the last match and the piece after it."""
-    found = F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    both = F.filter(F.arrays_zip(F.split(text, form, -1).alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
-    start = lambda acc, x: acc["at"] + F.length(x["gap"])
-    step = lambda acc, x: F.struct((start(acc, x) + F.length(x["found"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["found"])).alias("end"), x["found"].alias("found"), F.concat(acc["last"], x["gap"]).alias("before")))).alias("out"), x["found"].alias("last"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,before:string>>").alias("out"), F.lit("").alias("last"))
-    return F.aggregate(both, first, step, lambda acc: acc["out"])
-
-
 def _digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
@@ -80,81 +77,134 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: str) -> Column:
-    """Spans (start, kind_no, end, found) of the exact forms, by start, then kind."""
-    return F.array_sort(F.concat(*(_kind_spans(text, k) for k in range(len(KINDS)))))
-
-
-def _kind_spans(text: str, k: int) -> Column:
-    needs, form = FORMS[KINDS[k]]
-    guard = F.contains(F.col(text), F.lit(needs)) if needs == "@" else F.col(text).rlike(needs)
-    spans = F.transform(F.filter(_matches(text, form), lambda m: _valid(KINDS[k], m["found"])), lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind_no"), m["end"].alias("end"), m["found"].alias("found")))
-    return F.when(guard, spans).otherwise(F.array().cast("array<struct<start:int,kind_no:int,end:int,found:string>>"))
-
-
-def identifiers(text: str) -> Column:
-    """Tokens with a digit or an at sign: (start, end, value, pattern)."""
-
-    def one(m: Column) -> Column:
-        label = F.regexp_extract(m["found"], LABEL, 1)
-        body = F.substr(m["found"], F.length(label) + 1)
-        lead = F.length(F.regexp_extract(body, r"^[^\p{L}0-9+@]*", 0))
-        value = F.regexp_replace(body, r"^[^\p{L}0-9+@]+|[^\p{L}0-9]+$", "")
-        start = m["start"] + F.length(label) + lead
-        left = F.regexp_extract(m["before"], rf"(?<!{_WORD})({_WORD}++)[\x20\x09-\x0D]*+$", 1)
-        pattern = F.regexp_replace(F.lower(F.when(label != "", label).otherwise(left)), "[0-9]", "9")
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), pattern.alias("pattern"), (label != "").alias("labelled"))
-
-    kind = "array<struct<start:int,end:int,value:string,pattern:string,labelled:boolean>>"
-    return F.when(F.col(text).rlike("[0-9@]"), F.transform(_matches(text, IDENTIFIER), one).cast(kind)).otherwise(F.array().cast(kind))
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, matches): for the base kinds and, as kind 4, identifiers every match in order: the length of the gap
+    before it, its own, what was found, and of identifiers the two words to the left and the word to the right."""
+    names, forms = [], []
+    for k, form in enumerate([*(FORMS[kind][1] for kind in KINDS), IDENTIFIER]):
+        needs = FORMS[KINDS[k]][0] if k < len(KINDS) else "[0-9@]"
+        there = F.contains("text", F.lit(needs)) if needs == "@" else F.col("text").rlike(needs)
+        none = F.array().cast("array<string>")
+        forms += [F.when(there, F.split("text", form, -1)).otherwise(none).alias(f"gaps{k}"), F.when(there, F.regexp_extract_all("text", F.lit(form), F.lit(0))).otherwise(none).alias(f"found{k}")]
+        names.append((k, f"gaps{k}", f"found{k}"))
+    cut = docs.select(F.expr("uuid()").alias("row"), "doc_id", *forms)
+    kind = "array<struct<kind_no:int,place:int,gap:int,size:int,found:string,left:string,left2:string,right:string>>"
+
+    def listed(k: int, gaps: str, found: str) -> Column:
+        def one(f: Column, i: Column) -> Column:
+            words = [F.lit(None).cast("string")] * 3
+            if k == len(KINDS):
+                before = F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i))
+                after = F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), F.lit("")))
+                last = rf"(?<!{_WORD})({_WORD}++)[\x20\x09-\x0D]*+$"
+                words = [F.regexp_extract(before, last, 1), F.regexp_extract(before, rf"(?<!{_WORD})({_WORD}++)[\x20\x09-\x0D]++{_WORD}++[\x20\x09-\x0D]*+$", 1), F.regexp_extract(after, rf"^[\x20\x09-\x0D]*+({_WORD}++)", 1)]
+            return F.struct(F.lit(k).alias("kind_no"), i.alias("place"), F.length(F.get(gaps, i)).alias("gap"), F.length(f).alias("size"), f.alias("found"), *(w.alias(n) for w, n in zip(words, ("left", "left2", "right"), strict=True)))
+
+        return F.transform(found, one).cast(kind)
+
+    return cut.select("row", "doc_id", F.concat(*(listed(*n) for n in names)).alias("matches"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """(row, kind_no, start, end, found, left, left2, right), one row for each match."""
+    each = rows.select("row", F.explode("matches").alias("m")).select("row", "m.*")
+    so_far = Window.partitionBy("row", "kind_no").orderBy("place")
+    end = F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int")
+    return each.select("row", "kind_no", (end - F.col("size")).alias("start"), end.alias("end"), "found", "left", "left2", "right")
+
+
+def base_spans(placed: DataFrame) -> DataFrame:
+    """The valid matches of the exact forms: (row, kind_no, start, end, found)."""
+    valid = F.lit(False)
+    for k, kind in enumerate(KINDS):
+        valid = F.when(F.col("kind_no") == k, _valid(kind, F.col("found"))).otherwise(valid)
+    return placed.where(F.col("kind_no") < len(KINDS)).where(valid).select("row", "kind_no", "start", "end", "found")
+
+
+def identifiers(placed: DataFrame) -> DataFrame:
+    """Tokens with a digit or an at sign: (row, start, end, value, labelled, patterns)."""
+    label = F.regexp_extract("found", LABEL, 1)
+    tokens = placed.where(F.col("kind_no") == len(KINDS)).withColumn("label", label).withColumn("body", F.substr("found", F.length("label") + 1))
+    tokens = tokens.withColumn("lead", F.length(F.regexp_extract("body", r"^[^\p{L}0-9+@]*+", 0))).withColumn("value", F.regexp_replace("body", r"^[^\p{L}0-9+@]+|(?<![^\p{L}0-9])[^\p{L}0-9]++$", ""))
+    start = F.col("start") + F.length("label") + F.col("lead")
+    plain = lambda *w: F.regexp_replace(F.lower(F.concat_ws(" ", *w)), "[0-9]", "9")
+    around = F.array(F.when(F.col("left") != "", plain(F.col("left"))), F.when(F.col("left2") != "", plain(F.col("left2"), F.col("left"))), F.when((F.col("left") != "") & (F.col("right") != ""), plain(F.col("left"), F.lit(GAP), F.col("right"))))
+    patterns = F.when(F.col("label") != "", F.array(plain(F.col("label")))).otherwise(F.filter(around, lambda p: p.isNotNull()))
+    return tokens.where("value <> ''").select("row", start.alias("start"), (start + F.length("value")).alias("end"), "value", (F.col("label") != "").alias("labelled"), patterns.alias("patterns"))
+
+
+def seeded(base: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The tokens with ``seed``, the kind of the first base span that starts in them, whose text is then their value, or that of
+    a secret; tokens that a base span reaches into from the left are the rest of a seed and left out."""
+    events = tokens.select("row", "start", "end", "value", "labelled", "patterns", F.lit(None).cast("int").alias("kind_no")).unionByName(base.select("row", "start", "end", F.col("found").alias("value"), F.lit(False).alias("labelled"), F.array().cast("array<string>").alias("patterns"), "kind_no"))
+    is_base = F.col("kind_no").isNotNull()
+    # Of events at one start the spans come after the tokens, seen from either side: a span at the token's start is its seed.
+    ahead = Window.partitionBy("row").orderBy("start", is_base).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy("row").orderBy(F.desc("start"), F.desc(is_base), F.desc("kind_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    span = F.when(is_base, F.struct("start", "kind_no", F.col("value").alias("found")))
+    events = events.withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(ahead)).withColumn("next", F.last(span, ignorenulls=True).over(behind))
+    own = events.where(~is_base & (F.col("reach").isNull() | (F.col("reach") <= F.col("start")))).withColumn("seed", F.when(F.col("next.start") < F.col("end"), F.col("next.kind_no")))
+    value = F.when(F.col("seed").isNotNull(), F.col("next.found")).otherwise(F.col("value"))
+    seed = F.when(F.col("seed").isNotNull(), F.col("seed")).when(F.col("value").rlike(SECRET), F.lit(len(KINDS)))
+    return own.select("row", "start", "end", value.alias("value"), "labelled", "patterns", seed.alias("seed"))
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, all): how often the words of each pattern stand in the corpus as they stand around an identifier."""
+    words = docs.select(F.filter(F.split(F.regexp_replace(F.lower("text"), "[0-9]", "9"), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"))
+    known = F.broadcast(patterns.select("pattern", "words")) if patterns.count() <= BROADCAST_PATTERNS else patterns.select("pattern", "words")
+    made = {1: lambda w, i: w, 2: lambda w, i: F.concat(w, F.lit(" "), F.get("w", i + 1)), 3: lambda w, i: F.concat(w, F.lit(f" {GAP} "), F.get("w", i + 2))}
+    counted = []
+    for n, one in made.items():
+        each = words.select(F.explode(F.transform("w", one)).alias("pattern")).where("pattern IS NOT NULL")
+        counted.append(each.join(known.where(F.col("words") == n).select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("all")))
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
 def confident_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(pattern, kind_no) of the patterns that are confident in a kind after the last round.
-    ``found`` has (pattern, labelled, value, seed: kind_no or null), a row for each identifier in the corpus."""
-    edges = settle(found.where("pattern <> '' AND value <> ''").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max("labelled").alias("labelled")), "edges")
+    """(pattern, kind_no, confidence) of the patterns that are confident in a kind after the last round.
+    ``found`` has (patterns, labelled, value, seed: kind_no or null), a row for each identifier in the corpus."""
+    each = found.select(F.explode("patterns").alias("pattern"), "value", "seed", "labelled")
+    edges = settle(each.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max("labelled").alias("labelled")), "edges")
     support = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("before"), F.max("labelled").alias("labelled"))
-    support = settle(support.where(F.col("values") >= SUPPORT), "support")
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).select(F.regexp_replace("word", "[0-9]", "9").alias("pattern"))
-    if support.count() <= BROADCAST_PATTERNS:
-        words = words.join(F.broadcast(support.where("NOT labelled").select("pattern")), "pattern", "left_semi")
-    everywhere = words.groupBy("pattern").agg(F.count("*").alias("all"))
+    support = settle(support.where(F.col("values") >= SUPPORT).withColumn("words", F.size(F.split("pattern", " "))), "support")
     occurs = F.coalesce(F.when(~F.col("labelled"), F.col("all")), F.col("before"))
-    specific = support.join(everywhere, "pattern", "left").where(F.col("before") >= SPECIFIC * occurs).select("pattern")
+    specific = support.join(occurrences(docs, support.where("NOT labelled")), "pattern", "left").where(F.col("before") >= SPECIFIC * occurs).select("pattern")
     edges = settle(edges.join(settle(specific, "specific"), "pattern").select("pattern", "value", "seed"), "graph")
     seeds = settle(edges.where("seed IS NOT NULL").groupBy("value").agg(F.max("seed").alias("kind_no")).withColumn("trust", F.lit(1.0)), "seeds")
     instances, patterns = seeds, None
     for _ in range(ROUNDS):
         held = edges.join(instances, "value", "left").groupBy("pattern", "kind_no").agg(F.sum(F.coalesce("trust", F.lit(0.0))).alias("trust"), F.count("*").alias("n"))
-        totals = held.groupBy("pattern").agg(F.sum("n").alias("total"), F.max(F.struct("trust", "kind_no")).alias("best"))
-        patterns = totals.select("pattern", F.col("best.kind_no").alias("kind_no"), (F.col("best.trust") / F.col("total")).alias("confidence"))
+        totals = held.groupBy("pattern").agg(F.sum("n").alias("total"), F.max(F.struct("trust", -F.col("kind_no"))).alias("best"))
+        patterns = totals.select("pattern", (-F.col("best.col2")).alias("kind_no"), (F.col("best.trust") / F.col("total")).alias("confidence"))
         patterns = settle(patterns.where((F.col("confidence") >= PRECISION) & F.col("kind_no").isNotNull()), "patterns")
         scored = edges.join(patterns, "pattern").groupBy("value", "kind_no").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("trust"))
-        best = scored.join(seeds, "value", "left_anti").groupBy("value").agg(F.max(F.struct("trust", "kind_no")).alias("best"))
-        instances = settle(seeds.unionByName(best.select("value", "best.kind_no", F.greatest("best.trust", F.lit(0.0)).alias("trust"))), "instances")
-    return patterns.select("pattern", "kind_no")
+        best = scored.join(seeds, "value", "left_anti").groupBy("value").agg(F.max(F.struct("trust", -F.col("kind_no"))).alias("best"))
+        instances = settle(seeds.unionByName(best.select("value", (-F.col("best.col2")).alias("kind_no"), F.greatest("best.trust", F.lit(0.0)).alias("trust"))), "instances")
+    return patterns
 
 
 def _written(spans: Column) -> Column:
-    names = F.array(*(F.lit(k) for k in KINDS))
+    names = F.array(*(F.lit(k) for k in FOUND_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans (all,
-    ``kind:start:end`` by start, then kind, comma-joined) and n_found, the spans that patterns added."""
+    ``kind:start:end`` by start, then kind, comma-joined), n_found, the spans that patterns added, and n_spans, all of them."""
     docs = texts(documents, id_col, text_col)
-    rows = settle(docs.select(F.expr("uuid()").alias("row"), "doc_id", base_spans("text").alias("base"), identifiers("text").alias("tokens")), "spans")
-    token = rows.select("row", "base", F.explode("tokens").alias("token")).select("row", "base", "token.*")
-    first = F.get(F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))), F.lit(0))
-    token = token.withColumn("seen", first).where("seen IS NULL OR seen.start >= start")  # the rest of a seed is no identifier of its own
-    found = settle(token.select("row", "start", "end", "pattern", "labelled", F.coalesce("seen.found", "value").alias("value"), F.col("seen.kind_no").alias("seed")), "identifiers")
-    patterns = confident_patterns(found, docs)
-    added = found.where("seed IS NULL AND value <> ''").join(patterns, "pattern")
-    added = settle(added.groupBy("row").agg(F.collect_list(F.struct("start", "kind_no", "end")).alias("added")), "added")
-    out = rows.select("row", "doc_id", "base").join(added, "row", "left")
-    plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind_no"].alias("kind_no"), b["end"].alias("end")))
-    every = F.array_sort(F.concat(plain, F.coalesce("added", F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))))
+    rows = settle(_pieces(docs), "pieces")
+    placed = _placed(rows)
+    base = settle(base_spans(placed), "base")
+    found = settle(seeded(base, identifiers(placed)), "identifiers")
+    patterns = confident_patterns(found, docs).withColumnRenamed("kind_no", "pattern_kind")
+    open_ = found.where(F.col("seed").isNull() | (F.col("seed") >= len(KINDS))).select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    added = open_.join(patterns, "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("confidence", -F.col("pattern_kind"))).alias("best"))
+    added = added.select("row", "start", (-F.col("best.col2")).alias("kind_no"), "end", F.lit(True).alias("added"))
+    every = base.select("row", "start", "kind_no", "end", F.lit(False).alias("added")).unionByName(added)
+    spans = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "added"))).alias("s"))
+    out = rows.select("row", "doc_id").join(settle(spans, "spans"), "row", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start:int,kind_no:int,end:int,added:boolean>>")))
+    out = out.withColumn("base", F.filter("s", lambda x: ~x["added"]))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind_no"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"), F.size(F.coalesce("added", F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))).alias("n_found"))
+    return out.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("s")).alias("spans"), (F.size("s") - F.size("base")).alias("n_found"), F.size("s").cast("long").alias("n_spans"))
