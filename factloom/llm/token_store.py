@@ -1,8 +1,9 @@
 """Token ids as one concatenated array with Elias-Fano encoded document boundaries.
 
 The tokenizers library's BPE works on the pieces that its pre-tokenizer cuts.  Here a
-numpy pass cuts a batch into the same pieces, each distinct piece is encoded once by
-the library and kept, and a document's ids are put together from its pieces' ids.
+numpy pass cuts a batch into the same pieces, a piece is encoded by the library and kept in a
+table of fixed size under a 63-bit hash, and a document's ids are put together from its pieces' ids.
+(Of the some million pieces that a worker holds two share a hash with a chance of 1e-7.)
 Whole texts go to the library where a tokenizer is of another make, or where a text
 holds the string of a special token.
 
@@ -47,8 +48,8 @@ from factloom.llm.common import settle, texts
 from factloom.plans.workspace import small_batches
 
 BLOCK_IDS = 1 << 20
-#: Pieces in each of the two generations that a worker keeps; older ones are encoded again.
-KEPT_PIECES = 200_000
+#: Bits of the table's places: a place keeps the last piece that fell on it.  Ids that are kept before the table starts anew.
+TABLE_BITS, KEPT_IDS = 21, 1 << 24
 #: Bytes of text in a part, most parts, sampled rows for each of them.
 PART_BYTES, MOST_PARTS, SAMPLE_EACH = 24 << 20, 20_000, 50
 #: Code points encoded at a time; some ten arrays of them are in memory.
@@ -150,8 +151,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.hashes, self.places = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int64)
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         form = self.tokenizer.pre_tokenizer
         self.whole = type(form).__name__ != "ByteLevel" or form.add_prefix_space or not form.use_regex or self.tokenizer.normalizer is not None
@@ -171,39 +172,47 @@ class Encoder:
         found = [next(own) if o else next(parts) for o in odd]
         return np.concatenate(found), np.cumsum([0, *map(len, found)])
 
-    def _known(self, names: list[bytes]) -> list[bytes]:
-        """Ids of distinct pieces.  Pieces in use move to the young generation; when that is full it becomes the old one."""
-        each = [self.young.get(x) for x in names]
-        missing = [i for i, x in enumerate(each) if x is None]
-        new = [i for i in missing if names[i] not in self.old]
-        fresh = dict(zip(new, self._library([names[i].decode() for i in new]), strict=True))
-        if len(self.young) + len(missing) > KEPT_PIECES:
-            before, self.old, self.young = self.old, self.young, {}
-        else:
-            before = self.old
-        for i in missing:
-            each[i] = fresh[i] if i in fresh else before[names[i]]
-            self.young[names[i]] = each[i]
-        return each
+    def _keep(self, names: list[bytes]) -> np.ndarray:
+        """Encode pieces, add their ids to the pool; each one's place there, shifted by 24 bits, and number of ids."""
+        each = self._library([x.decode() for x in names])
+        size = np.array([len(x) // 4 for x in each], dtype=np.int64)
+        ids = np.frombuffer(b"".join(each), dtype=np.uint32)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        places = ((self.used + np.cumsum(size) - size) << 24) | size
+        self.used += len(ids)
+        return places
 
     def _pieces(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer("".join(batch).encode(), dtype=np.uint8)
-        points = np.frombuffer("".join(batch).encode("utf-32-le"), dtype=np.uint32)
+        text = "".join(batch)
+        raw, points = np.frombuffer(text.encode(), dtype=np.uint8), np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         firsts = np.cumsum([0, *map(len, batch)])
         starts = piece_starts(points, firsts)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(batch) + 1, np.int64)
-        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-        place = np.concatenate([[0], np.cumsum(width)])
-        edge = np.append(place[starts], len(raw))
-        hashes = textkernel.Words(raw, edge[:-1], edge[1:], firsts, firsts, 0).hashes()
-        _, one, kind = np.unique(hashes, return_index=True, return_inverse=True)  # equal pieces of the batch
-        flat = raw.tobytes()
-        each = self._known([flat[a:b] for a, b in zip(edge[one].tolist(), edge[one + 1].tolist(), strict=True)])
-        size = np.array([len(x) // 4 for x in each])
-        pool, offset, count = np.frombuffer(b"".join(each), dtype=np.uint32), np.cumsum(size) - size, size[kind]
+        if self.used > KEPT_IDS:
+            self.hashes[:] = 0
+            self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        if len(raw) == len(points):
+            edge = np.append(starts, len(raw))
+        else:
+            width = 1 + (points > 0x7F).astype(np.uint8) + (points > 0x7FF) + (points > 0xFFFF)
+            edge = np.append((np.cumsum(width, dtype=np.int64) - width)[starts], len(raw))
+        hashes = textkernel.Words(raw, edge[:-1], edge[1:], firsts, firsts, 0).hashes() | np.uint64(1)  # 0 marks a free place
+        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        place = self.places[slot]
+        missing = np.flatnonzero(self.hashes[slot] != hashes)
+        if len(missing):
+            new, one, kind = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            flat, one = raw.tobytes(), missing[one]
+            found = self._keep([flat[a:b] for a, b in zip(edge[one].tolist(), edge[one + 1].tolist(), strict=True)])
+            place[missing] = found[kind]
+            own, last = np.unique(slot[one], return_index=True)
+            self.hashes[own], self.places[own] = new[last], found[last]
+        count = place & 0xFFFFFF
         end = np.cumsum(count)
-        ids = pool[np.repeat(offset[kind] - (end - count), count) + np.arange(int(end[-1]))]
+        ids = self.pool[np.repeat((place >> 24) - (end - count), count) + np.arange(int(end[-1]))]
         return ids, np.concatenate([[0], end])[np.searchsorted(starts, firsts)]
 
 
