@@ -151,14 +151,13 @@ def seeded(base: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, all): how often the words of each pattern stand in the corpus as they stand around an identifier."""
+    few = patterns.count() <= BROADCAST_PATTERNS
+    checked = lambda df: F.broadcast(df) if few else df
     words = docs.select(F.filter(F.split(F.regexp_replace(F.lower("text"), "[0-9]", "9"), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"))
-    known = F.broadcast(patterns.select("pattern", "words")) if patterns.count() <= BROADCAST_PATTERNS else patterns.select("pattern", "words")
-    made = {1: lambda w, i: w, 2: lambda w, i: F.concat(w, F.lit(" "), F.get("w", i + 1)), 3: lambda w, i: F.concat(w, F.lit(f" {GAP} "), F.get("w", i + 2))}
-    counted = []
-    for n, one in made.items():
-        each = words.select(F.explode(F.transform("w", one)).alias("pattern")).where("pattern IS NOT NULL")
-        counted.append(each.join(known.where(F.col("words") == n).select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("all")))
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    each = words.select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("word"), F.get("w", i + 1).alias("second"), F.get("w", i + 2).alias("third")))).alias("at")).select("at.*")
+    each = each.join(checked(patterns.select(F.element_at(F.split("pattern", " "), 1).alias("word")).distinct()), "word", "left_semi")
+    made = F.array("word", F.concat("word", F.lit(" "), "second"), F.concat("word", F.lit(f" {GAP} "), "third"))
+    return each.select(F.explode(made).alias("pattern")).join(checked(patterns.select("pattern")), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("all"))
 
 
 def confident_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -167,7 +166,7 @@ def confident_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     each = found.select(F.explode("patterns").alias("pattern"), "value", "seed", "labelled")
     edges = settle(each.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max("labelled").alias("labelled")), "edges")
     support = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("before"), F.max("labelled").alias("labelled"))
-    support = settle(support.where(F.col("values") >= SUPPORT).withColumn("words", F.size(F.split("pattern", " "))), "support")
+    support = settle(support.where(F.col("values") >= SUPPORT), "support")
     occurs = F.coalesce(F.when(~F.col("labelled"), F.col("all")), F.col("before"))
     specific = support.join(occurrences(docs, support.where("NOT labelled")), "pattern", "left").where(F.col("before") >= SPECIFIC * occurs).select("pattern")
     edges = settle(edges.join(settle(specific, "specific"), "pattern").select("pattern", "value", "seed"), "graph")
