@@ -23,7 +23,7 @@ executors, any file system that Spark reaches will do, and a block is read by it
 
 A store has parts, ranges of documents of near equal bytes, about PART_BYTES each and at most MOST_PARTS.
 They are cut by (doc_id, checksum of the text, a seeded number), found from a sample of
-SAMPLE_EACH rows a part, so a doc_id or a text that a third of all rows has is spread over parts, too.
+SAMPLE_EACH rows a part and all texts of a 64th of a part or more, so a doc_id or a text that a third of all rows has is spread over parts, too.
 
 Defined cases: a null text is an empty one, whose only id is the end id; rows without a
 doc_id come last; rows with equal doc_ids are stored one after the other, ordered by their texts'
@@ -51,7 +51,7 @@ BLOCK_IDS = 1 << 20
 #: Bits of the table's places: a place keeps the last piece that fell on it.  Ids that are kept before the table starts anew.
 TABLE_BITS, KEPT_IDS = 21, 1 << 24
 #: Bytes of text in a part, most parts, sampled rows for each of them.
-PART_BYTES, MOST_PARTS, SAMPLE_EACH = 24 << 20, 20_000, 50
+PART_BYTES, MOST_PARTS, SAMPLE_EACH = 24 << 20, 20_000, 100
 #: Code points encoded at a time; some ten arrays of them are in memory.
 SLICE_POINTS = 1 << 19
 _STORE = "part int, block int, documents int, first_doc long, width int, total long, low_bits int, ids binary, low binary, high binary, docs binary"
@@ -287,8 +287,11 @@ def _cuts(docs: DataFrame) -> tuple[int, list[tuple]]:
     if parts == 1:
         return 1, []
     share = min(1.0, parts * SAMPLE_EACH / total["rows"])
-    sample = docs.where(F.pmod(F.xxhash64("spread"), F.lit(1_000_000)) <= int(share * 1_000_000))
-    sample = sample.select("last", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "mark", "spread", (F.octet_length("text") + 2).alias("size")).toPandas().sort_values(["last", "doc_id", "mark", "spread"])
+    size = F.octet_length("text") + 2
+    sure = size >= total["bytes"] // parts // 64
+    sample = docs.where(sure | (F.pmod(F.xxhash64("spread"), F.lit(1_000_000)) < share * 1_000_000))
+    sample = sample.select("last", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "mark", "spread", F.when(sure, size).otherwise(size / share).alias("size"))
+    sample = sample.toPandas().sort_values(["last", "doc_id", "mark", "spread"])
     ends = sample["size"].cumsum().to_numpy()
     at = np.unique(np.searchsorted(ends, np.arange(1, parts) * (ends[-1] / parts)))
     return parts, [(bool(r[0]), int(r[1]), int(r[2]), float(r[3])) for r in sample.iloc[at][["last", "doc_id", "mark", "spread"]].itertuples(index=False)]
