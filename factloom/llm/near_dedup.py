@@ -9,10 +9,11 @@
    ones two sketches of documents at the threshold share at least LEAST of K values
    but for a chance of 2e-9.  The rarest values are taken, so a line or passage that
    many documents share makes no long lists unless they consist of little else.
-3. A list's members are compared with its hub first, the member with the most values
-   in other sketches (in a group of copies the original, or one close to it), then
-   with another one; of its lists' hubs a document meets the one it shares most lists with.
-   Links form components: a group of n copies costs n comparisons.
+3. A list's members are compared with its hub first, the member whose values most other
+   sketches have (in a group of copies the original, or one close to it), then
+   with others, drawn anew in each round; of its lists' hubs a document meets the one it shares most lists with.
+   Links form components: a group of n copies costs n comparisons a round.  Rounds go on while
+   one in LINKED of a round's comparisons is a new link.
    The union sketch of a pair (the K smallest of both) estimates its similarity and
    drops pairs that are far off.
 4. Lists that still hold several components are finished on full sets.  Within their
@@ -48,7 +49,8 @@ from factloom.llm.common import bitmap, components, in_bitmap, join_by_key, rele
 SHINGLE, PERCENT = 5, 75
 #: Sketch length; most shingles for which the bound is certain; least shared values otherwise.
 K, EXACT, LEAST = 64, 48, 24
-HUB_ROUNDS = 2
+#: Fewest and most rounds of hubs; comparisons for each link that a round must find for another one.
+HUB_ROUNDS, MOST_HUB_ROUNDS, LINKED = 2, 6, 20
 #: Most rows to remove whose two hashes are broadcast (some 60 bytes each).
 BROADCAST_ROWS = 500_000
 _SIGN = np.uint64(1 << 63)
@@ -170,15 +172,16 @@ def _ordered(x: str, y: str) -> list:
 
 def _rarest(rows: DataFrame, take, *keys: str) -> DataFrame:
     """Of the rows (value, *keys) the rarest of each key: values in two rows or more, as many as ``take``,
-    a number over ``common``, says.  Adds ``common``, the number of such values, and ``place``, from 0, the rarest first."""
+    a number over ``common``, says.  Adds ``common``, the number of such values, ``fame``, how much others have them,
+    and ``place``, from 0, the rarest first."""
     lengths = settle(rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "lengths")
-    listed = rows.join(lengths, "value").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("c"))
+    listed = rows.join(lengths, "value").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("c"), F.sum(F.log2("df")).alias("fame"))
     listed = listed.withColumn("common", F.size("c")).withColumn("take", F.greatest(take, F.lit(0)).cast("int")).where("take > 0")
-    return listed.select(*keys, "common", F.posexplode(F.slice("c", F.lit(1), F.col("take"))).alias("place", "c")).select(F.col("c.value").alias("value"), *keys, "common", "place")
+    return listed.select(*keys, "common", "fame", F.posexplode(F.slice("c", F.lit(1), F.col("take"))).alias("place", "c")).select(F.col("c.value").alias("value"), *keys, "common", "fame", "place")
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, rep, n, common): each sketch under the rarest values that it must share one of with a partner."""
+    """(value, rep, n, common, fame): each sketch under the rarest values that it must share one of with a partner."""
     values = classes.select(F.explode("sketch").alias("value"))
     bits = classes.sparkSession.sparkContext.broadcast(bitmap(settle(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value"), "shared"), "value"))
     common = classes.select("rep", F.col("n_shingles").alias("n"), "sketch").mapInArrow(_common(bits), "value long, rep long, n long, m int")
@@ -198,7 +201,7 @@ def _full_pairs(lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFr
     members = settle(lists.select("rep", "component").distinct(), "members")
     full = settle(_texts_of(members, docs, classes).mapInArrow(_all_shingles, "value long, rep long, n long"), "full")
     least = F.ceil(F.col("n") * PERCENT / 100)
-    rare = _rarest(full, F.col("common") - least + 1, "rep", "n").join(members, "rep")
+    rare = _rarest(full, F.col("common") - least + 1, "rep", "n").drop("fame").join(members, "rep")
     rare = settle(rare, "rare")
     other = rare.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "common", "component", "place")))
     enough = F.least(F.col("common") - F.col("place"), F.col("common2") - F.col("place2")) * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2"))
@@ -213,20 +216,22 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     members = settle(join_by_key(rows.drop("sketch"), classes.select("key", "rep", "doc", "members"), "key", "members", rows.count()).drop("key"), "members")
-    lists = settle(inverted_lists(classes), "lists")
+    lists = settle(inverted_lists(classes).withColumn("component", F.col("rep")), "lists")
     sketches = classes.select("rep", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")))
-    links = None
-    for turn in range(HUB_ROUNDS):
-        first = F.xxhash64(F.col("rep"), F.lit(turn)) if turn else -F.col("common")
-        hub = F.min(F.struct(first, F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
-        hubs = settle(lists.groupBy("value").agg(hub.alias("h")).select("value", "h.hub", "h.hub_n"), "hubs")
-        met = lists.join(hubs, "value").where((F.col("rep") != F.col("hub")) & _near("n", "hub_n")).groupBy("rep", "hub").agg(F.count("*").alias("lists"))
+    links, turn, more = None, 0, True
+    while turn < HUB_ROUNDS or more and turn < MOST_HUB_ROUNDS:
+        first = F.xxhash64(F.col("rep"), F.lit(turn)) if turn else -F.col("fame")
+        hub = F.min(F.struct(first, F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")))
+        hubs = settle(lists.groupBy("value").agg(hub.alias("h")).select("value", "h.hub", "h.hub_n", "h.hub_component"), "hubs")
+        met = lists.join(hubs, "value").where((F.col("component") != F.col("hub_component")) & _near("n", "hub_n")).groupBy("rep", "hub").agg(F.count("*").alias("lists"))
         pairs = met.groupBy("rep").agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("hub")).select(*_ordered("rep", "hub")).distinct()
-        found = _links(settle(pairs, "pairs"), docs, classes, sketches)
+        pairs = settle(pairs, "pairs")
+        found = _links(pairs, docs, classes, sketches)
         links = found if links is None else links.union(found)
         labels = components(links)
         lists = _open_lists(lists, labels)
         release(docs.sparkSession)
+        turn, more = turn + 1, found.count() * LINKED >= pairs.count() > 0
     found = _links(settle(_full_pairs(lists, docs, classes), "pairs"), docs, classes)
     if found.limit(1).count():
         labels = components(links.union(found))
