@@ -20,9 +20,13 @@ def text(x: Column | str) -> Column:
     return F.coalesce(column(x).cast("string"), F.lit(""))
 
 
+#: All characters that count as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column | str) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(column(x), r"(?U)^\s+|\s+$", "")
+    return F.btrim(column(x), F.lit(WHITE))
 
 
 def words(x: Column | str, longer_than: int = 0) -> Column:
