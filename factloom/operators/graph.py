@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom import vocab
 from factloom.functions.text import lookup, text
+from factloom.plans.workspace import settle
 
 NODE_SLOTS = {"Drug": ("drug", "drug"), "Condition": ("condition", "condition"), "Outcome": ("outcome", "outcome_match")}
 OPTIONAL = ["treatment_line", "patient_subgroup", "study_design", "duration", "dose", "effect_size", "confidence_interval", "outcome"]
@@ -37,9 +38,7 @@ def node_candidates(normalised: DataFrame) -> DataFrame:
 
 
 def nodes(normalised: DataFrame) -> DataFrame:
-    attributes = ["name", "normalized_name", "match_type", "match_score", "category"]
-    best = node_candidates(normalised).groupBy("label", "id").agg(F.max_by(F.struct(*attributes), F.struct("load_seq", -F.col("fact_index"))).alias("n"))
-    return best.select("label", "id", "n.*")
+    return merged_nodes(node_candidates(normalised))
 
 
 def edge_evidence(normalised: DataFrame) -> DataFrame:
@@ -85,22 +84,46 @@ def side_effect_edges(normalised: DataFrame) -> DataFrame:
     return each.select("src_id", F.lit("ASSOCIATED_WITH_SE").alias("rel_type"), node_id("side_effect", F.col("m")).alias("dst_id"), "load_seq", "fact_index").where("src_id IS NOT NULL AND dst_id IS NOT NULL")
 
 
+#: Loads in one part of the mention and evidence tables.
+LOADS_PER_PART = 1024
+
+
+def _loaded(name: str, normalised: DataFrame) -> DataFrame:
+    rows = node_candidates(normalised) if name == "mentions" else edge_evidence(normalised)
+    return rows.withColumn("load_part", F.floor(F.col("load_seq") / LOADS_PER_PART))
+
+
+def merged_nodes(mentions: DataFrame) -> DataFrame:
+    """One node for each (label, id): the attributes of the first fact of the last load."""
+    attributes = ["name", "normalized_name", "match_type", "match_score", "category"]
+    best = mentions.groupBy("label", "id").agg(F.max_by(F.struct(*attributes), F.struct("load_seq", -F.col("fact_index"))).alias("n"))
+    return best.select("label", "id", "n.*")
+
+
 class GraphStore:
-    """The three tables under one folder; ``load`` replaces or adds a load and rebuilds nodes and edges from the evidence."""
+    """Mentions and evidence by load, and the nodes and edges that they make, under one folder.  ``load`` adds loads;
+    a load (load_seq) that is there already is replaced, in the parts that hold it, and nodes and edges are made anew."""
 
     def __init__(self, spark, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}").drop("load_part")
+
+    def _exists(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def load(self, normalised: DataFrame, clear: bool = False) -> None:
-        mode = "overwrite" if clear else "append"
-        node_candidates(normalised).write.mode(mode).partitionBy("label").parquet(f"{self.path}/mentions")
-        edge_evidence(normalised).write.mode(mode).partitionBy("rel_type").parquet(f"{self.path}/edge_evidence")
-        attributes = ["name", "normalized_name", "match_type", "match_score", "category"]
-        best = self.table("mentions").groupBy("label", "id").agg(F.max_by(F.struct(*attributes), F.struct("load_seq", -F.col("fact_index"))).alias("n"))
-        best.select("label", "id", "n.*").write.mode("overwrite").parquet(f"{self.path}/nodes")
+        for name in ("mentions", "edge_evidence"):
+            rows = _loaded(name, normalised)
+            if not clear and self._exists(name):
+                rows = settle(rows, name)
+                old = self.spark.read.parquet(f"{self.path}/{name}").join(rows.select("load_part").distinct(), "load_part", "left_semi")
+                old = old.join(rows.select("load_seq").distinct(), "load_seq", "left_anti")
+                rows = settle(rows.unionByName(old), name)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if clear else "dynamic").partitionBy("load_part").parquet(f"{self.path}/{name}")
+        merged_nodes(self.table("mentions")).write.mode("overwrite").parquet(f"{self.path}/nodes")
         edges(self.table("edge_evidence")).write.mode("overwrite").parquet(f"{self.path}/edges")
 
     def register(self) -> None:

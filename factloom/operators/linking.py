@@ -1,17 +1,20 @@
 """Terms of facts to ontology concepts: exact and synonym by join, fuzzy for what is left.
 
-All slots of a fact go through one long form (fact, slot, position, text): the distinct
-surfaces are linked once and joined back, however often they occur.
+The distinct surfaces of all slots are linked once, settled, and joined back to the facts
+slot by slot, however often they occur; lists of side effects are joined as lists.  These tables are
+small beside the facts and mostly broadcast, so facts stay where they lie.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom import schemas
 from factloom.functions.similarity import matching_ratios, ratio_bound
 from factloom.functions.text import listed, surface, text
+from factloom.plans.workspace import settle
 
 SLOTS = {"drug": ("drugs", "drug_name"), "condition": ("conditions", "condition_name"), "relation": ("relations", "relation"), "outcome": ("outcomes", "outcome")}
 FUZZY_CUTOFF = 0.86
@@ -61,7 +64,7 @@ def link_fuzzy(misses: DataFrame, keys: DataFrame, cutoff: float = FUZZY_CUTOFF)
 
 def link(terms: DataFrame, keys: DataFrame, fuzzy: bool = True, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """Distinct (entity_type, text) -> match columns."""
-    exact = link_exact(terms.select("entity_type", "text").distinct(), keys)
+    exact = settle(link_exact(terms.select("entity_type", "text").distinct(), keys), "surfaces")
     if not fuzzy:
         return exact.drop("key")
     near = link_fuzzy(exact.where("match_type = 'unmatched'"), keys, cutoff).drop("known")
@@ -84,16 +87,17 @@ def match_struct() -> Column:
 
 def normalise(facts: DataFrame, keys: DataFrame, key: str = "fact_index", fuzzy: bool = True, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """Facts with ``drug``, ``condition``, ``relation_match``, ``outcome_match`` and ``side_effect_matches``."""
-    long = linked_slots(facts, keys, key, fuzzy, cutoff)
-    one = lambda s: F.max(F.when(F.col("slot") == s, match_struct()))
-    wide = long.groupBy(key).agg(
-        one("drug").alias("drug"),
-        one("condition").alias("condition"),
-        one("relation").alias("relation_match"),
-        one("outcome").alias("outcome_match"),
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("slot") == "side_effect", F.struct("pos", match_struct().alias("m"))))), lambda x: x["m"]).alias("side_effect_matches"),
-    )
-    return facts.join(wide, key)
+    links = settle(link(slots(facts, key), keys, fuzzy, cutoff).select("entity_type", "text", match_struct().alias("match")), "links")
+    out = facts
+    for slot, (entity_type, column) in SLOTS.items():
+        name = {"drug": "drug", "condition": "condition"}.get(slot, f"{slot}_match")
+        known = links.where(F.col("entity_type") == entity_type).select(F.col("text").alias("_text"), F.col("match").alias(name))
+        out = out.join(known.where("_text <> ''") if slot == "outcome" else known, text(out[column]) == F.col("_text"), "left").drop("_text")
+    lists = facts.select(listed("side_effects").alias("_list")).distinct()
+    each = lists.select("_list", F.posexplode("_list").alias("pos", "text")).join(links.where("entity_type = 'side_effects'"), "text")
+    matched = each.groupBy("_list").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "match"))), lambda x: x["match"]).alias("side_effect_matches"))
+    out = out.withColumn("_listed", listed("side_effects")).join(settle(matched, "lists"), F.col("_listed") == F.col("_list"), "left").drop("_listed", "_list")
+    return out.withColumn("side_effect_matches", F.coalesce("side_effect_matches", F.array().cast(T.ArrayType(schemas.MATCH))))
 
 
 def is_matched(match: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from factloom.functions.similarity import cosine
 from factloom.functions.text import eligible, paper_id, section_name, surface, truncated
 from factloom.operators import extraction, graph, graph_reads, linking, quality, reports, sections, validation
 from factloom.plans import fixture
-from factloom.plans.evidence import graph_tables
+from factloom.plans.workspace import workspace
 from factloom.sources import documents as document_sources
 from factloom.sources import ontology
 
@@ -45,6 +46,26 @@ def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.normalise(fixture.facts(spark, sf_dir), _keys(spark))
 
 
+_stores: dict[tuple, str] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> graph.GraphStore:
+    """The graph of a folder's facts, loaded once in a session; what the graph questions read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen())
+    if key not in _stores:
+        store = graph.GraphStore(spark, f"{workspace(spark)}/graph-{uuid.uuid4().hex[:8]}")
+        store.load(_normalised(spark, sf_dir), clear=True)
+        _stores[key] = store.path
+    return graph.GraphStore(spark, _stores[key])
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    store = _store(spark, sf_dir)
+    return store.table("nodes"), store.table("edges"), store.table("edge_evidence")
+
+
 # --- what DuckDB needs: expected matches from the standard library, and the tables built from them ---
 
 
@@ -381,17 +402,17 @@ def unmatched_report(spark, sf_dir):
 
 @query(f"{_GRAPH} SELECT label, id, name, normalized_name, match_type, round(match_score, 9) AS match_score, category FROM nodes")
 def graph_nodes(spark, sf_dir):
-    return graph.nodes(_normalised(spark, sf_dir)).withColumn("match_score", F.round("match_score", 9))
+    return _graph(spark, sf_dir)[0].withColumn("match_score", F.round("match_score", 9))
 
 
 @query(f"{_GRAPH} SELECT * FROM edges")
 def graph_edges(spark, sf_dir):
-    return graph.edges(graph.edge_evidence(_normalised(spark, sf_dir)))
+    return _graph(spark, sf_dir)[1]
 
 
 @query(f"{_GRAPH} SELECT * FROM edge_evidence")
 def edge_evidence(spark, sf_dir):
-    return graph.edge_evidence(_normalised(spark, sf_dir))
+    return _graph(spark, sf_dir)[2]
 
 
 @query(f"{_GRAPH} SELECT 'nodes' AS counter, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'relations', rel_type, count(*) FROM edge_evidence GROUP BY rel_type")
@@ -400,10 +421,6 @@ def load_counters(spark, sf_dir):
     return graph.load_counters(facts, graph.edge_evidence(facts))
 
 
-def _graph(spark, sf_dir):
-    return graph_tables(_normalised(spark, sf_dir))
-
-
 @query(f"{_GRAPH} SELECT src_id AS drug_id, rel_type, dst_id AS target_id, confidence FROM edges WHERE confidence < 0.6")
 def low_confidence_edges(spark, sf_dir):
     return graph_reads.low_confidence(_graph(spark, sf_dir)[1])

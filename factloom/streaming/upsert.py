@@ -9,7 +9,6 @@ files change what they should and nothing else.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from factloom.operators import graph
@@ -27,9 +26,7 @@ class GraphSink:
         return self.spark.read.parquet(f"{self.path}/{name}").drop("batch")
 
     def nodes(self) -> DataFrame:
-        attributes = ["name", "normalized_name", "match_type", "match_score", "category"]
-        best = self._read("mentions").groupBy("label", "id").agg(F.max_by(F.struct(*attributes), F.struct("load_seq", -F.col("fact_index"))).alias("n"))
-        return best.select("label", "id", "n.*")
+        return graph.merged_nodes(self._read("mentions"))
 
     def edges(self) -> DataFrame:
         return graph.edges(self._read("edge_evidence"))
