@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.functions import text
+from factloom.functions import arrays, text
 from factloom.operators import sections
 from factloom.sources import documents, ontology
 
@@ -38,6 +38,71 @@ def test_sentence_offsets(spark):
     assert all(body[r.start : r.end].strip() == r.sentence for r in rows)
 
 
+def plain_sections(markdown):
+    """Line by line, as the rule is told."""
+    name, lines, out = "Document", [], []
+    for line in [*markdown.splitlines(), "# end"]:
+        if line.strip().startswith("#"):
+            body = "\n".join(lines).strip()
+            if body:
+                out.append((name, body))
+            name, lines = re.sub(r"^#+\s*", "", line).strip() or "Section", []
+        else:
+            lines.append(line)
+    return out
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="#A b.\n\r\t\x0b\x1c\x85\u2028\xa0é", max_size=60), min_size=20, max_size=40))
+def test_sections_equal_the_plain_ones(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "source_id long, markdown string")
+    got = {}
+    for r in sections.split_sections(df).orderBy("source_id", "section_seq").collect():
+        got.setdefault(r.source_id, []).append((r.raw_name, r.text))
+        at = texts[r.source_id].find(r.text)
+        assert r.start_offset == (at if at >= 0 else len(texts[r.source_id]))
+    assert got == {i: plain_sections(t) for i, t in enumerate(texts) if plain_sections(t)}
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet="Ab. (!?\n\xa0é", max_size=200), min_size=10, max_size=30))
+def test_sentences_equal_the_plain_ones(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for r in sections.split_sentences(df, ["id"]).orderBy("id", "sent_seq").collect():
+        got.setdefault(r.id, []).append((r.sentence, r.start, r.end))
+    want = {}
+    for i, t in enumerate(texts):
+        bounds = [(0, 0), *((m.start(), m.end()) for m in re.finditer(r"(?<=[.!?])\s+(?=[A-Z(])", t)), (len(t), len(t))]
+        for (_, a), (b, _) in zip(bounds, bounds[1:], strict=False):
+            if t[a:b].strip():
+                want.setdefault(i, []).append((t[a:b].strip(), a, b))
+    assert got == want
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(1, list(range(n))) for n in (0, 1, 2, 3, 10, 99, 5000)] + [(2, None)], "id int, a array<int>")
+    for r in arrays.with_running_sums(df, "a", "s").collect():
+        assert r.s == ([sum(r.a[: i + 1]) for i in range(len(r.a))] if r.a is not None else []) or r.a is None
+
+
+def test_a_long_document_takes_linear_time(spark):
+    """1 MB of lines and sentences, a section for each 40 of them."""
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        text = "\n".join(f"# Head {i}" if i % 40 == 0 else f"Sentence number {i}.\nAnd more." for i in range(n))
+        df = spark.createDataFrame([("x", text)], "source_id string, markdown string")
+        assert sections.split_sections(df).where("end_offset > start_offset").count() == n // 40
+        assert sections.split_sentences(df, ["source_id"], "markdown").where("end > start").count() > n
+        return time.perf_counter() - began
+
+    took(80)
+    one, four = took(10_000), took(40_000)
+    assert four < 4 * one + 8
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.text(alphabet="Ab c'’é-9\t", max_size=12), min_size=1, max_size=20))
 def test_surface_is_idempotent_and_plain(spark, terms):
