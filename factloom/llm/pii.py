@@ -154,7 +154,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     few = patterns.count() <= BROADCAST_PATTERNS
     checked = lambda df: F.broadcast(df) if few else df
     words = docs.select(F.filter(F.split(F.regexp_replace(F.lower("text"), "[0-9]", "9"), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"))
-    each = words.select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("word"), F.get("w", i + 1).alias("second"), F.get("w", i + 2).alias("third")))).alias("at")).select("at.*")
+    # The outer form: for the inner one Catalyst infers a filter that splits every text once more.
+    each = words.select(F.explode_outer(F.transform("w", lambda w, i: F.struct(w.alias("word"), F.get("w", i + 1).alias("second"), F.get("w", i + 2).alias("third")))).alias("at")).where("at IS NOT NULL").select("at.*")
     each = each.join(checked(patterns.select(F.element_at(F.split("pattern", " "), 1).alias("word")).distinct()), "word", "left_semi")
     made = F.array("word", F.concat("word", F.lit(" "), "second"), F.concat("word", F.lit(f" {GAP} "), "third"))
     return each.select(F.explode(made).alias("pattern")).join(checked(patterns.select("pattern")), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("all"))
