@@ -30,13 +30,13 @@ def _parser() -> argparse.ArgumentParser:
     needed, text = {"required": True}, {}
     config = ("--config", {"help": "ontology file; the built-in example without one"})
     command("parse", ("--source", needed), ("--out", needed))
-    command("extract", ("--input", needed), ("--output", needed), config)
-    command("validate", ("--input", needed), ("--output", needed), ("--profile", {"default": "default", "choices": ["default", "strict"]}), ("--show-details", {"action": "store_true"}))
+    command("extract", ("--input", needed), ("--output", needed), ("--model", {"default": "dictionary", "help": "name that is written with the facts"}), ("--load-seq", {"type": int, "default": 0, "help": "place of these papers in the order of loads"}), config)
+    command("validate", ("--input", needed), ("--output", needed), ("--issues", {"help": "folder for the issues by type; in the output's without one"}), ("--profile", {"default": "default", "choices": ["default", "strict"]}), ("--show-details", {"action": "store_true"}))
     command("quality", ("--input", needed), ("--output", text), ("--methods", {"nargs": "+", "default": ["heuristic"], "choices": ["heuristic", "knowledge_base"]}), ("--sample-size", {"type": int}), ("--min-precision", {"type": float, "default": 0.95}))
     command("normalise", ("--input", needed), ("--output", needed), config, ("--min-fuzzy-score", {"type": float, "default": linking.FUZZY_CUTOFF}))
     command("unmatched", ("--input", needed), config)
     command("load", ("--input", needed), ("--graph", needed), ("--clear", {"action": "store_true"}))
-    command("batch", ("--source", {"nargs": "+", "required": True}), ("--output-base", needed), ("--quality-threshold", {"type": float, "default": 0.7}), ("--min-quality-score", {"type": float}), config)
+    command("batch", ("--source", {"nargs": "+", "default": []}), ("--file", {"help": "list of sources, one a line"}), ("--output-base", needed), ("--quality-threshold", {"type": float, "default": 0.7}), ("--min-quality-score", {"type": float}), config)
     return parser
 
 
@@ -50,6 +50,17 @@ def _extractor(concepts: DataFrame) -> extraction.DictionaryExtractor:
     return extraction.DictionaryExtractor(names("drugs"), names("conditions"))
 
 
+def _documents(spark: SparkSession, source: str) -> DataFrame:
+    """(source_id, markdown) of Markdown files, HTML files (their main text) or a web address."""
+    if source.lower().startswith(("http://", "https://")):
+        pages = documents.fetched(spark.createDataFrame([(source,)], "source string"), documents.download)
+        return documents.page_documents(pages).select("source_id", F.col("text").alias("markdown"))
+    if source.lower().endswith((".html", ".htm")):
+        pages = spark.read.text(source, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
+        return documents.page_documents(pages, by_name=True).select("source_id", F.col("text").alias("markdown"))
+    return documents.markdown_files(spark, source).select("source_id", "markdown")
+
+
 def _facts(spark: SparkSession, path: str) -> DataFrame:
     """A fact file, or a table that an earlier command wrote."""
     return facts.read_facts(spark, path) if path.endswith(".json") else spark.read.parquet(path)
@@ -57,14 +68,14 @@ def _facts(spark: SparkSession, path: str) -> DataFrame:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command == "parse":
-        documents.write_parsed(sections.parsed_documents(documents.markdown_files(spark, args.source)), args.out)
+        documents.write_parsed(sections.parsed_documents(_documents(spark, args.source)), args.out)
     elif args.command == "extract":
         parsed = documents.read_parsed(spark, args.input).select("source_id", F.explode("sections").alias("s")).select("source_id", "s.name", "s.text") if args.input.endswith(".json") else spark.read.json(args.input).select("source_id", F.explode("sections").alias("s")).select("source_id", "s.name", "s.text")
         found = extraction.clean_facts(extraction.extract(parsed, _extractor(_concepts(spark, args.config))))
-        facts.write_table(found.withColumn("fact_index", F.xxhash64("source_id", "section", "span", "drug_name", "condition_name")).withColumn("load_seq", F.lit(0).cast("long")), args.output)
+        facts.write_table(extraction.numbered(found).withColumn("load_seq", F.lit(args.load_seq).cast("long")).withColumn("extraction_model", F.lit(args.model)), args.output)
     elif args.command == "validate":
         checked = validation.validate(_facts(spark, args.input), args.profile)
-        facts.write_validated(checked, args.output)
+        facts.write_validated(checked, args.output, args.issues)
         validation.validation_report(checked).show()
         if args.show_details:
             validation.issues_by_type(validation.issues(checked)).show(truncate=False)
@@ -91,9 +102,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         store.table("nodes").groupBy("label").count().show()
     elif args.command == "batch":
         concepts = _concepts(spark, args.config)
+        listed = [*args.source, *([r["source"] for r in documents.source_list(spark, args.file).collect()] if args.file else [])]  # arguments, not data
         docs = None
-        for source in args.source:
-            more = documents.markdown_files(spark, source)
+        for load_seq, source in enumerate(listed):
+            more = _documents(spark, source).withColumn("load_seq", F.lit(load_seq).cast("long"))
             docs = more if docs is None else docs.unionByName(more)
         stages = evidence.process_papers(docs, _extractor(concepts), concepts, threshold=args.quality_threshold, min_score=args.min_quality_score)
         for name in ("extracted", "checked", "normalised", "runs"):

@@ -11,8 +11,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom import schemas, vocab
 from factloom.functions.text import contains_any, contains_term, eligible, lookup, strip, text, truncated
@@ -40,9 +42,25 @@ class DictionaryExtractor:
 
 
 def extract(sections: DataFrame, extractor: Extractor) -> DataFrame:
-    """Facts of all eligible sections, nothing dropped for being a duplicate."""
+    """Facts of all eligible sections, nothing dropped for being a duplicate, with ``place``: a number that rises with
+    the order in which a task's sections gave them.  Sections of a document that lie together in order, as
+    ``split_sections`` leaves them, so have their facts in order.  Write the result before it is used twice:
+    another evaluation asks the extractor again."""
     worth = sections.where(eligible("name", "text")).select("source_id", F.col("name").alias("section"), truncated("text").alias("text"))
-    return worth.mapInPandas(extractor, schemas.FACT)
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = TaskContext.get().partitionId() << 33
+        for facts in extractor(frames):
+            yield facts.assign(place=range(at, at + len(facts)))
+            at += len(facts)
+
+    return worth.mapInPandas(placed, T.StructType([*schemas.FACT.fields, T.StructField("place", T.LongType())]))
+
+
+def numbered(placed: DataFrame) -> DataFrame:
+    """Facts with ``fact_index``, from 0 in each document, in the order of their places."""
+    index = F.row_number().over(Window.partitionBy("source_id").orderBy("place")) - 1
+    return placed.withColumn("fact_index", index.cast("long")).drop("place")
 
 
 def sample_size(raw: Column | str) -> Column:

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import extraction, graph, linking, quality, sections, validation
-from factloom.plans.indexing import ordinal
+from factloom.plans.workspace import settle
 
 
 @dataclass
 class Stages:
-    """The tables of a run; each is lazy until written."""
+    """The tables of a run; facts are settled, what follows from them by expressions is lazy."""
 
     sections: DataFrame
     extracted: DataFrame
@@ -24,24 +24,29 @@ class Stages:
     runs: DataFrame
 
 
-def process_papers(documents: DataFrame, extractor: extraction.Extractor, concepts: DataFrame, methods: dict[str, Column] | None = None, threshold: float = 0.7, min_score: float | None = None, load_seq: int = 0) -> Stages:
-    """``documents`` has (source_id, markdown).  Papers that fail their gate go no further; a paper without
-    valid facts fails it.  ``runs`` has a row for each paper that was parsed."""
+def process_papers(documents: DataFrame, extractor: extraction.Extractor, concepts: DataFrame, methods: dict[str, Column] | None = None, threshold: float = 0.7, min_score: float | None = None) -> Stages:
+    """``documents`` has (source_id, markdown) and may have ``load_seq``, the order in which papers are loaded into a
+    graph; without it that is the order of their ids.  ``fact_index`` is a fact's place in its paper.  Papers that fail
+    their gate go no further; a paper without valid facts fails it.  ``runs`` has a row for each paper that was parsed.
+    The extractor is asked once for each section: its facts are settled here, and all tables read them from there."""
     parts = sections.split_sections(documents)
-    raw = extraction.clean_facts(extraction.extract(parts, extractor))
-    raw = raw.withColumn("_lead", F.crc32("source_id"))
-    order = ["_lead", "source_id", "section", "span", "drug_name", "condition_name", "relation"]
-    extracted = ordinal(raw, "_lead", order, "fact_index", width=1 << 20).drop("_lead").withColumn("load_seq", F.lit(load_seq).cast("long"))
+    raw = settle(extraction.extract(parts, extractor), "extracted")
+    if "load_seq" in documents.columns:
+        papers = documents.groupBy("source_id").agg(F.max("load_seq").alias("load_seq"))
+    else:
+        papers = documents.select("source_id").distinct().orderBy("source_id").withColumn("load_seq", F.monotonically_increasing_id())
+    papers = settle(papers, "papers")
+    extracted = settle(extraction.numbered(extraction.clean_facts(raw)).join(papers, "source_id"), "facts")
     checked = validation.validate(extracted)
-    assessed = quality.assess(checked.where("is_valid").drop("issues", "is_valid"), methods or {"heuristic": quality.heuristic()})
+    assessed = settle(quality.assess(checked.where("is_valid").drop("issues", "is_valid"), methods or {"heuristic": quality.heuristic()}), "assessed")
     gates = quality.gate(assessed, threshold, min_score)
     kept = assessed if min_score is None else quality.above(assessed, min_score)
     passed = kept.join(gates.where("status = 'SUCCESS'").select("source_id"), "source_id", "left_semi")
     keys = linking.concept_keys(concepts)
-    normalised = linking.normalise(passed.drop("method_results", "quality_score", "likely_correct"), keys)
+    normalised = settle(linking.normalise(passed.drop("method_results", "quality_score", "likely_correct"), keys), "normalised")
     counts = checked.groupBy("source_id").agg(F.count("*").alias("extracted"), F.count_if("is_valid").alias("valid"))
     done = normalised.groupBy("source_id").agg(F.count("*").alias("normalised"))
-    runs = documents.select("source_id").distinct().join(counts, "source_id", "left").join(gates, "source_id", "left").join(done, "source_id", "left")
+    runs = papers.join(counts, "source_id", "left").join(gates, "source_id", "left").join(done, "source_id", "left")
     runs = runs.select("source_id", F.coalesce("status", F.lit("QUALITY_GATE_FAILED")).alias("status"), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("extracted", "valid", "normalised")), "estimated_precision", "average_quality_score")
     return Stages(parts, extracted, checked, assessed, gates, normalised, runs)
 

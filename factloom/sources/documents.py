@@ -42,6 +42,18 @@ def fetched(sources: DataFrame, fetcher: Fetcher) -> DataFrame:
     return urls.mapInPandas(fetcher, "url string, html string")
 
 
+def download(frames: Iterator[pd.DataFrame], timeout: int = 60) -> Iterator[pd.DataFrame]:
+    """A fetcher over the network; an address that answers with an error raises."""
+    from urllib.request import urlopen
+
+    for frame in frames:
+        pages = []
+        for url in frame["url"]:
+            with urlopen(url, timeout=timeout) as answer:  # noqa: S310  only http and https get here, see fetched()
+                pages.append(answer.read().decode("utf-8", "ignore"))
+        yield pd.DataFrame({"url": frame["url"], "html": pages})
+
+
 class _MainText(HTMLParser):
     """Text of the article, or of the whole page if it has none; scripts, navigation and advertisements left out."""
 
@@ -107,9 +119,10 @@ def _main_texts(html: pd.Series) -> pd.Series:
     return html.map(main_text)
 
 
-def page_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source_id, url, text): web pages as documents of one section."""
-    return pages.select(paper_id(url_col).alias("source_id"), F.col(url_col).alias("url"), _main_texts(F.coalesce(F.col(html_col), F.lit(""))).alias("text"))
+def page_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html", by_name: bool = False) -> DataFrame:
+    """(source_id, url, text): web pages as documents of one section.  ``by_name``: the addresses are those of files, named by their stems."""
+    address = F.regexp_replace(url_col, r"^[A-Za-z]+:/+", "/") if by_name else F.col(url_col)
+    return pages.select(paper_id(address).alias("source_id"), F.col(url_col).alias("url"), _main_texts(F.coalesce(F.col(html_col), F.lit(""))).alias("text"))
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:

@@ -15,24 +15,36 @@ class OntologyError(RuntimeError):
     """The configuration is missing or not of the expected form."""
 
 
-def load_config(path: str) -> dict:
-    """A JSON or, where a YAML reader is installed, YAML file."""
-    file = Path(path)
-    if not file.exists():
-        raise OntologyError(f"no configuration at {path}")
-    if file.suffix in (".yaml", ".yml"):
+def _parsed(text: str, path: str) -> dict:
+    if path.endswith((".yaml", ".yml")):
         try:
             import yaml
         except ImportError as e:
             raise OntologyError("a YAML configuration needs a YAML reader; JSON does not") from e
-        config = yaml.safe_load(file.read_text(encoding="utf-8"))
+        config = yaml.safe_load(text)
     else:
-        config = json.loads(file.read_text(encoding="utf-8"))
+        config = json.loads(text)
     if not isinstance(config, Mapping):
         raise OntologyError("the configuration is not a mapping")
     return dict(config)
 
 
+def load_config(path: str) -> dict:
+    """A JSON or, where a YAML reader is installed, YAML file beside the driver."""
+    file = Path(path)
+    if not file.exists():
+        raise OntologyError(f"no configuration at {path}")
+    return _parsed(file.read_text(encoding="utf-8"), path)
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """The same from any file system that Spark reads."""
+    found = spark.read.text(path, wholetext=True).first()
+    if found is None:
+        raise OntologyError(f"no configuration at {path}")
+    return _parsed(found["value"], path)
+
+
 def concept_rows(config: Mapping) -> list[tuple]:
     """Rows of schemas.CONCEPT in the order of the file.  A field that is there but empty of
     meaning (null) becomes the text "None", a concept without id or label is an error."""

@@ -24,6 +24,29 @@ def test_stage_by_stage(spark, tmp_path, capsys):
     assert (edge.src_id, edge.rel_type, edge.dst_id, edge.section) == ("drug_DEMO_D1", "TREATS", "condition_DEMO_C1", "results")
 
 
+def test_equal_facts_have_places_of_their_own(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "paper.md").write_text(f"# Results\n{BODY}\n{BODY}")
+    at = lambda name: str(tmp_path / name)
+    run(spark, "parse", "--source", at("in"), "--out", at("parsed"))
+    run(spark, "extract", "--input", at("parsed"), "--output", at("extracted"), "--model", "mine", "--load-seq", "4")
+    rows = spark.read.parquet(at("extracted")).orderBy("fact_index").collect()
+    assert [(r.fact_index, r.load_seq, r.extraction_model) for r in rows] == [(0, 4, "mine"), (1, 4, "mine")]
+    run(spark, "validate", "--input", at("extracted"), "--output", at("checked"), "--issues", at("found"))
+    assert spark.read.parquet(at("checked") + "/validated").count() == 2 and (tmp_path / "found").exists()
+    run(spark, "normalise", "--input", at("checked") + "/validated", "--output", at("normalised"))
+    assert spark.read.parquet(at("normalised")).count() == 2
+
+
+def test_pages_and_lists_of_sources(spark, tmp_path):
+    (tmp_path / "page.html").write_text(f"<html><body><nav>menu</nav><article><p>{BODY}</p></article></body></html>")
+    (tmp_path / "paper.md").write_text(f"# Results\n{BODY}")
+    (tmp_path / "list.txt").write_text(f"# sources\n{tmp_path / 'page.html'}\n\n{tmp_path / 'paper.md'}\n")
+    run(spark, "batch", "--file", str(tmp_path / "list.txt"), "--output-base", str(tmp_path / "out"))
+    assert {r.source_id: r.status for r in spark.read.parquet(str(tmp_path / "out/runs")).collect()} == {"page": "SUCCESS", "paper": "SUCCESS"}
+    assert {r.source_id: r.load_seq for r in spark.read.parquet(str(tmp_path / "out/normalised")).collect()} == {"page": 0, "paper": 1}
+
+
 def test_batch_and_failing_gate(spark, tmp_path):
     (tmp_path / "a.md").write_text(f"# Results\n{BODY}")
     (tmp_path / "b.md").write_text("# Results\n" + "Nothing to see here. " * 5)

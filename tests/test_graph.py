@@ -107,6 +107,11 @@ def test_store_and_stream(spark, tmp_path):
     store.load(n.where("load_seq = 0"))
     store.register()
     assert spark.sql("SELECT evidence FROM edges").first()[0] == "b"
+    for _ in range(2):  # a load that is there already is replaced
+        store.load(n.where("load_seq = 0").withColumn("span", F.lit("c")))
+    assert sorted(r.evidence for r in store.table("edge_evidence").collect()) == ["b", "c"]
+    store.load(n.where("load_seq = 1").withColumn("span", F.lit("d")))
+    assert [r.evidence for r in store.table("edges").collect()] == ["d"] and store.table("mentions").count() == 4
     n.where("load_seq = 1").write.parquet(str(tmp_path / "in"))
     n.where("load_seq = 0").write.mode("append").parquet(str(tmp_path / "in"))
     sink = GraphSink(spark, str(tmp_path / "graph"))
@@ -127,6 +132,36 @@ def test_papers_end_to_end(spark):
     assert (nodes.count(), edges.count(), proof.count()) == (2, 1, 2)
 
 
+def test_sections_are_extracted_once_and_papers_keep_their_order(spark, tmp_path):
+    """Two papers name one drug and condition: a node comes from the first fact of the last paper, an edge from its last."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    inner, folder = DictionaryExtractor(["Zoloft", "sertraline"], ["MDD"]), str(asked)
+
+    def extractor(frames):
+        import uuid
+
+        for frame in frames:
+            for _ in range(len(frame)):
+                open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            yield from inner(iter([frame]))
+
+    text = "## {0}\n{1} was an effective treatment of MDD, as this trial of {2} patients showed.\n"
+    first = text.format("Results", "sertraline", 10) + text.format("Results", "Zoloft", 20)
+    last = text.format("Zzz", "Zoloft", 30) + text.format("Abstract", "sertraline", 40)
+    docs = spark.createDataFrame([("z", first, 1), ("a", last, 2)], "source_id string, markdown string, load_seq long")
+    stages = evidence.process_papers(docs, extractor, ontology.concepts(spark, ontology.EXAMPLE))
+    nodes, edges, proof = evidence.graph_tables(stages.normalised)
+    (edge,) = edges.collect()
+    assert edge.source_id == "a" and "40 patients" in edge.evidence
+    assert [r.name for r in nodes.where("label = 'Drug'").collect()] == ["Zoloft"]
+    assert [(r.source_id, r.fact_index) for r in proof.orderBy("load_seq", "fact_index").collect()] == [("z", 0), ("z", 1), ("a", 0), ("a", 1)]
+    assert stages.runs.count() == 2 and stages.gates.count() == 2
+    assert len(list(asked.iterdir())) == 4
+    unordered = evidence.process_papers(docs.drop("load_seq"), inner, ontology.concepts(spark, ontology.EXAMPLE))
+    assert evidence.graph_tables(unordered.normalised)[1].first().source_id == "z"
+
+
 def test_fact_files(spark, tmp_path):
     import pytest
 
