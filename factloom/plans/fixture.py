@@ -54,3 +54,24 @@ FACTS_DUCKDB = facts_sql(
     f"(SELECT *, row_number() OVER (ORDER BY {', '.join(ORDER)}) - 1 AS fact_index FROM lineitem)",
     "CASE WHEN l_quantity < 10 THEN ['nausea', 'headache'] WHEN l_quantity < 20 THEN ['side effects', 'vivid dreaming'] ELSE CAST([] AS VARCHAR[]) END",
 )
+
+#: Facts with what the plain ones never have, by the remainder of their number: nulls, blanks, values out of range or of another kind.
+ODD_PARTS = 13
+
+
+def odd_facts_sql(rows: str, no_effects: str) -> str:
+    """``rows`` has the columns of the plain facts; ``confidence`` becomes a text, as a careless file has it."""
+    when = lambda k, value, column: f"CASE WHEN fact_index % {ODD_PARTS} = {k} THEN {value} ELSE {column} END"
+    confidence = f"CASE WHEN fact_index % {ODD_PARTS} = 5 THEN NULL WHEN fact_index % {ODD_PARTS} = 6 THEN 'high' WHEN fact_index % {ODD_PARTS} = 7 THEN '1.2' ELSE CAST(confidence AS STRING) END"
+    size = f"CASE WHEN fact_index % {ODD_PARTS} = 9 THEN 0 WHEN fact_index % {ODD_PARTS} = 10 THEN 200000 ELSE sample_size END"
+    line = f"CASE fact_index % {ODD_PARTS} WHEN 9 THEN ' First ' WHEN 10 THEN 'third' WHEN 11 THEN 'acute' END"
+    drug = f"CASE WHEN fact_index % {ODD_PARTS} = 0 THEN NULL WHEN fact_index % {ODD_PARTS} = 12 THEN concat(drug_name, ' {'with sertraline ' * 7}') ELSE drug_name END"
+    return f"""SELECT fact_index, load_seq, source_id, section, {drug} AS drug_name, {when(1, "''", "condition_name")} AS condition_name, {when(2, "'  '", "relation")} AS relation,
+  outcome, {when(4, no_effects, "side_effects")} AS side_effects, effect_size, {confidence} AS confidence, {when(3, "NULL", "span")} AS span, {size} AS sample_size, p_value, {line} AS treatment_line FROM {rows}"""
+
+
+def odd_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(odd_facts_sql("{plain}", "CAST(NULL AS array<string>)"), plain=facts(spark, sf_dir))
+
+
+ODD_DUCKDB = odd_facts_sql(f"({FACTS_DUCKDB})", "NULL")

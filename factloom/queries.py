@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import re
 import uuid
 from collections.abc import Callable
@@ -14,9 +15,10 @@ from factloom import vocab
 from factloom.functions.similarity import cosine
 from factloom.functions.text import eligible, paper_id, section_name, surface, truncated
 from factloom.operators import extraction, graph, graph_reads, linking, quality, reports, sections, validation
-from factloom.plans import fixture
+from factloom.plans import evidence, fixture
 from factloom.plans.workspace import workspace
 from factloom.sources import documents as document_sources
+from factloom.sources import facts as fact_sources
 from factloom.sources import ontology
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,7 +203,19 @@ def paper_ids(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", paper_id("url").alias("source_id"))
 
 
-@query()
+# The driver's pages have an article each; what is in it, tags off, by lines.
+_HIDDEN = ["script", "style", "nav", "header", "footer", "aside", "noscript", "form", "template", "head"]
+_ARTICLE = "regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '(?s)<!--.*?-->', '', 'g')"
+for _tag in _HIDDEN:
+    _ARTICLE = f"regexp_replace({_ARTICLE}, '(?s)<{_tag}[ >].*?</{_tag}>', '', 'g')"
+_ARTICLE = f"regexp_replace({_ARTICLE}, '</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|blockquote)( [^>]*)?/?>', chr(10), 'g')"
+_ARTICLE = f"regexp_replace({_ARTICLE}, '<[^>]*>', '', 'g')"
+for _name, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+    _ARTICLE = f"replace({_ARTICLE}, '&{_name};', '{_sign}')"
+_ARTICLE = rf"array_to_string(list_filter(list_transform(string_split({_ARTICLE}, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10))"
+
+
+@query(f"SELECT substr(md5(url), 1, 12) AS source_id, url, {_ARTICLE} AS text FROM pages")
 def html_text(spark, sf_dir):
     return document_sources.page_documents(_table(spark, sf_dir, "pages"))
 
@@ -347,7 +361,7 @@ def quality_similarity(spark, sf_dir):
     return scored.select("vec_id", F.round("c", 9).alias("similarity"), "r.likely_correct")
 
 
-@query()
+@query(f"{_FACTS} SELECT fact_index, drug_name, relation FROM facts ORDER BY md5('3:' || CAST(fact_index AS VARCHAR)), fact_index LIMIT 100")
 def quality_sample(spark, sf_dir):
     return quality.sample(fixture.facts(spark, sf_dir), 100, seed=3).select("fact_index", "drug_name", "relation")
 
@@ -517,3 +531,112 @@ def batch_summary(spark, sf_dir):
     assessed = quality.assess(fixture.facts(spark, sf_dir))
     counts = assessed.groupBy("source_id").agg(F.count("*").alias("extracted"), F.count_if(F.col("confidence").between(0, 1)).alias("valid"), F.count("*").alias("normalised"))
     return reports.batch_summary(quality.gate(assessed).join(counts, "source_id")).withColumn("mean_precision", F.round("mean_precision", 6))
+
+
+# --- facts with nulls, blanks and values out of range ---
+
+# A null name is the text "None" to the rules; what was null is kept beside it.
+_ODD = f"""WITH odd AS ({fixture.ODD_DUCKDB}), facts AS (SELECT fact_index, coalesce(drug_name, 'None') AS drug_name, drug_name IS NULL AS no_drug, condition_name, coalesce(relation, 'None') AS relation,
+coalesce(span, 'None') AS span, span IS NULL AS no_span, side_effects, side_effects IS NULL AS no_effects, effect_size, confidence AS raw, TRY_CAST(confidence AS DOUBLE) AS confidence, sample_size, p_value, treatment_line FROM odd)"""
+_FILLED = {"drug_name": "drug_name <> ''", "condition_name": "condition_name <> ''"}
+_ODD_RULES = [
+    ("missing_required_field", "error", "drug_name", "no_drug OR trim(drug_name) = ''", True),
+    ("missing_required_field", "error", "condition_name", "trim(condition_name) = ''", True),
+    ("missing_required_field", "error", "relation", "trim(relation) = ''", True),
+    ("missing_required_field", "error", "span", "no_span", True),
+    ("missing_required_field", "error", "confidence", "raw IS NULL OR confidence = 0", True),
+    ("drug_name_too_long", "warning", "drug_name", f"{_NAMED} AND length({_D}) > 100", False),
+    ("missing_confidence", "error", "confidence", "raw IS NULL", True),
+    ("invalid_confidence_type", "error", "confidence", "raw IS NOT NULL AND confidence IS NULL", True),
+    ("invalid_side_effects_type", "warning", "side_effects", "no_effects", False),
+    *((t, s, f, f"{_FILLED.get(f, 'true')} AND ({when})" + (" AND drug_name <> ''" if t == "drug_not_in_span" else ""), fatal) for t, s, f, when, fatal in _RULES if t != "missing_required_field"),
+]
+
+
+@query(_issues_sql(_ODD_RULES).replace(_FACTS, _ODD, 1) + " SELECT fact_index, issue_type, severity, field, detail FROM issues")
+def validate_odd_facts(spark, sf_dir):
+    return validation.issues(validation.validate(fixture.odd_facts(spark, sf_dir)))
+
+
+@query(f"{_issues_sql(_ODD_RULES).replace(_FACTS, _ODD, 1)} SELECT count(*) AS total_facts, CAST(count_if(NOT bad) AS BIGINT) AS valid_facts, CAST(count_if(bad) AS BIGINT) AS invalid_facts, CAST(sum(w) AS BIGINT) AS warnings, round(count_if(k = 0) * 100.0 / count(*), 6) AS clean_percent FROM (SELECT f.fact_index, coalesce(bool_or(i.fatal), false) AS bad, CAST(count_if(i.severity = 'warning') AS BIGINT) AS w, count(i.issue_type) AS k FROM facts f LEFT JOIN issues i ON i.fact_index = f.fact_index GROUP BY f.fact_index)")
+def odd_facts_report(spark, sf_dir):
+    return validation.validation_report(validation.validate(fixture.odd_facts(spark, sf_dir))).withColumn("clean_percent", F.round(F.col("clean_percent").cast("double"), 6))
+
+
+@query(f"""{_ODD} SELECT fact_index, CASE lower(trim(condition_name)) WHEN 'mdd' THEN 'major depressive disorder' ELSE condition_name END AS condition_name,
+array_to_string(list_filter(coalesce(side_effects, []), lambda s: lower(trim(s)) NOT IN {_in(vocab.INVALID_SIDE_EFFECTS)}), '|') AS side_effects, CASE WHEN sample_size BETWEEN 1 AND 100000 THEN sample_size END AS sample_size,
+CASE WHEN lower(trim(treatment_line)) IN {_in(vocab.TREATMENT_LINES)} THEN lower(trim(treatment_line)) END AS treatment_line
+FROM facts WHERE trim(drug_name) <> '' AND condition_name <> '' AND span <> '' AND contains(lower(span), lower(trim(drug_name))) AND (contains(lower(span), lower(condition_name)) OR {_any("lower(span)", vocab.CLINICAL_CONTEXT)} OR upper(relation) = 'ASSOCIATED_WITH_SE')
+AND NOT regexp_matches(substr(lower(span), 1, 50), '^(it|this|that|these|they|those|which)\\s+(showed|demonstrated|resulted|found)') AND confidence BETWEEN 0 AND 1 AND p_value BETWEEN 0 AND 1""")
+def clean_odd_facts(spark, sf_dir):
+    numeric = fixture.odd_facts(spark, sf_dir).withColumn("confidence", F.col("confidence").try_cast("double"))
+    kept = extraction.clean_facts(numeric)
+    return kept.select("fact_index", "condition_name", F.array_join("side_effects", "|").alias("side_effects"), "sample_size", "treatment_line")
+
+
+# --- papers end to end, and files ---
+
+_PAPER_DRUGS, _PAPER_CONDITIONS = ["sertraline", "escitalopram", "fluoxetine"], ["major depressive disorder", "generalized anxiety disorder", "drug abuse"]
+_PAPERS = f"""WITH p AS (SELECT p_partkey AS load_seq, concat('part_', CAST(p_partkey AS STRING)) AS source_id, CASE p_partkey % 3 WHEN 0 THEN '{_PAPER_DRUGS[0]}' WHEN 1 THEN '{_PAPER_DRUGS[1]}' ELSE '{_PAPER_DRUGS[2]}' END AS drug,
+CASE p_partkey % 4 WHEN 0 THEN '{_PAPER_CONDITIONS[0]}' WHEN 1 THEN '{_PAPER_CONDITIONS[1]}' WHEN 2 THEN '{_PAPER_CONDITIONS[2]}' ELSE 'nothing that is known' END AS condition FROM part)"""
+
+
+def _papers(spark: SparkSession, sf_dir: str):
+    """Every part as a paper: two facts that count, and the references, which do not."""
+    _table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    told = lambda n: f"concat(drug, ' was an effective treatment of ', condition, ' in trial {n} of paper ', CAST(load_seq AS STRING), '.')"
+    docs = spark.sql(f"{_PAPERS} SELECT source_id, load_seq, concat('# Results\n', {told(1)}, '\n## Zzz\n', {told(2)}, '\n# References\n', {told(3)}) AS markdown FROM p")
+    return evidence.process_papers(docs, extraction.DictionaryExtractor(_PAPER_DRUGS, _PAPER_CONDITIONS), ontology.concepts(spark, ontology.EXAMPLE))
+
+
+_RUNS = f"""{_PAPERS}, r AS (SELECT *, CASE WHEN load_seq % 4 = 3 THEN 0 ELSE 2 END AS n, load_seq % 4 < 2 AS ok FROM p)"""
+
+
+@query(f"{_RUNS} SELECT source_id, CASE WHEN ok THEN 'SUCCESS' ELSE 'QUALITY_GATE_FAILED' END AS status, CAST(n AS BIGINT) AS extracted, CAST(CASE WHEN ok THEN 2 ELSE 0 END AS BIGINT) AS valid, CAST(CASE WHEN ok THEN 2 ELSE 0 END AS BIGINT) AS normalised, CASE WHEN ok THEN 1.0::DOUBLE END AS estimated_precision, CASE WHEN ok THEN 100.0::DOUBLE END AS average_quality_score FROM r")
+def paper_runs(spark, sf_dir):
+    return _papers(spark, sf_dir).runs
+
+
+@query(f"{_RUNS} SELECT count(*) AS papers, CAST(count_if(ok) AS BIGINT) AS succeeded, CAST(count_if(NOT ok) AS BIGINT) AS gate_failed, CAST(0 AS BIGINT) AS failed, CAST(2 * count_if(ok) AS BIGINT) AS extracted, CAST(2 * count_if(ok) AS BIGINT) AS valid, CAST(2 * count_if(ok) AS BIGINT) AS normalised, 1.0::DOUBLE AS mean_precision FROM r")
+def paper_summary(spark, sf_dir):
+    return reports.batch_summary(_papers(spark, sf_dir).runs)
+
+
+# The last paper's second fact is the edge; every edge's proof is two facts for each paper.
+@query(f"""{_RUNS}, k AS (SELECT drug, condition, max(load_seq) AS last, count(*) AS n FROM r WHERE ok GROUP BY drug, condition)
+SELECT drug, condition, concat('part_', CAST(last AS STRING)) AS source_id, 'Zzz' AS section, concat(drug, ' was an effective treatment of ', condition, ' in trial 2 of paper ', CAST(last AS STRING), '.') AS evidence, CAST(1 AS BIGINT) AS fact_index, CAST(2 * n AS BIGINT) AS facts FROM k""")
+def paper_graph(spark, sf_dir):
+    nodes, edges, proof = evidence.graph_tables(_papers(spark, sf_dir).normalised)
+    side = lambda label, end: nodes.where(F.col("label") == label).select(F.col("id").alias(end), F.col("name").alias(label.lower()))
+    counted = proof.groupBy("src_id", "rel_type", "dst_id").agg(F.count("*").alias("facts"))
+    found = edges.drop("label").join(counted, ["src_id", "rel_type", "dst_id"]).join(side("Drug", "src_id"), "src_id").join(side("Condition", "dst_id"), "dst_id")
+    return found.select("drug", "condition", "source_id", "section", "evidence", "fact_index", "facts")
+
+
+@query(f"{_FACTS} SELECT fact_index // 500 AS file, fact_index % 500 AS fact_index, drug_name, relation, confidence, array_to_string(side_effects, '|') AS side_effects, outcome, sample_size FROM facts")
+def fact_files(spark, sf_dir):
+    """Facts written as wrapped files of 500 and read back; their numbers are places in the files."""
+    path = f"{workspace(spark)}/fact-files-{uuid.uuid4().hex[:8]}"
+    made = fixture.facts(spark, sf_dir).withColumn("file", F.floor(F.col("fact_index") / 500))
+    fact_sources.write_wrapped(made, path, "extracted_facts", by="file")
+    back = fact_sources.read_facts(spark, f"{path}/file=*")
+    file = F.regexp_extract("origin", "file=([0-9]+)", 1).cast("long")
+    return back.select(file.alias("file"), "fact_index", "drug_name", "relation", "confidence", F.array_join("side_effects", "|").alias("side_effects"), "outcome", "sample_size")
+
+
+@query("SELECT concat('item_', CAST(item_id AS VARCHAR)) AS source_id, 'introduction' AS name, md5(trim(text)) AS text_md5, CAST(13 AS BIGINT) AS start_offset, length(text) + 13 AS full_length, true AS parsed FROM benchmark WHERE trim(text) <> ''")
+def parsed_files(spark, sf_dir):
+    """Parsed documents written as JSON, one folder for each, and read back."""
+    path = f"{workspace(spark)}/parsed-{uuid.uuid4().hex[:8]}"
+    docs = _table(spark, sf_dir, "benchmark").where(F.trim("text") != "").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("source_id"), F.concat(F.lit("# Background\n"), "text").alias("markdown"))
+    document_sources.write_parsed(sections.parsed_documents(docs), path)
+    back = document_sources.read_parsed(spark, path).select(F.regexp_extract(F.input_file_name(), "source_id=([^/]+)", 1).alias("source_id"), F.length("full_text").alias("full_length"), F.col("_corrupt_record").isNull().alias("parsed"), F.explode("sections").alias("s"))
+    return back.select("source_id", "s.name", F.md5("s.text").alias("text_md5"), F.col("s.start_offset").cast("long").alias("start_offset"), F.col("full_length").cast("long").alias("full_length"), "parsed")
+
+
+@query(f"SELECT * FROM (VALUES {_KEYS_SQL}) t(entity_type, key, concept_id, label, provider, match_type, score)")
+def ontology_file(spark, sf_dir):
+    """The ontology written as a file and read back into its index."""
+    path = f"{workspace(spark)}/ontology-{uuid.uuid4().hex[:8]}.json"
+    spark.createDataFrame([(json.dumps(ontology.EXAMPLE),)], "value string").coalesce(1).write.text(path)
+    return linking.concept_keys(ontology.concepts(spark, ontology.read_config(spark, path)))
