@@ -16,11 +16,14 @@
    one in LINKED of a round's comparisons is a new link.
    The union sketch of a pair (the K smallest of both) estimates its similarity and
    drops pairs that are far off.
-4. Lists that still hold several components are finished on full sets.  Within their
+4. Lists that still hold several components are finished on full sets, see below.  Within their
    documents each has c shingles that others have too; two sets of n and n' at the
    threshold share at least 3/7 (n + n'), so both must have c that large and meet in one
    of the c - 3/4 n + 1 rarest shingles of each; and at the first one they share, both must
-   still have that many to come.  Most documents drop out by c alone.
+   still have that many to come.  Most documents drop out by c alone.  A document that would still meet more than
+   MOST_ROWS others outside the largest component of a list is heavy: heavy documents are broadcast in blocks and
+   looked for in all members, so they give their links and no candidate rows, and what is left gives
+   at most MOST_ROWS rows a document, however large a group of texts just below the threshold is.
 5. Every candidate is verified on the words: 100 * shared >= 75 * union.
 
 Nothing is capped: every list is finished.  Links that are not compared lie within
@@ -47,6 +50,8 @@ from factloom.llm import textkernel
 from factloom.llm.common import bitmap, components, in_bitmap, join_by_key, release, settle, texts
 
 SHINGLE, PERCENT = 5, 75
+#: Most candidate rows of a document in joins; shingles of heavy documents in a block.
+MOST_ROWS, BLOCK_SHINGLES = 512, 500_000
 #: Sketch length; most shingles for which the bound is certain; least shared values otherwise.
 K, EXACT, LEAST = 64, 48, 24
 #: Fewest and most rounds of hubs; comparisons for each link that a round must find for another one.
@@ -151,12 +156,13 @@ def _texts_of(reps: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return settle(near.mapInArrow(_first_texts, "key binary, text string").join(wanted.select("key", "rep"), "key").select("rep", "text"), "texts")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sketches: DataFrame | None = None, text: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) of representatives that are links, settled; estimated first where sketches are given."""
     likely = pairs
     if sketches is not None:
         likely = settle(pairs.join(sketches.toDF("b", "sb"), "b").join(sketches.toDF("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_estimate, "a long, b long"), "likely")
-    text = _texts_of(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), docs, classes)
+    if text is None:
+        text = _texts_of(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), docs, classes)
     found = likely.join(text.toDF("b", "tb"), "b").join(text.toDF("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
     return settle(found.distinct(), "links")
 
@@ -196,16 +202,74 @@ def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return settle(lists.join(settle(several, "open"), "value"), "lists")
 
 
-def _full_pairs(lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components in the open lists, on full sets of shingles."""
+def _heavy(rare: DataFrame) -> DataFrame:
+    """(rep) that stand beside more than MOST_ROWS members of other components in lists whose largest component is not their own."""
+    whole = rare.groupBy("value").agg(F.count("*").alias("all"), F.max(F.struct("members", "component")).alias("top")).select("value", "all", F.col("top.component").alias("largest"))
+    own = rare.groupBy("value", "component").agg(F.count("*").alias("own")).join(whole, "value").where("component <> largest").select("value", "component", (F.col("all") - F.col("own")).alias("others"))
+    met = rare.select("value", "component", "rep").join(own, ["value", "component"]).groupBy("rep").agg(F.sum("others").alias("rows"))
+    return settle(met.where(F.col("rows") > MOST_ROWS).select("rep"), "heavy")
+
+
+def _heavy_links(heavy: DataFrame, text: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) at the threshold, by hashes, of a heavy document and any other; None without heavy ones."""
+    context = text.sparkSession.sparkContext
+    texts_ = settle(text.join(heavy, "rep", "left_semi"), "heavy_texts")
+    size = texts_.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0]
+    if size is None:
+        return None
+    blocks = -(-size // BLOCK_SHINGLES)
+    found = None
+    for b in range(blocks):
+        part = texts_.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == b).toArrow()
+        sets = [h for w in textkernel.words(part.column("text").combine_chunks(), lower=True) for h in textkernel.document_shingles(w, w.hashes(), SHINGLE)] if part.num_rows else []
+        if not sets:
+            continue
+        value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+        order = np.argsort(value, kind="stable")
+        values, at = np.unique(value[order], return_index=True)
+        shared = context.broadcast((values, np.append(at, len(value)), owner[order], np.array([len(h) for h in sets]), part.column("rep").to_numpy()))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            values, bounds, owners, sizes, reps = shared.value
+            for batch in batches:
+                ids = batch.column("rep").to_numpy(zero_copy_only=False)
+                a, z = [], []
+                for w in textkernel.words(batch.column("text"), lower=True):
+                    for i, h in enumerate(textkernel.document_shingles(w, w.hashes(), SHINGLE)):
+                        at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+                        at = at[values[at] == h]
+                        if not len(at):
+                            continue
+                        many = bounds[at + 1] - bounds[at]
+                        hit = owners[np.repeat(bounds[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+                        both = np.bincount(hit, minlength=len(sizes))
+                        near = np.flatnonzero((100 * both >= PERCENT * (len(h) + sizes - both)) & (reps != ids[w.first + i]))
+                        a += np.minimum(reps[near], ids[w.first + i]).tolist()
+                        z += np.maximum(reps[near], ids[w.first + i]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+
+        one = settle(text.mapInArrow(search, "a long, b long"), "heavy_links")
+        shared.destroy()
+        found = one if found is None else found.union(one)
+    return found
+
+
+def _full_links(lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links (a, b) between different components in the open lists, on full sets of shingles."""
     members = settle(lists.select("rep", "component").distinct(), "members")
-    full = settle(_texts_of(members, docs, classes).mapInArrow(_all_shingles, "value long, rep long, n long"), "full")
+    members = settle(members.join(members.groupBy("component").agg(F.count("*").alias("members")), "component"), "members")
+    text = _texts_of(members, docs, classes)
+    full = settle(text.mapInArrow(_all_shingles, "value long, rep long, n long"), "full")
     least = F.ceil(F.col("n") * PERCENT / 100)
-    rare = _rarest(full, F.col("common") - least + 1, "rep", "n").drop("fame").join(members, "rep")
-    rare = settle(rare, "rare")
+    rare = settle(_rarest(full, F.col("common") - least + 1, "rep", "n").drop("fame").join(members, "rep"), "rare")
+    heavy = _heavy(rare)
+    rare = rare.join(heavy, "rep", "left_anti")
     other = rare.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "common", "component", "place")))
     enough = F.least(F.col("common") - F.col("place"), F.col("common2") - F.col("place2")) * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2"))
-    return rare.join(other, "value").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _near("n", "n2") & enough).select(*_ordered("rep", "rep2")).distinct()
+    pairs = rare.join(other, "value").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _near("n", "n2") & enough).select(*_ordered("rep", "rep2")).distinct()
+    more = _heavy_links(heavy, text)
+    pairs = pairs if more is None else pairs.union(more.distinct())
+    return _links(settle(pairs, "pairs"), docs, classes, text=text)
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -232,7 +296,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         lists = _open_lists(lists, labels)
         release(docs.sparkSession)
         turn, more = turn + 1, found.count() * LINKED >= pairs.count() > 0
-    found = _links(settle(_full_pairs(lists, docs, classes), "pairs"), docs, classes)
+    found = _full_links(lists, docs, classes)
     if found.limit(1).count():
         labels = components(links.union(found))
     return members, classes, labels.withColumnRenamed("node", "rep")

@@ -105,6 +105,24 @@ def test_one_row_of_each_group_stays(spark, corpus, monkeypatch):
             assert one[0] == (min(ids) if ids else None)
 
 
+def test_heavy_documents(spark, corpus, monkeypatch):
+    """Every open document heavy, in blocks of a few."""
+    monkeypatch.setattr(near_dedup, "MOST_ROWS", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 1)
+    monkeypatch.setattr(near_dedup, "MOST_HUB_ROUNDS", 1)
+    rng = random.Random(17)
+    base = text_of(rng, 80)
+    rows = corpus + [(800 + k, " ".join(edited(rng, base, rng.choice([0.03, 0.06, 0.09])))) for k in range(60)]
+    asked = []
+    found = near_dedup._heavy_links
+    monkeypatch.setattr(near_dedup, "_heavy_links", lambda h, t: asked.append(h.count()) or found(h, t))
+    got = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    want = [(i, len(shingle_set(t, 5)), c, i is not None and i == c) for (i, t), c in zip(rows, smallest_ids(rows), strict=True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert asked[0] > 10
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
