@@ -78,6 +78,18 @@ def test_score_is_the_lattice_of_pieces_alone(spark):
     assert got == pytest.approx(want)
 
 
+def test_whole_query_equals_the_marginals(spark):
+    """Scores that the query fits for itself: each document's is the sum over its words' segmentations under them."""
+    vocabulary = lm.Vocabulary.of(PIECES)
+    df = spark.createDataFrame(ROWS[:4] + ROWS[7:], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.score) for r in lm.score_documents(df, vocabulary, trains=fold("doc_id") != 1).collect())
+    train = [t or "" for i, t in ROWS[:4] + ROWS[7:] if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for t in train for w in t.lower().split())
+    s = lm.fit_scores(spark.createDataFrame(list(counts.items()), "word string, c long"), len(train), vocabulary)
+    want = sorted((str(i), (sum(brute(w, PIECES, s) for w in (t or "").lower().split()) + s.end) / math.log(10)) for i, t in ROWS[:4] + ROWS[7:])
+    assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_documents(df, lm.Vocabulary.of(PIECES), trains=fold("doc_id") != 1).collect() == []
