@@ -184,14 +184,9 @@ def confident_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     return patterns
 
 
-def _written(spans: Column) -> Column:
-    names = F.array(*(F.lit(k) for k in FOUND_KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
 def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans (all,
-    ``kind:start:end`` by start, then kind, comma-joined), n_found, the spans that patterns added, and n_spans, all of them."""
+    """Per row: doc_id and spans, an array of (kind, start, end, added) by start, then kind as in FOUND_KINDS; code points,
+    end exclusive; ``added`` marks what patterns found beside the base spans."""
     docs = texts(documents, id_col, text_col)
     rows = settle(_pieces(docs), "pieces")
     placed = _placed(rows)
@@ -203,8 +198,7 @@ def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: s
     added = added.select("row", "start", (-F.col("best.col2")).alias("kind_no"), "end", F.lit(True).alias("added"))
     every = base.select("row", "start", "kind_no", "end", F.lit(False).alias("added")).unionByName(added)
     spans = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "added"))).alias("s"))
-    out = rows.select("row", "doc_id").join(settle(spans, "spans"), "row", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start:int,kind_no:int,end:int,added:boolean>>")))
-    out = out.withColumn("base", F.filter("s", lambda x: ~x["added"]))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind_no"] == k)).cast("long")
-    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("s")).alias("spans"), (F.size("s") - F.size("base")).alias("n_found"), F.size("s").cast("long").alias("n_spans"))
+    kinds = F.array(*(F.lit(k) for k in FOUND_KINDS))
+    named = F.transform("s", lambda s: F.struct(F.get(kinds, s["kind_no"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["added"].alias("added")))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,added:boolean>>")
+    return rows.select("row", "doc_id").join(settle(spans, "spans"), "row", "left").select("doc_id", F.coalesce(named, none).alias("spans"))

@@ -18,6 +18,23 @@ def _public_vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def span_digests(found: DataFrame) -> DataFrame:
+    """Counts of base spans by kind, the hash of all of them, and all spans written out; n_found are those that patterns added."""
+    base = F.filter("spans", lambda s: ~s["added"])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return found.withColumn("base", base).select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).alias("n_found"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def id_digests(stored: DataFrame) -> DataFrame:
+    return stored.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def text_digests(kept: DataFrame) -> DataFrame:
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op1_subword_lattice(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from factloom.llm.common import fold
     from factloom.llm.lm_scoring import load_vocabulary, score_documents
@@ -45,7 +62,7 @@ def op3_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.pii import find_personal_data
 
-    return find_personal_data(_table(spark, sf_dir, "documents"))
+    return span_digests(find_personal_data(_table(spark, sf_dir, "documents")))
 
 
 def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +88,7 @@ def op7_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_elias_fano_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from factloom.llm.token_store import read_documents, write_store
 
-    return read_documents(write_store(_table(spark, sf_dir, "documents"), tokenizer or _public_vocabulary("byte_bpe_50k.json"), end_id=0))
+    return id_digests(read_documents(write_store(_table(spark, sf_dir, "documents"), tokenizer or _public_vocabulary("byte_bpe_50k.json"), end_id=0)))
 
 
 def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +100,7 @@ def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.substring_dedup import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    return text_digests(remove_repeats(_table(spark, sf_dir, "documents")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

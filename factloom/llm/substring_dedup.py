@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,8 @@ def blocks(w: textkernel.Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _tag(raw: bytes) -> int:
-    """Tells texts under one doc_id apart."""
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=2).digest(), "big")
+    """Tells texts under one doc_id apart; 31 bits, so that a place and its tag fit a long."""
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest(), "big") >> 1
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -89,17 +90,15 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(anchor=anchor.view(np.int64), doc=ids[doc + w.first], block=(block >> np.uint64(16)).view(np.int64))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, tag, n_words and the hash of all words, joined."""
-    for batch in sliced(batches):
-        n, tag, sha = [], [], []
-        for text in batch.column(1):
-            found = text.as_py().encode().split()
-            raw = b" ".join(found)
-            n.append(len(found))
-            tag.append(_tag(raw))
-            sha.append(hashlib.sha256(raw).digest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tag, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.binary())], names=["doc_id", "tag", "n_words", "sha"])
+def _in(bits: np.ndarray, doc_ids: pa.Array) -> pa.Array:
+    """Which doc_ids may be in the bitmap; null is not."""
+    known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array(known & in_bitmap(bits, doc_ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+
+
+def _kept(doc_ids: pa.Array, kept: list[bytes], n_words: list[int], n_removed: list[int]) -> pa.RecordBatch:
+    columns = [doc_ids, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_words", "n_removed"])
 
 
 def _occurrences(one, several):
@@ -136,34 +135,48 @@ def _occurrences(one, several):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the words of the repeats (first word, windows) from each text."""
-    for batch in batches:
-        gone, sha = [], []
-        for text, starts, counts in zip(batch.column("text"), batch.column("starts"), batch.column("counts"), strict=True):
-            found = text.as_py().encode().split()
-            edge = np.zeros(len(found) + 1, dtype=np.int64)
-            start = starts.values.to_numpy(zero_copy_only=False)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + counts.values.to_numpy(zero_copy_only=False) + WINDOW - 1, -1)
-            drop = np.cumsum(edge[:-1]) > 0
-            gone.append(int(drop.sum()))
-            sha.append(hashlib.sha256(b" ".join([x for x, d in zip(found, drop.tolist(), strict=True) if not d])).digest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(gone, pa.int64()), pa.array(sha, pa.binary())], names=["doc", "tag", "n_removed", "cut_sha"])
+def _untouched(bits):
+    """The rows whose id is not in the bitmap, all words kept."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = batch.filter(pc.invert(_in(bits.value, batch.column(0))))
+            found = [t.as_py().encode().split() for t in rows.column(1)]
+            yield _kept(rows.column(0), [b" ".join(w) for w in found], [len(w) for w in found], [0] * len(found))
 
-def _only(bits):
-    """Documents whose id is in the bitmap, with their tags."""
+    return run
+
+
+def _tagged(bits):
+    """The rows whose id is in the bitmap, with their tags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = batch.filter(pa.array(in_bitmap(bits.value, _doc_ids(batch).view(np.uint64))))
-            tags = [_tag(b" ".join(t.as_py().encode().split())) for t in hit.column(1)]
-            yield pa.RecordBatch.from_arrays([hit.column(0), pa.array(tags, pa.int64()), hit.column(1)], names=["doc", "tag", "text"])
+        for batch in sliced(batches):
+            rows = batch.filter(_in(bits.value, batch.column(0)))
+            tags = [_tag(b" ".join(t.as_py().encode().split())) for t in rows.column(1)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(tags, pa.int64()), rows.column(1)], names=["doc", "tag", "text"])
 
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Remove the words of the repeats (first word, windows) from each text; null repeats remove none."""
+    for batch in sliced(batches):
+        kept, n_words, n_removed = [], [], []
+        for text, starts, counts in zip(batch.column("text"), batch.column("starts"), batch.column("counts"), strict=True):
+            found = text.as_py().encode().split()
+            edge = np.zeros(len(found) + 1, dtype=np.int64)
+            if starts.is_valid:
+                start = starts.values.to_numpy(zero_copy_only=False)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + counts.values.to_numpy(zero_copy_only=False) + WINDOW - 1, -1)
+            drop = np.cumsum(edge[:-1]) > 0
+            kept.append(b" ".join([x for x, d in zip(found, drop.tolist(), strict=True) if not d]))
+            n_words.append(len(found))
+            n_removed.append(int(drop.sum()))
+        yield _kept(batch.column("doc"), kept, n_words, n_removed)
+
+
 def repeated_blocks(docs: DataFrame) -> DataFrame:
     """(doc, at, n): runs of n windows from word ``at`` on (low 32 bits; the text's tag above) that a smaller doc_id has too."""
     context = docs.sparkSession.sparkContext
@@ -180,15 +193,13 @@ def repeated_blocks(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_removed and kept_sha256 of the words that stay."""
+    """Per row: doc_id, text (the words that stay, joined by one space), n_words before and n_removed.
+    Only texts that may hold a repeat are shuffled, to meet its places; all others stay where they lie."""
     docs = texts(documents, id_col, text_col)
     known = docs.where("doc_id IS NOT NULL")
-    repeats = repeated_blocks(known).select("doc", F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "n")
-    per_doc = settle(repeats.groupBy("doc", "tag").agg(F.collect_list("at").alias("starts"), F.collect_list(F.col("n").cast("long")).alias("counts")), "repeats")
+    repeats = repeated_blocks(known).select("doc", F.shiftright("at", 32).alias("tag"), F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), F.col("n").cast("long").alias("n")).alias("run"))
+    per_doc = settle(repeats.groupBy("doc", "tag").agg(F.collect_set("run").alias("runs")).select("doc", "tag", F.col("runs.at").alias("starts"), F.col("runs.n").alias("counts")), "repeats")
     ids = docs.sparkSession.sparkContext.broadcast(bitmap(per_doc, "doc"))
-    hit = known.mapInArrow(_only(ids), "doc long, tag long, text string")
-    cut = hit.join(per_doc, ["doc", "tag"]).select("doc", "tag", "text", "starts", "counts").mapInArrow(_cut, "doc long, tag long, n_removed long, cut_sha binary")
-    rows = docs.mapInArrow(_whole, "doc_id long, tag long, n_words long, sha binary")
-    cut = settle(cut, "cut").dropDuplicates(["doc", "tag"]).withColumnRenamed("tag", "cut_tag")
-    out = rows.join(cut, (F.col("doc_id") == F.col("doc")) & (F.col("tag") == F.col("cut_tag")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.lower(F.hex(F.coalesce("cut_sha", "sha"))).alias("kept_sha256"))
+    kept = "doc_id long, text string, n_words long, n_removed long"
+    hit = known.mapInArrow(_tagged(ids), "doc long, tag long, text string").join(per_doc, ["doc", "tag"], "left")
+    return docs.mapInArrow(_untouched(ids), kept).union(hit.select("doc", "text", "starts", "counts").mapInArrow(_cut, kept))

@@ -322,8 +322,8 @@ def read_block(row: dict) -> tuple[np.ndarray, Boundaries, np.ndarray]:
 
 
 def read_documents(store: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every stored document, from the stored bytes.  Block
-    totals are summed up first: parts and blocks, which grow with the corpus only a millionth as fast as its ids."""
+    """(doc_id, start, ids) of every stored document, from the stored bytes: ids as little-endian unsigned 32-bit
+    integers, start the number of ids before them.  Block totals are summed up first: parts and blocks, which grow with the corpus only a millionth as fast as its ids."""
     sizes = store.groupBy("part").agg(F.sum("total").alias("n"))
     ahead = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     inner = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -339,7 +339,7 @@ def read_documents(store: DataFrame) -> DataFrame:
                 ends = boundaries.all()
                 begins = np.concatenate([[0], ends[:-1]])
                 wide = ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([*docs.tolist(), *[None] * (len(ends) - len(docs))], pa.int64()), pa.array(begins + row["start"]), pa.array(ends - begins), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                each = [wide[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([*docs.tolist(), *[None] * (len(ends) - len(docs))], pa.int64()), pa.array(begins + row["start"]), pa.array(each, pa.binary())], names=["doc_id", "start", "ids"])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.mapInArrow(run, "doc_id long, start long, ids binary")

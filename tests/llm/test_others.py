@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, pii, sharding, textkernel, token_store, topk_search, toxicity
+from factloom.llm import mixing, pii, queries, sharding, textkernel, token_store, topk_search, toxicity
 from factloom.llm.common import components, fold
 
 
@@ -21,6 +21,14 @@ def frame(spark, rows, schema="doc_id long, text string"):
     return spark.createDataFrame(rows, schema).withColumn("size", F.lit("clash")).withColumn("shard", F.lit("clash"))
 
 
+def personal_data(documents):
+    return queries.span_digests(pii.find_personal_data(documents))
+
+
+def stored_documents(store):
+    return queries.id_digests(token_store.read_documents(store))
+
+
 # --- components ---
 
 
@@ -264,7 +272,7 @@ def test_store_round_trip(spark, tokenizer_path, monkeypatch, part_bytes):
     rows = [(i * 3, "".join(rng.choice("abc dé\n'") for _ in range(rng.randrange(80)))) for i in range(120)] + [(1, None), (2, "long " * 2000), (5000, ""), (None, "lost"), (None, None), (-4, "first")]
     rows += [(9, "one"), (9, "two"), (9, "one")] + [(77, "equal rows")] * 60 + [(None, "x")] * 40
     store = token_store.write_store(frame(spark, rows).repartition(5), tokenizer_path, block_ids=50)
-    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_documents(store).collect()]
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in stored_documents(store).collect()]
     at, want = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, zlib.crc32((r[1] or "").encode()))):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
@@ -272,7 +280,7 @@ def test_store_round_trip(spark, tokenizer_path, monkeypatch, part_bytes):
         at += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want and store.count() > 10
     assert (store.select("part").distinct().count() > 8) == (part_bytes < 1000)
-    assert token_store.read_documents(token_store.write_store(frame(spark, []), tokenizer_path)).count() == 0
+    assert stored_documents(token_store.write_store(frame(spark, []), tokenizer_path)).count() == 0
 
 
 # --- search ---
@@ -446,7 +454,7 @@ def test_base_spans(spark):
     texts += ["".join(rng.choice("a.@-+ 0123 45(é") for _ in range(rng.randrange(120))) for _ in range(400)]
     texts += ["".join(rng.choice("0123456789 -") for _ in range(60)) for _ in range(100)]
     rows = list(enumerate(texts)) + [(0, texts[0])]
-    got = pii.find_personal_data(frame(spark, rows)).collect()
+    got = personal_data(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     for r in got:
         written, n = base(texts[r.doc_id])
@@ -461,7 +469,7 @@ def test_patterns_find_unseen_identifiers(spark):
     rows = [(i, f"{fill()} hotline: +1 555 010 {1000 + i} the {10 + i} {fill()}") for i in range(30)]
     rows += [(100 + i, f"{fill()} the +1 555 020 {2000 + i} {fill()} version {i}.0") for i in range(5)]
     rows += [(200, f"{fill()} Hotline: 0800-CALL-42. {fill()} version 7.1 the 99"), (201, None)]
-    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in personal_data(frame(spark, rows)).collect()}
     text = rows[-2][1]
     at = text.index("0800-CALL-42")
     assert got[200].spans == f"phone:{at}:{at + 12}" and got[200].n_phone == 0
@@ -474,7 +482,7 @@ def test_patterns_without_seeds_are_reached_in_two_hops(spark, monkeypatch):
     rows += [(100 + i, f"word hotline: 0800-CALL-{i} word") for i in (42, 43)]
     rows += [(200 + i, f"word helpdesk: 0800-CALL-{i} word") for i in (42, 43, 44)]
     rows += [(300 + i, f"word version 7.{i} word") for i in range(5)]
-    found = lambda: {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, rows)).where("n_found > 0").collect()}
+    found = lambda: {r.doc_id: r.spans for r in personal_data(frame(spark, rows)).where("n_found > 0").collect()}
     want = {100 + i: "phone:14:26" for i in (42, 43)} | {200 + i: "phone:15:27" for i in (42, 43, 44)}
     assert found() == want
     monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
@@ -485,7 +493,7 @@ def test_context_words_may_hold_digits(spark):
     """"Line2:" is a pattern, and so is a word that is an identifier itself."""
     rows = [(i, f"word Line{i % 10}: +1 555 010 {1000 + i} word") for i in range(30)]
     rows += [(100, "word line7: 0800-CALL-42 word"), (101, "7 " + "x" * 60_000 + " b 5 " + "7" * 60_000 + " b 5")]
-    got = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, rows)).where("n_found > 0").collect()}
+    got = {r.doc_id: r.spans for r in personal_data(frame(spark, rows)).where("n_found > 0").collect()}
     assert got == {100: "phone:12:24"}
 
 
@@ -581,7 +589,7 @@ def test_pattern_graph_equals_the_plain_one(spark):
             words += [rng.choice(["alpha", "beta", "x"])] * rng.randrange(2) + [leads[lead]] * (rng.random() < 0.9) + [thing] + ["now"] * (rng.random() < 0.5)
         texts.append(rng.choice([" ", "  ", "\n"]).join(words))
     texts += [None, "", "é 日 call 0800-1 日", "\x01 7 \x01 8"]
-    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, list(enumerate(texts)))).collect()}
+    got = {r.doc_id: r for r in personal_data(frame(spark, list(enumerate(texts)))).collect()}
     want = plain_extraction(texts)
     for k, w in enumerate(want):
         assert got[k].spans == w, (texts[k], got[k].spans, w)
@@ -591,7 +599,7 @@ def test_pattern_graph_equals_the_plain_one(spark):
 
 def test_secrets_are_found_by_their_pattern_only(spark):
     rows = [(i, f'word token = "{i:040x}" word'.replace("0000", "a1b2")) for i in range(20)] + [(50, "commit " + "ab12" * 10), (51, 'word token = "9f-x7"')]
-    got = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, rows)).where("n_found > 0").collect()}
+    got = {r.doc_id: r.spans for r in personal_data(frame(spark, rows)).where("n_found > 0").collect()}
     assert got == {i: "secret:14:54" for i in range(20)} | {51: "secret:14:19"}
 
 
@@ -601,7 +609,7 @@ def test_personal_data_grows_with_the_text_only(spark):
 
     def took(n):
         began = time.perf_counter()
-        (r,) = pii.find_personal_data(spark.createDataFrame([(1, "call a@b.cd x7 " * n)], "doc_id long, text string")).collect()
+        (r,) = personal_data(spark.createDataFrame([(1, "call a@b.cd x7 " * n)], "doc_id long, text string")).collect()
         assert r.n_email == n
         return time.perf_counter() - began
 
@@ -611,7 +619,7 @@ def test_personal_data_grows_with_the_text_only(spark):
 
 
 def test_personal_data_of_nothing(spark):
-    assert pii.find_personal_data(frame(spark, [])).count() == 0
+    assert personal_data(frame(spark, [])).count() == 0
 
 
 # --- pipeline ---

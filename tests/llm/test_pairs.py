@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, near_dedup, substring_dedup
+from factloom.llm import decontamination, near_dedup, queries, substring_dedup
 from factloom.llm.textkernel import shingle_set
 
 
@@ -18,6 +18,10 @@ def edited(rng, words, rate):
     return [f"e{rng.randrange(10**6)}" if rng.random() < rate else w for w in words]
 
 
+def without_repeats(documents):
+    return queries.text_digests(substring_dedup.remove_repeats(documents))
+
+
 @pytest.fixture(scope="module")
 def corpus():
     """Unrelated texts, exact copies, a dense group of near copies at all distances, chains, a line that
@@ -213,10 +217,19 @@ def test_repeats(spark, corpus):
     more = [(600 + k, " ".join(text_of(rng, rng.randrange(30)) + passage[rng.randrange(20) : rng.randrange(30, 60)] + text_of(rng, rng.randrange(30)))) for k in range(40)]
     more += [(700, "x " * 500), (701, "x " * 500 + "y"), (702, "p q " * 60), (703, "q p " * 60), (704, " ".join(passage)), (704, " ".join(passage)), (704, " ".join(passage[::-1])), (None, " ".join(passage))]
     rows = corpus + more
-    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in without_repeats(frame(spark, rows)).collect())
     assert got == expected_repeats(rows)
 
 
+def test_repeats_leave_the_other_words(spark):
+    passage = [f"p{i}" for i in range(20)]
+    rows = [(1, " ".join(passage)), (2, " ".join(["Ä", *passage, "\tend"])), (2, None), (None, " ".join(passage)), (2**60 + 1, " ".join(passage[:13])), (3, "")]
+    got = substring_dedup.remove_repeats(frame(spark, rows)).collect()
+    key = lambda r: (-1 if r[0] is None else r[0], r[1])
+    want = [(1, " ".join(passage), 20, 0), (2, "Ä end", 22, 20), (2, "", 0, 0), (None, " ".join(passage), 20, 0), (2**60 + 1, "", 13, 13), (3, "", 0, 0)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 def test_repeats_of_nothing(spark):
-    assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-    assert substring_dedup.remove_repeats(spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")).count() == 2
+    assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert without_repeats(spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")).count() == 2
