@@ -103,6 +103,13 @@ def op10_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_digests(remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.hard_negatives import labelled, mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(labelled(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, scale=256, label=label))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op4_contextual_pii, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op8_elias_fano_tokens, op9_bottom_k_near_dedup, op10_seed_and_extend, pipeline)}
+    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op4_contextual_pii, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op8_elias_fano_tokens, op9_bottom_k_near_dedup, op10_seed_and_extend, op11_hard_negatives, pipeline)}
 
 
 _WORDS = r"""list_filter(string_split_regex({text}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"""
@@ -136,6 +143,14 @@ k AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.p) AS kept FROM (SELECT
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(x.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 
+_HARD_NEGATIVES = """WITH q AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, k FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank FROM p JOIN s ON s.r = p.r AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL expresses the whole result; the other queries are tested against brute force."""
-    return {"op2_benchmark_containment": _CONTAINMENT, "op5_maxscore": _TOP_K, "op10_seed_and_extend": _REPEATS}
+    return {"op2_benchmark_containment": _CONTAINMENT, "op5_maxscore": _TOP_K, "op10_seed_and_extend": _REPEATS, "op11_hard_negatives": _HARD_NEGATIVES}
