@@ -53,7 +53,7 @@ def test_lanes_and_blocks_change_nothing(spark, monkeypatch):
 
 
 def test_sums_above_the_exact_floats(spark):
-    rows = [(0, [2.0**22, 3.0], 0), (1, [2.0**21 + 0.5, 1.0], 0), (2, [2.0**20 + 1 / 256, 1.0], 1), (3, [2.0**20, 5.0], 1)]
+    rows = [(0, [2.0**22, 3.0], 0), (1, [2.0**21 + 0.5, 1.0], 0), (2, [1.5 * 2.0**20 + 1 / 256, 1.0], 1), (3, [1.5 * 2.0**20, 1.25], 1)]
     assert found(spark, rows) == plain(rows) != []
 
 
