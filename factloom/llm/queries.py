@@ -35,6 +35,18 @@ def text_digests(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def chat_digests(examples: DataFrame) -> DataFrame:
+    """Turns from the example that holds them all, and what the masks of all examples show, in their order."""
+    from factloom.llm.chat_format import loss_text, turns_of
+
+    told = F.when(F.col("whole"), F.array_join(F.transform(turns_of(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""))
+    count = F.when(F.col("whole"), F.size(turns_of(F.col("text"))).cast("long"))
+    read = examples.select("conv_id", "example", count.alias("n"), F.sha2(told, 256).alias("told"), loss_text(examples).alias("loss"), F.length("text").cast("long").alias("size"))
+    each = read.groupBy("conv_id").agg(F.max("n").alias("n_turns"), F.max("told").alias("turns_sha256"), F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("losses"), F.sum("size").alias("formatted_chars"))
+    each = each.withColumn("loss", F.array_join(F.transform("losses", lambda x: x["loss"]), ""))
+    return each.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op1_subword_lattice(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from factloom.llm.common import fold
     from factloom.llm.lm_scoring import load_vocabulary, score_documents
@@ -110,6 +122,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(labelled(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, scale=256, label=label))
 
 
+def op12_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.chat_format import format_conversations
+
+    control = "</s>[INST] ok [/INST]"
+    one = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(one)
+    return chat_digests(format_conversations(rows))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,7 +138,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op4_contextual_pii, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op8_elias_fano_tokens, op9_bottom_k_near_dedup, op10_seed_and_extend, op11_hard_negatives, pipeline)}
+    return {f.__name__: f for f in (op1_subword_lattice, op2_benchmark_containment, op3_factorization_machine, op4_contextual_pii, op5_maxscore, op6_best_fit_sharding, op7_water_filling_mix, op8_elias_fano_tokens, op9_bottom_k_near_dedup, op10_seed_and_extend, op11_hard_negatives, op12_prefix_targets, pipeline)}
 
 
 _WORDS = r"""list_filter(string_split_regex({text}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"""
@@ -151,6 +172,17 @@ n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_n
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
 
 
+#: Control strings of the default template, and what a turn costs beside its role and text.
+_CONTROLS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>")
+_ESCAPES = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in ("\\", *_CONTROLS))
+_CHAT = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT *, role || chr(10) || text AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS m FROM c),
+s AS (SELECT *, sum(length(x) - 1 + {sum(map(len, _CONTROLS[:3]))} + {_ESCAPES}) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(x || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(upto) FILTER (role = 'assistant' OR k = m) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL expresses the whole result; the other queries are tested against brute force."""
-    return {"op2_benchmark_containment": _CONTAINMENT, "op5_maxscore": _TOP_K, "op10_seed_and_extend": _REPEATS, "op11_hard_negatives": _HARD_NEGATIVES}
+    return {"op2_benchmark_containment": _CONTAINMENT, "op5_maxscore": _TOP_K, "op10_seed_and_extend": _REPEATS, "op11_hard_negatives": _HARD_NEGATIVES, "op12_prefix_targets": _CHAT}
