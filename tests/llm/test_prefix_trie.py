@@ -93,4 +93,4 @@ def test_crc32_in_sql():
     import duckdb
 
     for x in (0, 7, 123456, -5):
-        assert duckdb.sql(f"SELECT {queries._CRC32.format(x=x)}").fetchone()[0] == zlib.crc32(str(x).encode())
+        assert duckdb.sql(f"SELECT {queries._CRC32.format(x=x)}").fetchall()[0][0] == zlib.crc32(str(x).encode())
