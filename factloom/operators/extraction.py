@@ -109,4 +109,5 @@ def clean_facts(facts: DataFrame) -> DataFrame:
         changes["sample_size"] = sample_size("sample_size")
     if "treatment_line" in has:
         changes["treatment_line"] = treatment_line("treatment_line")
-    return kept.withColumns(changes)
+    # What was written is no longer what the fact says.
+    return kept.withColumns(changes).drop("raw_fact")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import vocab
+from factloom.functions import variants
 from factloom.functions.text import lookup, text
 from factloom.plans.workspace import settle
 
@@ -46,7 +47,10 @@ def edge_evidence(normalised: DataFrame) -> DataFrame:
     has = set(normalised.columns)
     column = lambda c, kind="string": F.col(c).cast(kind) if c in has else F.lit(None).cast(kind)
     target = F.when(F.col("relation") == "IMPROVES", node_id("outcome", F.col("outcome_match"))).otherwise(node_id("condition", F.col("condition")))
-    size = F.when(column("sample_size").rlike("^[0-9]+$"), column("sample_size").try_cast("int"))
+    written = variants.written(variants.member("raw_fact", "sample_size")) if "raw_fact" in has else column("sample_size")
+    size = F.when(written.rlike("^[0-9]+$"), written.try_cast("int"))
+    # Fields that no column has: properties of their own.
+    more = [F.col("extra")] if "extra" in has else []
     rows = normalised.where(F.col("relation").isin(vocab.RELATIONS)).select(
         node_id("drug", F.col("drug")).alias("src_id"),
         F.col("relation").alias("rel_type"),
@@ -62,13 +66,15 @@ def edge_evidence(normalised: DataFrame) -> DataFrame:
         size.alias("sample_size"),
         column("p_value", "double").alias("p_value"),
         *(column(c).alias(c) for c in OPTIONAL),
+        *more,
     )
     return rows.where("src_id IS NOT NULL AND dst_id IS NOT NULL")
 
 
 def edges(evidence: DataFrame) -> DataFrame:
     """One edge for each (src, type, dst): the last fact's properties, nulls and all."""
-    best = evidence.groupBy("src_id", "rel_type", "dst_id").agg(F.max_by(F.struct("label", *EDGE_PROPERTIES, "load_seq", "fact_index"), F.struct("load_seq", "fact_index")).alias("e"))
+    more = [c for c in ("extra",) if c in evidence.columns]
+    best = evidence.groupBy("src_id", "rel_type", "dst_id").agg(F.max_by(F.struct("label", *EDGE_PROPERTIES, *more, "load_seq", "fact_index"), F.struct("load_seq", "fact_index")).alias("e"))
     return best.select("src_id", "rel_type", "dst_id", "e.*")
 
 

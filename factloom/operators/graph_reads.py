@@ -81,16 +81,19 @@ def schema_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def schema_properties(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, name, property): properties that some node or edge has; a null is no property.  One count for each
-    column and key, not a list of values."""
+    """(kind, name, property): properties that some node or edge has, found in the tables: their columns, and the
+    keys of ``extra``; a null is no property.  One count for each column and key, not a list of values."""
 
-    def present(df: DataFrame, kind: str, by: str, columns: list[str]) -> DataFrame:
+    def present(df: DataFrame, kind: str, by: str, *ends: str) -> DataFrame:
+        columns = [c for c in df.columns if c not in (by, *ends, "extra")]
         counted = df.groupBy(F.col(by).alias("owner")).agg(*(F.count(c).alias(c) for c in columns))
         stacked = ", ".join(f"'{c}', `{c}`" for c in columns)
-        return counted.selectExpr(f"'{kind}' AS kind", "owner AS name", f"stack({len(columns)}, {stacked}) AS (property, n)").where("n > 0").drop("n")
+        known = counted.selectExpr(f"'{kind}' AS kind", "owner AS name", f"stack({len(columns)}, {stacked}) AS (property, n)").where("n > 0").drop("n")
+        if "extra" not in df.columns:
+            return known
+        return known.unionByName(df.select(F.lit(kind).alias("kind"), F.col(by).alias("name"), F.explode(F.map_keys("extra")).alias("property"))).distinct()
 
-    node_columns = ["id", "name", "normalized_name", "match_type", "match_score", "category"]
-    return present(nodes, "label", "label", node_columns).unionByName(present(edges, "relation", "rel_type", ["label", *EDGE_PROPERTIES]))
+    return present(nodes, "label", "label").unionByName(present(edges, "relation", "rel_type", "src_id", "dst_id", "load_seq", "fact_index"))
 
 
 def schema_samples(nodes: DataFrame, edges: DataFrame, n: int = 3) -> DataFrame:

@@ -75,3 +75,35 @@ def odd_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ODD_DUCKDB = odd_facts_sql(f"({FACTS_DUCKDB})", "NULL")
+
+
+#: Facts as careless files have them: each value of the type that its number deals it, some fields missing, some more than known.
+_LOOSE = {
+    "drug_name": (11, ['["sertraline"]', "7", None, "null"]),
+    "confidence": (13, ['"0.8"', '"high"', "true", "[0.5]", '"1.7"', "null", "0", '""', '"0"', None, '" 1_0e-1 "']),
+    "side_effects": (7, ['"nausea"', '["nausea", 7, null, "odd", ""]', "null", '{"a": 1}', None, "0"]),
+    "sample_size": (9, ["485.7", '"485"', '"485.7"', "true", "0", "null"]),
+    "effect_size": (5, ["0.4", "false", '"large"', "null"]),
+    "arm": (3, ['"open"']),
+}
+
+
+def _mixed_fact() -> str:
+    """A fact as a JSON text, the same in Spark and DuckDB."""
+    plain = {"drug_name": """concat('"', drug_name, '"')""", "confidence": "CAST(confidence AS STRING)", "side_effects": "'[]'", "sample_size": "CAST(sample_size AS STRING)", "effect_size": "'\"42% vs 28%\"'", "arm": "''"}
+
+    def field(name: str) -> str:
+        n, values = _LOOSE[name]
+        key = lambda v: f"""concat(', "{name}": ', {v})"""
+        whens = " ".join(f"WHEN {i} THEN " + ("''" if v is None else key(f"'{v}'")) for i, v in enumerate(values))
+        return f"CASE fact_index % {n} {whens} ELSE {key(plain[name]) if name != 'arm' else plain[name]} END"
+
+    always = """concat('{"condition_name": "', condition_name, '", "relation": "', relation, '", "span": "', span, '", "source_id": "', source_id, '", "section": "', section, '"'"""
+    return f"{always}, {', '.join(map(field, _LOOSE))}, '}}')"
+
+
+def mixed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts(spark, sf_dir).select("fact_index", "load_seq", F.expr(_mixed_fact()).alias("fact"))
+
+
+MIXED_DUCKDB = f"SELECT fact_index, load_seq, {_mixed_fact()} AS fact FROM ({FACTS_DUCKDB})"

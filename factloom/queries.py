@@ -624,6 +624,49 @@ def fact_files(spark, sf_dir):
     return back.select(file.alias("file"), "fact_index", "drug_name", "relation", "confidence", F.array_join("side_effects", "|").alias("side_effects"), "outcome", "sample_size")
 
 
+# Facts whose values are of any type, by DuckDB's JSON functions.  A missing name is empty, a null one the text "None".
+_TYPE = "coalesce(json_type(fact, '$.{c}'), 'none')"
+_VALUE = "json_extract_string(fact, '$.{c}')"
+_ITEM = "coalesce(CASE json_type(x) WHEN 'VARCHAR' THEN json_extract_string(x, '$') WHEN 'NULL' THEN {null} ELSE CAST(x AS VARCHAR) END, {null})"
+_MIXED = f"""WITH mixed AS ({fixture.MIXED_DUCKDB}), kinds AS (SELECT fact_index, fact, {", ".join(f"{_TYPE.format(c=c)} AS {c}_kind, {_VALUE.format(c=c)} AS {c}_text" for c in ("drug_name", "confidence", "side_effects", "sample_size", "effect_size"))},
+  CAST(json_extract(fact, '$.side_effects') AS JSON) AS effects, {_VALUE.format(c="condition_name")} AS condition_name, {_VALUE.format(c="relation")} AS relation, {_VALUE.format(c="span")} AS span FROM mixed),
+facts AS (SELECT fact_index, CASE drug_name_kind WHEN 'none' THEN '' WHEN 'NULL' THEN 'None' ELSE drug_name_text END AS drug_name, drug_name_kind IN ('none', 'NULL') AS no_drug, condition_name, relation, span,
+  confidence_kind, CASE WHEN confidence_kind = 'VARCHAR' THEN TRY_CAST(replace(trim(confidence_text), '_', '') AS DOUBLE) WHEN confidence_kind = 'BOOLEAN' THEN CAST(confidence_text = 'true' AS INTEGER) WHEN confidence_kind IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(confidence_text AS DOUBLE) END AS confidence,
+  CASE WHEN confidence_kind IN ('none', 'NULL') THEN true WHEN confidence_kind = 'VARCHAR' THEN trim(confidence_text) = '' WHEN confidence_kind IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(confidence_text AS DOUBLE) = 0 ELSE false END AS no_confidence,
+  side_effects_kind NOT IN ('ARRAY', 'none') AS no_list, CASE WHEN side_effects_kind = 'ARRAY' THEN list_transform(CAST(effects AS JSON[]), lambda x: {_ITEM.format(null="'None'")}) ELSE [] END AS side_effects,
+  CASE WHEN side_effects_kind = 'ARRAY' THEN array_to_string(list_transform(CAST(effects AS JSON[]), lambda x: {_ITEM.format(null="NULL")}), '|') WHEN side_effects_kind IN ('none', 'NULL') OR side_effects_text = '0' THEN '' ELSE side_effects_text END AS effects_text,
+  CASE WHEN effect_size_kind IN ('none', 'NULL') OR effect_size_text = 'false' THEN NULL ELSE effect_size_text END AS effect_size,
+  CASE WHEN sample_size_kind = 'VARCHAR' THEN TRY_CAST(CASE WHEN regexp_full_match(sample_size_text, '[0-9]+') THEN sample_size_text END AS INTEGER) WHEN sample_size_kind = 'BOOLEAN' THEN 1 WHEN sample_size_kind <> 'NULL' THEN CAST(trunc(CAST(sample_size_text AS DOUBLE)) AS INTEGER) END AS sample_size,
+  CASE WHEN json_type(fact, '$.arm') IS NULL THEN '' ELSE 'arm' END AS extra FROM kinds)"""
+_MIXED_RULES = [
+    ("missing_required_field", "error", "drug_name", "no_drug", True),
+    ("missing_required_field", "error", "confidence", "no_confidence", True),
+    ("missing_confidence", "error", "confidence", "confidence_kind IN ('none', 'NULL')", True),
+    ("invalid_confidence_type", "error", "confidence", "confidence_kind NOT IN ('none', 'NULL') AND confidence IS NULL", True),
+    ("invalid_side_effects_type", "warning", "side_effects", "no_list", False),
+    *((t, s, f, f"{_FILLED.get(f, 'true')} AND ({when})" + (" AND drug_name <> ''" if t == "drug_not_in_span" else ""), fatal) for t, s, f, when, fatal in _RULES if t != "missing_required_field"),
+]
+
+
+def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact files of 500, every other one a bare list, the others wrapped, with a first wrapper that holds no list; read back."""
+    path = f"{workspace(spark)}/mixed-files-{uuid.uuid4().hex[:8]}"
+    lines = fixture.mixed_facts(spark, sf_dir).groupBy(F.floor(F.col("fact_index") / 500).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fact_index", "fact"))), lambda x: x["fact"]), ", ").alias("facts"))
+    text = F.when(F.col("file") % 2 == 0, F.concat(F.lit("["), "facts", F.lit("]"))).otherwise(F.concat(F.lit('{"triples": 3, "validated_facts": ['), "facts", F.lit("]}")))
+    lines.select("file", text.alias("value")).write.partitionBy("file").text(path)
+    back = fact_sources.read_facts(spark, f"{path}/file=*")
+    return back.withColumn("file", F.regexp_extract("origin", "file=([0-9]+)", 1).cast("long"))
+
+
+@query(f"""{_issues_sql(_MIXED_RULES).replace(_FACTS, _MIXED, 1)}, told AS (SELECT fact_index, bool_or(fatal) AS bad, string_agg(issue_type, ',' ORDER BY issue_type) AS types FROM issues GROUP BY fact_index)
+SELECT f.fact_index // 500 AS file, f.fact_index % 500 AS fact_index, CASE WHEN drug_name = 'None' THEN NULL ELSE drug_name END AS drug_name, confidence, sample_size, effects_text AS side_effects, extra, NOT coalesce(bad, false) AS is_valid, coalesce(types, '') AS issue_types FROM facts f LEFT JOIN told t ON t.fact_index = f.fact_index""")
+def mixed_fact_files(spark, sf_dir):
+    """Values of all types through fact files: what they are read as, and what the rules say of the fact as it was written."""
+    checked = validation.validate(_mixed_files(spark, sf_dir))
+    types = F.array_join(F.sort_array(F.transform("issues", lambda i: i["issue_type"])), ",")
+    return checked.select("file", "fact_index", "drug_name", "confidence", "sample_size", F.array_join("side_effects", "|").alias("side_effects"), F.array_join(F.map_keys("extra"), ",").alias("extra"), "is_valid", types.alias("issue_types"))
+
+
 @query("SELECT concat('item_', CAST(item_id AS VARCHAR)) AS source_id, 'introduction' AS name, md5(trim(text)) AS text_md5, CAST(13 AS BIGINT) AS start_offset, length(text) + 13 AS full_length, true AS parsed FROM benchmark WHERE trim(text) <> ''")
 def parsed_files(spark, sf_dir):
     """Parsed documents written as JSON, one folder for each, and read back."""
