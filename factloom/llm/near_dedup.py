@@ -22,8 +22,9 @@
    of the c - 3/4 n + 1 rarest shingles of each; and at the first one they share, both must
    still have that many to come.  Most documents drop out by c alone.  A document that would still meet more than
    MOST_ROWS others outside the largest component of a list is heavy: heavy documents are broadcast in blocks and
-   looked for in all members, so they give their links and no candidate rows, and what is left gives
+   looked for in all members, which gives a row for each document and other component that it is linked with, and what is left gives
    at most MOST_ROWS rows a document, however large a group of texts just below the threshold is.
+   With ``exact`` this search is made over all documents, and no chance is left to sketches.
 5. Every candidate is verified on the words: 100 * shared >= 75 * union.
 
 Nothing is capped: every list is finished.  Links that are not compared lie within
@@ -211,7 +212,8 @@ def _heavy(rare: DataFrame) -> DataFrame:
 
 
 def _heavy_links(heavy: DataFrame, text: DataFrame) -> DataFrame | None:
-    """Pairs (a, b) at the threshold, by hashes, of a heavy document and any other; None without heavy ones."""
+    """Pairs (a, b) at the threshold, by hashes, of a heavy document and one of another component, for each document of ``text``
+    (rep, text, component) at most one with each other component; None without heavy ones."""
     context = text.sparkSession.sparkContext
     texts_ = settle(text.join(heavy, "rep", "left_semi"), "heavy_texts")
     size = texts_.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0]
@@ -227,12 +229,12 @@ def _heavy_links(heavy: DataFrame, text: DataFrame) -> DataFrame | None:
         value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(h) for h in sets])
         order = np.argsort(value, kind="stable")
         values, at = np.unique(value[order], return_index=True)
-        shared = context.broadcast((values, np.append(at, len(value)), owner[order], np.array([len(h) for h in sets]), part.column("rep").to_numpy()))
+        shared = context.broadcast((values, np.append(at, len(value)), owner[order], np.array([len(h) for h in sets]), part.column("rep").to_numpy(), part.column("component").to_numpy()))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            values, bounds, owners, sizes, reps = shared.value
+            values, bounds, owners, sizes, reps, groups = shared.value
             for batch in batches:
-                ids = batch.column("rep").to_numpy(zero_copy_only=False)
+                ids, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component"))
                 a, z = [], []
                 for w in textkernel.words(batch.column("text"), lower=True):
                     for i, h in enumerate(textkernel.document_shingles(w, w.hashes(), SHINGLE)):
@@ -243,7 +245,8 @@ def _heavy_links(heavy: DataFrame, text: DataFrame) -> DataFrame | None:
                         many = bounds[at + 1] - bounds[at]
                         hit = owners[np.repeat(bounds[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
                         both = np.bincount(hit, minlength=len(sizes))
-                        near = np.flatnonzero((100 * both >= PERCENT * (len(h) + sizes - both)) & (reps != ids[w.first + i]))
+                        near = np.flatnonzero((100 * both >= PERCENT * (len(h) + sizes - both)) & (groups != own[w.first + i]))
+                        near = near[np.unique(groups[near], return_index=True)[1]]  # components that are linked once are one
                         a += np.minimum(reps[near], ids[w.first + i]).tolist()
                         z += np.maximum(reps[near], ids[w.first + i]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
@@ -267,12 +270,12 @@ def _full_links(lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFr
     other = rare.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "common", "component", "place")))
     enough = F.least(F.col("common") - F.col("place"), F.col("common2") - F.col("place2")) * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2"))
     pairs = rare.join(other, "value").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _near("n", "n2") & enough).select(*_ordered("rep", "rep2")).distinct()
-    more = _heavy_links(heavy, text)
+    more = _heavy_links(heavy, text.join(members.select("rep", "component"), "rep"))
     pairs = pairs if more is None else pairs.union(more.distinct())
     return _links(settle(pairs, "pairs"), docs, classes, text=text)
 
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``docs`` has doc_id, text and more.  Returns its rows without the text, with n_shingles, rep (the class; null
     without words) and doc (the class's smallest doc_id); the classes; and the component of every class with a link."""
     more = "".join(f"{c} {t}, " for c, t in docs.dtypes if c != "text")
@@ -296,15 +299,18 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         lists = _open_lists(lists, labels)
         release(docs.sparkSession)
         turn, more = turn + 1, found.count() * LINKED >= pairs.count() > 0
+    if exact:  # all classes, not only those in lists that a sketch's values still leave open
+        lists = classes.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     found = _full_links(lists, docs, classes)
     if found.limit(1).count():
         labels = components(links.union(found))
     return members, classes, labels.withColumnRenamed("node", "rep")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, or its own) and kept."""
-    members, classes, labels = _grouped(texts(documents, id_col, text_col))
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, or its own) and kept.
+    ``exact``: sketches find most links, but the full sets of all documents are searched for the rest, so none is left to chance."""
+    members, classes, labels = _grouped(texts(documents, id_col, text_col), exact)
     least = labels.join(classes.select("rep", "doc"), "rep").groupBy("component").agg(F.min("doc").alias("least"))
     linked = settle(labels.join(least, "component").select("rep", "least", F.lit(True).alias("linked")), "linked")
     out = members.join(linked, "rep", "left")

@@ -18,8 +18,8 @@ that the anchor stands for; about one word in five starts one.
 Everything is grouped by content, never by pairs of documents, so a passage in n
 documents costs n rows.  Before a shuffle rows are dropped by bitmaps of bounded
 size (MOST_BITS) over what they will be joined with; what a bitmap lets through
-by chance is dropped by the join itself.  Words are compared by two hashes of 64 and 48
-bits or more, anchor and extension.
+by chance is dropped by the join itself.  Words are compared by two independent hashes of their keys, 64 bits for
+the anchor and 48 or 64 for what is around it.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Defined cases: a null text has no words;
 documents with fewer than WINDOW words lose nothing; repeats within a document are
@@ -44,8 +44,9 @@ from factloom.llm.common import bitmap, in_bitmap, settle, sliced, texts
 WINDOW, SEED = 13, 5
 
 
-def blocks(w: textkernel.Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Blocks of a slice of documents: anchor, block hash, document, first window (as a word of the slice), windows."""
+def blocks(w: textkernel.Words, hashes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks of a slice of documents: anchor, block hash, document, first window (as a word of the slice), windows.
+    ``others`` is a second kind of the words' hashes: what is around an anchor is hashed apart from it."""
     span = WINDOW - SEED + 1
     grams = textkernel.ngram_hashes(hashes, SEED)
     per_doc = np.maximum(np.diff(w.bounds) - WINDOW + 1, 0)
@@ -60,9 +61,9 @@ def blocks(w: textkernel.Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(doc)))
     a, to = start[first], start[first] + n - 1 + WINDOW
-    power, inverse = textkernel._power_tables(len(hashes) + 1)
-    prefix = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * power[: len(hashes)], out=prefix[1:])
+    power, inverse = textkernel.power_tables(len(others) + 1)
+    prefix = np.zeros(len(others) + 1, dtype=np.uint64)
+    np.cumsum(others * power[: len(others)], out=prefix[1:])
     body = (prefix[to] - prefix[a]) * inverse[a]
     shape = (n * 64 + anchor_at[first] - a).astype(np.uint64)
     return grams[anchor_at[first]], textkernel.mix64(body + textkernel.mix64(shape)), doc[first], a, n
@@ -85,7 +86,8 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = _doc_ids(batch)
         for w in textkernel.words(batch.column(1), lower=False):
-            anchor, block, doc, _, _ = blocks(w, w.hashes())
+            keys = w.keys()
+            anchor, block, doc, _, _ = blocks(w, textkernel.mixed(*keys), textkernel.mixed(*keys, 1))
             if len(anchor):
                 yield _batch(anchor=anchor.view(np.int64), doc=ids[doc + w.first], block=(block >> np.uint64(16)).view(np.int64))
 
@@ -108,8 +110,9 @@ def _occurrences(one, several):
         for batch in batches:
             ids = _doc_ids(batch)
             for w in textkernel.words(batch.column(1), lower=False):
-                hashes = w.hashes()
-                anchor, _, doc, a, n = blocks(w, hashes)
+                keys = w.keys()
+                others = textkernel.mixed(*keys, 1)
+                anchor, _, doc, a, n = blocks(w, textkernel.mixed(*keys), others)
                 if not len(anchor):
                     continue
                 agree, differ = in_bitmap(one.value, anchor), in_bitmap(several.value, anchor)
@@ -118,7 +121,7 @@ def _occurrences(one, several):
                 tags = np.zeros(w.documents, dtype=np.int64)
                 for d in np.unique(doc[agree | differ]):
                     tags[d] = _tag(b" ".join(w.data[w.offsets[d] : w.offsets[d + 1]].tobytes().split()))
-                grams = textkernel.ngram_hashes(hashes, WINDOW)
+                grams = textkernel.ngram_hashes(others, WINDOW)
                 many = np.flatnonzero(differ)
                 each = np.repeat(many, n[many])
                 at = a[each] + np.arange(len(each)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])

@@ -3,9 +3,9 @@
 All of them work straight on the value buffer of an Arrow string array, so a
 batch of documents is tokenised and hashed by a few numpy passes instead of a
 Python loop over words.  Words are the runs ``[^\\x20\\x09-\\x0D]+`` of the UTF-8
-text; only A-Z is lower-cased when asked for.  Hashes are 64-bit and the same in
-every process and every run.  They propose candidates; the operators confirm
-them on the words themselves wherever a contract asks for exact results.
+text; only A-Z is lower-cased when asked for.  A word's key is 128 bits: up to 16 bytes the
+word itself, of a longer one its BLAKE2b digest.  Hashes are 64 well mixed bits of the key,
+of two kinds that are independent, and the same in every process and every run.
 
 Null texts count as empty.  Memory is bounded by ``SLICE_BYTES`` or one
 document, whichever is larger.
@@ -13,6 +13,7 @@ document, whichever is larger.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,10 @@ SLICE_BYTES = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: Bytes of a word that are its key, and what is left of eight bytes of which so many count.
+KEY_BYTES = 16
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+_SEEDS = ((_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)), (_U(0x8EBC6AF09C88C6E3), _U(0x589965CC75374CC3)))
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: For terms rather than words: every ASCII byte but letters and digits separates.
@@ -41,7 +45,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for sums over some tens of mixed hashes; over longer runs of few values such sums may agree."""
     if len(_powers[0]) < n:
         size = max(n, SLICE_BYTES + 1)
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
@@ -71,14 +76,28 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
-    def hashes(self, prefix_bytes: int | None = None) -> np.ndarray:
-        """One 64-bit hash per word, or per its first bytes: a polynomial over its bytes, then mixed."""
+    def keys(self, prefix_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length and key, as two numbers, of each word, or of its first bytes: equal for equal words only."""
         ends = self.ends if prefix_bytes is None else np.minimum(self.ends, self.starts + prefix_bytes)
-        power, inverse = _power_tables(len(self.data) + 1)
-        prefix = np.empty(len(self.data) + 1, dtype=np.uint64)
-        prefix[0] = 0
-        np.cumsum(_BYTE_CODES[self.data] * power[: len(self.data)], out=prefix[1:])
-        return mix64((prefix[ends] - prefix[self.starts]) * inverse[self.starts])
+        size, padded = ends - self.starts, self.data.tobytes() + bytes(KEY_BYTES)
+        eight = np.ndarray(shape=(len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+        low = eight[self.starts] & _FIRST[np.minimum(size, 8)]
+        high = eight[self.starts + 8] & _FIRST[np.clip(size - 8, 0, 8)]
+        long = np.flatnonzero(size > KEY_BYTES)
+        if len(long):
+            digests = b"".join(hashlib.blake2b(padded[a:b], digest_size=16).digest() for a, b in zip(self.starts[long].tolist(), ends[long].tolist(), strict=True))
+            low[long], high[long] = np.frombuffer(digests, dtype="<u8").reshape(-1, 2).T
+        return size.astype(np.uint64), low, high
+
+    def hashes(self, prefix_bytes: int | None = None, kind: int = 0) -> np.ndarray:
+        """One 64-bit hash per word, or per its first bytes."""
+        return mixed(*self.keys(prefix_bytes), kind)
+
+
+def mixed(size: np.ndarray, low: np.ndarray, high: np.ndarray, kind: int = 0) -> np.ndarray:
+    """A hash of words' keys, of one of two kinds."""
+    a, b = _SEEDS[kind]
+    return mix64(low * a ^ mix64(high * b + mix64(size + a)))
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

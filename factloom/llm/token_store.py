@@ -2,8 +2,8 @@
 
 The tokenizers library's BPE works on the pieces that its pre-tokenizer cuts.  Here a
 numpy pass cuts a batch into the same pieces, a piece is encoded by the library and kept in a
-table of fixed size under a 63-bit hash, and a document's ids are put together from its pieces' ids.
-(Of the some million pieces that a worker holds two share a hash with a chance of 1e-7.)
+table of fixed size, and a document's ids are put together from its pieces' ids.  A place of the table holds the
+piece itself (one of more than 16 bytes: its length and 128-bit BLAKE2b digest), which is compared.
 Whole texts go to the library where a tokenizer is of another make, or where a text
 holds the string of a special token.
 
@@ -151,7 +151,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hashes, self.places = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int64)
+        self.keys, self.places = np.zeros((1 << TABLE_BITS, 3), np.uint64), np.zeros(1 << TABLE_BITS, np.int64)  # a length of 0 marks a free place
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         form = self.tokenizer.pre_tokenizer
@@ -192,24 +192,24 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(batch) + 1, np.int64)
         if self.used > KEPT_IDS:
-            self.hashes[:] = 0
+            self.keys[:] = 0
             self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         if len(raw) == len(points):
             edge = np.append(starts, len(raw))
         else:
             width = 1 + (points > 0x7F).astype(np.uint8) + (points > 0x7FF) + (points > 0xFFFF)
             edge = np.append((np.cumsum(width, dtype=np.int64) - width)[starts], len(raw))
-        hashes = textkernel.Words(raw, edge[:-1], edge[1:], firsts, firsts, 0).hashes() | np.uint64(1)  # 0 marks a free place
-        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        place = self.places[slot]
-        missing = np.flatnonzero(self.hashes[slot] != hashes)
+        keys = textkernel.Words(raw, edge[:-1], edge[1:], firsts, firsts, 0).keys()
+        slot = (textkernel.mixed(*keys) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        keys, place = np.stack(keys, axis=1), self.places[slot]
+        missing = np.flatnonzero((self.keys[slot] != keys).any(axis=1))
         if len(missing):
-            new, one, kind = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            new, one, kind = np.unique(keys[missing], axis=0, return_index=True, return_inverse=True)
             flat, one = raw.tobytes(), missing[one]
             found = self._keep([flat[a:b] for a, b in zip(edge[one].tolist(), edge[one + 1].tolist(), strict=True)])
-            place[missing] = found[kind]
+            place[missing] = found[kind.ravel()]
             own, last = np.unique(slot[one], return_index=True)
-            self.hashes[own], self.places[own] = new[last], found[last]
+            self.keys[own], self.places[own] = new[last], found[last]
         count = place & 0xFFFFFF
         end = np.cumsum(count)
         ids = self.pool[np.repeat((place >> 24) - (end - count), count) + np.arange(int(end[-1]))]

@@ -245,6 +245,27 @@ def test_pieces_equal_the_library(tokenizer_path, texts):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
 
 
+def test_long_pieces_of_one_rhythm_are_told_apart(tokenizer_path):
+    from tokenizers import Tokenizer
+
+    beat = [bin(k).count("1") % 2 for k in range(2048)]
+    texts = ["".join("ab"[b] for b in beat), "".join("ba"[b] for b in beat), "a" * 16, "a" * 17, "a" * 16 + "b"]
+    plain, own = Tokenizer.from_file(tokenizer_path), token_store.Encoder(tokenizer_path)
+    for _ in range(2):
+        ids, bounds = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_keys_are_the_words_themselves():
+    w = next(textkernel.words(pa.array(["a a\x00 abcdefghijklmnop abcdefghijklmnopq abcdefghijklmnopr a"]), lower=False))
+    size, low, high = w.keys()
+    keys = list(zip(size.tolist(), low.tolist(), high.tolist(), strict=True))
+    assert len(set(keys)) == 5 and keys[0] == keys[5] == (1, 97, 0)
+    assert low[2:3].tobytes() + high[2:3].tobytes() == b"abcdefghijklmnop"
+    assert len(set(w.hashes().tolist())) == len(set(w.hashes(kind=1).tolist())) == 5
+    assert w.hashes(3)[2] == w.hashes(3)[3] != w.hashes(3)[0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 500), min_size=1, max_size=300))
 def test_boundaries(lengths):

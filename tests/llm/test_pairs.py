@@ -127,6 +127,63 @@ def test_heavy_documents(spark, corpus, monkeypatch):
     assert asked[0] > 10
 
 
+def test_a_family_is_not_compared_with_itself(spark, monkeypatch):
+    """Two families of near copies below the threshold to each other, with the real constants: each is one component by
+    its hubs, so what is searched afterwards gives few rows."""
+    rng = random.Random(23)
+    first = text_of(rng, 120)
+    second = [w if k % 40 > 5 else f"other{k}" for k, w in enumerate(first)]
+    families = [[" ".join(w if rng.random() > 0.004 else f"{w}{rng.random()}" for w in base) for _ in range(n)] for base, n in ((first, 600), (second, 550))]
+    rows = [(f * 10_000 + k, t) for f, family in enumerate(families) for k, t in enumerate(family)]
+    candidates = []
+    links, heavy = near_dedup._links, near_dedup._heavy_links
+    monkeypatch.setattr(near_dedup, "_links", lambda pairs, *a, **k: candidates.append(pairs.count()) or links(pairs, *a, **k))
+
+    def counted(h, t):
+        found = heavy(h, t)
+        candidates.append(0 if found is None else found.count())
+        return found
+
+    monkeypatch.setattr(near_dedup, "_heavy_links", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(candidates) < 20_000
+    assert got == {i: c for (i, _), c in zip(rows, smallest_ids(rows), strict=True)}
+
+
+def test_exact_search_finds_what_sketches_lose(spark, corpus, monkeypatch):
+    """With sketches too short to find much, only the search over full sets is sure."""
+    monkeypatch.setattr(near_dedup, "K", 2)
+    monkeypatch.setattr(near_dedup, "LEAST", 2)
+    monkeypatch.setattr(near_dedup, "EXACT", 0)
+    want = sorted(str((i, c)) for (i, _), c in zip(corpus, smallest_ids(corpus), strict=True))
+    got = sorted(str((r.doc_id, r.component_id)) for r in near_dedup.near_duplicates(frame(spark, corpus), exact=True).collect())
+    assert got == want
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(k).count("1") % 2 == 0 else b for k in range(n))
+
+
+def test_long_words_of_one_rhythm_are_told_apart(spark):
+    """Words whose sums of powers of an odd base agree modulo 2 ** 64, whatever the base."""
+    one, other = thue_morse(2048), thue_morse(2048, "b", "a")
+    tail = [f"t{k}" for k in range(12)]
+    rows = [(1, " ".join([one, *tail])), (2, " ".join([other, *tail])), (3, one), (4, other), (5, " ".join([one, *tail]))]
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in without_repeats(frame(spark, rows)).collect())
+    assert got == expected_repeats(rows) and [n for _, _, n, _ in got] == [0, 0, 0, 0, 13]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, [*rows, (6, f"{one} a b c d {other} a b c d")])).collect()}
+    assert found == {1: (9, 1), 2: (9, 1), 3: (1, 3), 4: (1, 4), 5: (9, 1), 6: (6, 6)}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(29)
+    base = text_of(rng, 60_000)
+    rows = [(1, " ".join(base)), (2, " ".join(base[:30_000] + ["new"] * 50 + base[30_000:])), (3, " ".join(base[:20_000])), (4, "word " * 200_000)]
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in without_repeats(frame(spark, rows)).collect())
+    assert got == expected_repeats(rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
