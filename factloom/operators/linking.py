@@ -51,15 +51,66 @@ def link_exact(terms: DataFrame, keys: DataFrame) -> DataFrame:
     return found.withColumn("match_type", F.coalesce("match_type", F.lit("unmatched"))).withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def _tolerance(la: Column, lb: Column, cutoff: float) -> tuple[Column, Column, Column]:
+    """Of two texts at the cutoff: characters of each that may have no partner, and of both together.  A ratio of
+    c leaves 2 m >= c (a + b) characters in matching blocks, which lie in the same order in both."""
+    matched = F.ceil(cutoff / 2 * (la + lb) - 1e-9).cast("int")
+    return la - matched, lb - matched, la + lb - 2 * matched
+
+
+def _partners(length: Column, cutoff: float) -> Column:
+    """The lengths that a text at the cutoff may have."""
+    reach = (2 - cutoff) / cutoff
+    return F.sequence(F.ceil(length / reach - 1e-9).cast("int"), F.floor(length * reach + 1e-9).cast("int"))
+
+
+def _segment(i: Column, length: Column, edits: Column) -> tuple[Column, Column]:
+    """Start and size of the i-th of ``edits`` + 1 near equal segments."""
+    start = F.floor(i * length / (edits + 1)).cast("int")
+    return start, F.floor((i + 1) * length / (edits + 1)).cast("int") - start
+
+
+def segment_index(keys: DataFrame, cutoff: float) -> DataFrame:
+    """(entity_type, size, edits, segment, piece, known): each key cut into one segment more than it may have edits.  Every
+    character without a partner spoils one segment at most, so one of them stands whole in any text at the cutoff."""
+    size = F.length("known")
+    edits = F.array_distinct(F.transform(_partners(size, cutoff), lambda n: _tolerance(n, size, cutoff)[2]))
+    cut = keys.select("entity_type", "known", size.alias("size"), F.explode(edits).alias("edits")).select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("segment"))
+    start, long = _segment(F.col("segment"), F.col("size"), F.col("edits"))
+    return cut.select("entity_type", "size", "edits", "segment", F.substr("known", start + 1, long).alias("piece"), "known")
+
+
+def segment_probes(terms: DataFrame, cutoff: float) -> DataFrame:
+    """(entity_type, size, edits, segment, piece, key): what the segments of keys of any fitting size look like in a term, at the
+    places to which characters without a partner can have moved them."""
+    own = F.length("key")
+    sized = terms.select("entity_type", "key", own.alias("own"), F.explode(_partners(own, cutoff)).alias("size"))
+    more, fewer, edits = _tolerance(F.col("own"), F.col("size"), cutoff)
+    sized = sized.withColumns({"more": more, "fewer": fewer, "edits": edits})
+    each = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("segment"))
+    start, long = _segment(F.col("segment"), F.col("size"), F.col("edits"))
+    first, last = F.greatest(start - F.col("fewer"), F.lit(0)), F.least(start + F.col("more"), F.col("own") - long)
+    places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    pieces = F.array_distinct(F.transform(places, lambda at: F.substr("key", at + 1, long)))
+    return each.select("entity_type", "size", "edits", "segment", F.explode(pieces).alias("piece"), "key")
+
+
+def fuzzy_candidates(misses: DataFrame, keys: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
+    """(entity_type, key, known): the distinct pairs that may reach the cutoff.  They meet at a segment that both have,
+    so no term is compared with all keys; then an upper bound by letters drops most of what met."""
+    met = segment_probes(misses, cutoff).join(segment_index(keys, cutoff), ["entity_type", "size", "edits", "segment", "piece"])
+    return met.select("entity_type", "key", "known").distinct().where(ratio_bound(F.col("key"), F.col("known")) >= cutoff - 1e-9)
+
+
 def link_fuzzy(misses: DataFrame, keys: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """(entity_type, key) of misses -> the most similar known key at or above the cutoff, ties to the largest key.
-    Native bounds on the ratio drop almost all pairs before Python sees any."""
+    """(entity_type, key) of misses -> the most similar known key at or above the cutoff, ties to the largest key."""
     distinct = misses.select("entity_type", "key").where("key <> ''").distinct()
-    known = keys.withColumnRenamed("key", "known")
-    pairs = distinct.join(_checked(known), "entity_type").where(ratio_bound(F.col("key"), F.col("known")) >= cutoff - 1e-9)
+    pairs = fuzzy_candidates(distinct, keys.select("entity_type", F.col("key").alias("known")), cutoff)
     scored = pairs.withColumn("ratio", matching_ratios("key", "known")).where(F.col("ratio.selection") >= cutoff)
-    best = scored.groupBy("entity_type", "key").agg(F.max_by(F.struct("known", "concept_id", "label", "provider", "ratio"), F.struct("ratio.selection", "known")).alias("b"))
-    return best.select("entity_type", "key", "b.known", "b.concept_id", "b.label", "b.provider", F.lit("fuzzy").alias("match_type"), F.col("b.ratio.score").alias("score"))
+    best = scored.groupBy("entity_type", "key").agg(F.max_by(F.struct("known", "ratio"), F.struct("ratio.selection", "known")).alias("b"))
+    found = best.select("entity_type", "key", "b.known", F.col("b.ratio.score").alias("score"))
+    named = keys.select("entity_type", F.col("key").alias("known"), "concept_id", "label", "provider")
+    return found.join(named, ["entity_type", "known"]).select("entity_type", "key", "known", "concept_id", "label", "provider", F.lit("fuzzy").alias("match_type"), "score")
 
 
 def link(terms: DataFrame, keys: DataFrame, fuzzy: bool = True, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
