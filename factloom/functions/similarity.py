@@ -25,9 +25,22 @@ def matching_ratios(query: pd.Series, key: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["selection", "score"])
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """An upper bound of the ratio, from lengths and then from letters, without Python."""
-    la, lb = F.length(a), F.length(b)
-    letters = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
-    shared = F.aggregate(F.array_distinct(letters(a)), F.lit(0), lambda acc, c: acc + F.least(la - F.length(F.replace(a, c, F.lit(""))), lb - F.length(F.replace(b, c, F.lit("")))))
-    return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * F.least(F.least(la, lb), shared) / (la + lb))
+#: Letters whose first three occurrences have a bit each, in two numbers; all that is beyond them is only counted.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789' "
+
+
+def letter_bits(x: Column) -> tuple[Column, Column, Column]:
+    """A text's letters as two sets of bits, and the number of letters that have none."""
+    halves = []
+    for letters in (LETTERS[:19], LETTERS[19:]):
+        bits = F.lit(0).cast("long")
+        for i, letter in enumerate(letters):
+            n = F.length(x) - F.length(F.replace(x, F.lit(letter), F.lit("")))
+            bits = bits.bitwiseOR(F.when(n >= 3, F.lit(7 << 3 * i)).when(n == 2, F.lit(3 << 3 * i)).when(n == 1, F.lit(1 << 3 * i)).otherwise(F.lit(0)).cast("long"))
+        halves.append(bits)
+    return halves[0], halves[1], F.length(x) - F.bit_count(halves[0]) - F.bit_count(halves[1])
+
+
+def most_shared(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """An upper bound of the letters that two texts have in common, wherever they stand."""
+    return F.bit_count(a[0].bitwiseAND(b[0])) + F.bit_count(a[1].bitwiseAND(b[1])) + F.least(a[2], b[2])

@@ -87,7 +87,8 @@ def contains_term(span: Column | str, term: Column | str, whole_words: bool = Fa
     filled = (s != "") & (t != "")
     if not whole_words:
         return filled & F.contains(s, t)
-    return filled & F.rlike(s, F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b")))
+    plain = F.regexp_replace(t, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
+    return filled & F.rlike(s, F.concat(F.lit(r"(?U)\b"), plain, F.lit(r"\b")))
 
 
 def readable_size(size: Column | str) -> Column:

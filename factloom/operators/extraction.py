@@ -18,25 +18,29 @@ from pyspark.sql import types as T
 
 from factloom import schemas, vocab
 from factloom.functions.text import contains_any, contains_term, eligible, lookup, strip, text, truncated
+from factloom.operators.dictionary import automaton
 
 Extractor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 class DictionaryExtractor:
-    """Facts from sentences that name a known drug and a known condition; the relation is a parameter."""
+    """Facts from sentences that name a known drug and a known condition; the relation is a parameter.  Each sentence is
+    read once, whatever the number of names."""
 
     def __init__(self, drugs: list[str], conditions: list[str], relation: str = "TREATS", confidence: float = 0.7) -> None:
         self.drugs, self.conditions, self.relation, self.confidence = drugs, conditions, relation, confidence
 
     def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = schemas.FACT.names
+        known = automaton((*self.drugs, *self.conditions))
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
                 for sentence in re.split(r"(?<=[.!?])\s+(?=[A-Z(])", r.text):
-                    low = sentence.lower()
-                    for drug in (d for d in self.drugs if d.lower() in low):
-                        for condition in (c for c in self.conditions if c.lower() in low):
+                    found = sorted(known.found(sentence))
+                    conditions = [self.conditions[i - len(self.drugs)] for i in found if i >= len(self.drugs)]
+                    for drug in (self.drugs[i] for i in found if i < len(self.drugs)):
+                        for condition in conditions:
                             rows.append({"drug_name": drug, "condition_name": condition, "relation": self.relation, "side_effects": [], "source_id": r.source_id, "section": r.section, "span": sentence, "confidence": self.confidence})
             yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom import schemas
-from factloom.functions.similarity import matching_ratios, ratio_bound
+from factloom.functions.similarity import letter_bits, matching_ratios, most_shared
 from factloom.functions.text import listed, surface, text
 from factloom.plans.workspace import settle
 
@@ -70,21 +70,26 @@ def _segment(i: Column, length: Column, edits: Column) -> tuple[Column, Column]:
     return start, F.floor((i + 1) * length / (edits + 1)).cast("int") - start
 
 
+def _with_letters(rows: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    return rows.withColumns(dict(zip([f"{prefix}{i}" for i in range(3)], letter_bits(F.col(text_col)), strict=True)))
+
+
 def segment_index(keys: DataFrame, cutoff: float) -> DataFrame:
-    """(entity_type, size, edits, segment, piece, known): each key cut into one segment more than it may have edits.  Every
+    """(entity_type, size, edits, segment, piece, known, k0, k1, k2): each key cut into one segment more than it may have edits.  Every
     character without a partner spoils one segment at most, so one of them stands whole in any text at the cutoff."""
     size = F.length("known")
     edits = F.array_distinct(F.transform(_partners(size, cutoff), lambda n: _tolerance(n, size, cutoff)[2]))
-    cut = keys.select("entity_type", "known", size.alias("size"), F.explode(edits).alias("edits")).select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("segment"))
+    cut = _with_letters(keys.select("entity_type", "known"), "known", "k").select("*", size.alias("size"), F.explode(edits).alias("edits"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("segment"))
     start, long = _segment(F.col("segment"), F.col("size"), F.col("edits"))
-    return cut.select("entity_type", "size", "edits", "segment", F.substr("known", start + 1, long).alias("piece"), "known")
+    return cut.select("entity_type", "size", "edits", "segment", F.substr("known", start + 1, long).alias("piece"), "known", "k0", "k1", "k2")
 
 
 def segment_probes(terms: DataFrame, cutoff: float) -> DataFrame:
-    """(entity_type, size, edits, segment, piece, key): what the segments of keys of any fitting size look like in a term, at the
-    places to which characters without a partner can have moved them."""
+    """(entity_type, size, edits, segment, piece, key, own, t0, t1, t2): what the segments of keys of any fitting size look like in a
+    term, at the places to which characters without a partner can have moved them."""
     own = F.length("key")
-    sized = terms.select("entity_type", "key", own.alias("own"), F.explode(_partners(own, cutoff)).alias("size"))
+    sized = _with_letters(terms.select("entity_type", "key"), "key", "t").select("*", own.alias("own"), F.explode(_partners(own, cutoff)).alias("size"))
     more, fewer, edits = _tolerance(F.col("own"), F.col("size"), cutoff)
     sized = sized.withColumns({"more": more, "fewer": fewer, "edits": edits})
     each = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("segment"))
@@ -92,20 +97,23 @@ def segment_probes(terms: DataFrame, cutoff: float) -> DataFrame:
     first, last = F.greatest(start - F.col("fewer"), F.lit(0)), F.least(start + F.col("more"), F.col("own") - long)
     places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     pieces = F.array_distinct(F.transform(places, lambda at: F.substr("key", at + 1, long)))
-    return each.select("entity_type", "size", "edits", "segment", F.explode(pieces).alias("piece"), "key")
+    return each.select("entity_type", "size", "edits", "segment", F.explode(pieces).alias("piece"), "key", "own", "t0", "t1", "t2")
 
 
 def fuzzy_candidates(misses: DataFrame, keys: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """(entity_type, key, known): the distinct pairs that may reach the cutoff.  They meet at a segment that both have,
-    so no term is compared with all keys; then an upper bound by letters drops most of what met."""
+    """(entity_type, key, known): the distinct pairs that may reach the cutoff.  They meet at a segment that both have, so no
+    term is compared with all keys; an upper bound by letters drops most of what met, inside the join."""
     met = segment_probes(misses, cutoff).join(segment_index(keys, cutoff), ["entity_type", "size", "edits", "segment", "piece"])
-    return met.select("entity_type", "key", "known").distinct().where(ratio_bound(F.col("key"), F.col("known")) >= cutoff - 1e-9)
+    shared = most_shared(tuple(F.col(f"t{i}") for i in range(3)), tuple(F.col(f"k{i}") for i in range(3)))
+    return met.where(2.0 * shared >= cutoff * (F.col("own") + F.col("size")) - 1e-9).select("entity_type", "key", "known").distinct()
 
 
 def link_fuzzy(misses: DataFrame, keys: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """(entity_type, key) of misses -> the most similar known key at or above the cutoff, ties to the largest key."""
     distinct = misses.select("entity_type", "key").where("key <> ''").distinct()
     pairs = fuzzy_candidates(distinct, keys.select("entity_type", F.col("key").alias("known")), cutoff)
+    # Few bytes, but much work: adaptive execution would give them all to one task.
+    pairs = pairs.repartition(int(misses.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity_type", "key")
     scored = pairs.withColumn("ratio", matching_ratios("key", "known")).where(F.col("ratio.selection") >= cutoff)
     best = scored.groupBy("entity_type", "key").agg(F.max_by(F.struct("known", "ratio"), F.struct("ratio.selection", "known")).alias("b"))
     found = best.select("entity_type", "key", "b.known", F.col("b.ratio.score").alias("score"))

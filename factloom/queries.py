@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factloom import vocab
 from factloom.functions.similarity import cosine
 from factloom.functions.text import eligible, paper_id, section_name, surface, truncated
-from factloom.operators import extraction, graph, graph_reads, linking, quality, reports, sections, validation
+from factloom.operators import dictionary, extraction, graph, graph_reads, linking, quality, reports, sections, validation
 from factloom.plans import evidence, fixture
 from factloom.plans.workspace import workspace
 from factloom.sources import documents as document_sources
@@ -225,6 +225,32 @@ def section_names(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("source").distinct().select("source", section_name("source").alias("name"))
 
 
+_TERMS_SQL = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark"
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term")).distinct()
+
+
+@query(rf"""WITH t AS ({_TERMS_SQL}), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM documents)
+SELECT doc_id, term, count(*) AS n, count(*) AS n_anchored FROM w SEMI JOIN t ON t.term = w.term GROUP BY doc_id, term""")
+def dictionary_words(spark, sf_dir):
+    """The benchmark's words in all documents as whole words, and whether their offsets point at them."""
+    docs = _table(spark, sf_dir, "documents")
+    found = dictionary.find_terms(docs, _terms(spark, sf_dir), ["doc_id", "text"], whole_words=True)
+    there = F.lower(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))) == F.col("term")
+    return found.select("doc_id", "term", there.alias("there")).groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.count_if("there").alias("n_anchored"))
+
+
+@query(f"WITH t AS ({_TERMS_SQL}) SELECT term, count(*) AS documents, CAST(sum((length(text) - length(replace(lower(text), term, ''))) // length(term)) AS BIGINT) AS least FROM t JOIN documents ON contains(lower(text), term) GROUP BY term")
+def dictionary_substrings(spark, sf_dir):
+    """The same words anywhere in the texts: documents that hold them, and occurrences that do not overlap."""
+    found = dictionary.find_terms(_table(spark, sf_dir, "documents"), _terms(spark, sf_dir), ["doc_id"])
+    each = found.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    apart = F.aggregate("starts", F.struct(F.lit(0).alias("n"), F.lit(0).alias("free")), lambda a, s: F.when(s >= a["free"], F.struct((a["n"] + 1).alias("n"), (s + F.length("term")).alias("free"))).otherwise(a))
+    return each.select("term", apart["n"].cast("long").alias("n")).groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("least"))
+
+
 # --- facts ---
 
 _CLEAN_SQL = f"""{_FACTS} SELECT fact_index, drug_name, CASE lower(trim(condition_name)) WHEN 'mdd' THEN 'major depressive disorder' ELSE condition_name END AS condition_name, relation,
@@ -411,6 +437,21 @@ def unmatched_report(spark, sf_dir):
     return linking.unmatched_report(linking.linked_slots(fixture.facts(spark, sf_dir), _keys(spark))).withColumn("place", F.col("place").cast("long"))
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All words of the documents of five characters or more, dealt by their hash: concepts, and terms that are none."""
+    words_ = _table(spark, sf_dir, "documents").select(F.explode(F.split(surface("text"), " ")).alias("key")).where(F.length("key") > 4).distinct()
+    dealt = words_.select(F.lit("drugs").alias("entity_type"), "key", (F.crc32("key") % 2 == 0).alias("known"))
+    known = dealt.where("known").select("entity_type", "key", F.concat(F.lit("WORD:"), "key").alias("concept_id"), F.col("key").alias("label"), F.lit("custom").alias("provider"))
+    return dealt.where("NOT known").drop("known"), known
+
+
+@query()
+def link_fuzzy_words(spark, sf_dir):
+    """The fuzzy join where both sides are large: every word that is no concept to the most similar one that is."""
+    terms, known = _halves(spark, sf_dir)
+    return linking.link_fuzzy(terms, known).select("key", "known", F.round("score", 9).alias("score"))
+
+
 # --- graph ---
 
 
