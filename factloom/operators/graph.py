@@ -8,7 +8,11 @@ map-side, so a hot node or edge costs its distinct keys and not its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import vocab
@@ -90,15 +94,6 @@ def side_effect_edges(normalised: DataFrame) -> DataFrame:
     return each.select("src_id", F.lit("ASSOCIATED_WITH_SE").alias("rel_type"), node_id("side_effect", F.col("m")).alias("dst_id"), "load_seq", "fact_index").where("src_id IS NOT NULL AND dst_id IS NOT NULL")
 
 
-#: Loads in one part of the mention and evidence tables.
-LOADS_PER_PART = 1024
-
-
-def _loaded(name: str, normalised: DataFrame) -> DataFrame:
-    rows = node_candidates(normalised) if name == "mentions" else edge_evidence(normalised)
-    return rows.withColumn("load_part", F.floor(F.col("load_seq") / LOADS_PER_PART))
-
-
 def merged_nodes(mentions: DataFrame) -> DataFrame:
     """One node for each (label, id): the attributes of the first fact of the last load."""
     attributes = ["name", "normalized_name", "match_type", "match_score", "category"]
@@ -106,33 +101,100 @@ def merged_nodes(mentions: DataFrame) -> DataFrame:
     return best.select("label", "id", "n.*")
 
 
+#: The tables of a store: what a row is told apart by, and what it is made from.
+WINNERS = {"nodes": (("label", "id"), "mentions"), "edges": (("src_id", "rel_type", "dst_id"), "edge_evidence")}
+#: Segments of a table after which it is written anew as one.
+MOST_SEGMENTS = 8
+
+
 class GraphStore:
-    """Mentions and evidence by load, and the nodes and edges that they make, under one folder.  ``load`` adds loads;
-    a load (load_seq) that is there already is replaced, in the parts that hold it, and nodes and edges are made anew."""
+    """A graph in versions under one folder.  Tables are lists of segments, folders that are written once: ``mentions`` and
+    ``edge_evidence`` have one for each load call, ``nodes`` and ``edges`` one with the keys that the call changed.  A version is a
+    manifest, a file of one row that names each table's segments; it is written last, and Spark's commit moves it into its
+    place by one rename.  So a reader has the old graph or the new one, and a load that dies leaves the old one.
 
-    def __init__(self, spark, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    ``load`` adds loads; a load (load_seq) that is there already is replaced: its rows in older segments no longer count.  Only the
+    keys of new and replaced rows get a new winner, or a mark that they are gone, so a load writes about as much as it
+    brings.  Every MOST_SEGMENTS loads the tables are written as one segment.  One writer at a time."""
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}").drop("load_part")
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def manifest(self) -> dict:
+        """The newest version; version 0 has nothing."""
+        try:
+            rows = self.spark.read.schema("version long, token string, segments map<string,array<string>>").json(f"{self.path}/manifests")
+            last = rows.orderBy(F.desc("version"), F.desc("token")).limit(1).collect()
+        except AnalysisException:
+            last = []
+        return {"version": last[0]["version"], "segments": last[0]["segments"]} if last else {"version": 0, "segments": {}}
+
+    def _read(self, name: str, segment: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}/segment={segment}")
+
+    def _rows(self, name: str, segments: dict) -> DataFrame:
+        """Mentions or evidence: rows of loads that no later segment brings again."""
+        found, later = None, None
+        for segment in reversed(segments[name]):
+            rows = self._read(name, segment)
+            rows = rows if later is None else rows.join(later, "load_seq", "left_anti")
+            found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+            loads = self._read("loads", segment)
+            later = loads if later is None else later.union(loads)
+        return found
+
+    def _winners(self, name: str, segments: dict) -> DataFrame:
+        keys, _ = WINNERS[name]
+        parts = [self._read(name, x).withColumn("_segment", F.lit(i)) for i, x in enumerate(segments[name])]
+        if len(parts) == 1:
+            return parts[0].drop("_gone", "_segment")
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        rest = [c for c in rows.columns if c not in (*keys, "_segment")]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_segment").alias("r")).select(*keys, "r.*")
+        return last.where("NOT coalesce(_gone, false)").drop("_gone")
+
+    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
+        """nodes, edges, mentions or edge_evidence of a version, the newest one by default."""
+        segments = (manifest or self.manifest())["segments"]
+        return self._winners(name, segments) if name in WINNERS else self._rows(name, segments)
 
     def load(self, normalised: DataFrame, clear: bool = False) -> None:
-        for name in ("mentions", "edge_evidence"):
-            rows = _loaded(name, normalised)
-            if not clear and self._exists(name):
-                rows = settle(rows, name)
-                old = self.spark.read.parquet(f"{self.path}/{name}").join(rows.select("load_part").distinct(), "load_part", "left_semi")
-                old = old.join(rows.select("load_seq").distinct(), "load_seq", "left_anti")
-                rows = settle(rows.unionByName(old), name)
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if clear else "dynamic").partitionBy("load_part").parquet(f"{self.path}/{name}")
-        merged_nodes(self.table("mentions")).write.mode("overwrite").parquet(f"{self.path}/nodes")
-        edges(self.table("edge_evidence")).write.mode("overwrite").parquet(f"{self.path}/edges")
+        before = self.manifest()
+        old = {} if clear else before["segments"]
+        new = f"{before['version'] + 1:06d}-{uuid.uuid4().hex[:8]}"
+        facts = settle(normalised, "load")  # mentions and evidence are both read from here
+        write = lambda df, name: df.write.parquet(f"{self.path}/{name}/segment={new}")
+        write(facts.select("load_seq").distinct(), "loads")
+        write(node_candidates(facts), "mentions")
+        write(edge_evidence(facts), "edge_evidence")
+        segments = {name: [*old.get(name, []), new] for name in ("loads", "mentions", "edge_evidence", "nodes", "edges")}
+        whole = not old or len(segments["mentions"]) > MOST_SEGMENTS
+        for name, (keys, source) in WINNERS.items():
+            merged = merged_nodes if name == "nodes" else edges
+            if whole:
+                write(merged(self._rows(source, segments)), name)
+                continue
+            replaced = self._rows(source, old).join(self._read("loads", new), "load_seq", "left_semi")
+            changed = settle(self._read(source, new).select(*keys).union(replaced.select(*keys)).distinct(), "changed")
+            won = settle(merged(self._rows(source, segments).join(changed, list(keys), "left_semi")).withColumn("_gone", F.lit(False)), "won")
+            gone = changed.join(won, list(keys), "left_anti").withColumn("_gone", F.lit(True))
+            write(won.unionByName(gone, allowMissingColumns=True), name)
+        if whole:
+            if old:
+                one = f"{new}-all"
+                for name in ("mentions", "edge_evidence"):
+                    self._rows(name, segments).write.parquet(f"{self.path}/{name}/segment={one}")
+                reduce(DataFrame.union, (self._read("loads", x) for x in segments["loads"])).distinct().write.parquet(f"{self.path}/loads/segment={one}")
+                segments |= {name: [one] for name in ("loads", "mentions", "edge_evidence")}
+            segments |= {name: [new] for name in WINNERS}
+        self._commit(before["version"] + 1, segments)
+
+    def _commit(self, version: int, segments: dict) -> None:
+        row = self.spark.createDataFrame([(version, uuid.uuid4().hex, segments)], "version long, token string, segments map<string,array<string>>")
+        row.coalesce(1).write.mode("append").json(f"{self.path}/manifests")
 
     def register(self) -> None:
-        """Views nodes, edges and edge_evidence, so that questions can be put in SQL."""
+        """Views nodes, edges and edge_evidence of one version, so that questions can be put in SQL."""
+        manifest = self.manifest()
         for name in ("nodes", "edges", "edge_evidence"):
-            self.table(name).createOrReplaceTempView(name)
+            self.table(name, manifest).createOrReplaceTempView(name)

@@ -16,7 +16,7 @@ from factloom.functions.similarity import cosine
 from factloom.functions.text import eligible, paper_id, section_name, surface, truncated
 from factloom.operators import dictionary, extraction, graph, graph_reads, linking, quality, reports, sections, validation
 from factloom.plans import evidence, fixture
-from factloom.plans.workspace import workspace
+from factloom.plans.workspace import settle, workspace
 from factloom.sources import documents as document_sources
 from factloom.sources import facts as fact_sources
 from factloom.sources import ontology
@@ -58,7 +58,7 @@ def _store(spark: SparkSession, sf_dir: str) -> graph.GraphStore:
     key = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen())
     if key not in _stores:
         store = graph.GraphStore(spark, f"{workspace(spark)}/graph-{uuid.uuid4().hex[:8]}")
-        store.load(_normalised(spark, sf_dir), clear=True)
+        store.load(linking.normalise(settle(fixture.facts(spark, sf_dir), "facts"), _keys(spark)), clear=True)
         _stores[key] = store.path
     return graph.GraphStore(spark, _stores[key])
 
@@ -470,6 +470,20 @@ def edge_evidence(spark, sf_dir):
     return _graph(spark, sf_dir)[2]
 
 
+@query(f"""{_GRAPH}, one AS (SELECT * FROM nodes), two AS (SELECT * FROM edges)
+SELECT 'node' AS kind, label AS first, id AS second, '' AS third, name AS value FROM one UNION ALL SELECT 'edge', src_id, rel_type, dst_id, concat(load_seq, ':', fact_index) FROM two""")
+def graph_in_loads(spark, sf_dir):
+    """The graph loaded in pieces, out of order and with one load twice: what one load of all leaves."""
+    store = graph.GraphStore(spark, f"{workspace(spark)}/graph-{uuid.uuid4().hex[:8]}")
+    facts = settle(linking.normalise(settle(fixture.facts(spark, sf_dir), "facts"), _keys(spark)), "normalised")
+    store.load(facts.where("load_seq >= 10").withColumn("span", F.lit("replaced below")))
+    for part in ("load_seq < 10", "load_seq = 17", "load_seq >= 10"):
+        store.load(facts.where(part))
+    nodes, edges = (store.table(name) for name in ("nodes", "edges"))
+    told = nodes.select(F.lit("node").alias("kind"), F.col("label").alias("first"), F.col("id").alias("second"), F.lit("").alias("third"), F.col("name").alias("value"))
+    return told.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src_id").alias("first"), F.col("rel_type").alias("second"), F.col("dst_id").alias("third"), F.concat_ws(":", "load_seq", "fact_index").alias("value")))
+
+
 @query(f"{_GRAPH} SELECT 'nodes' AS counter, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'relations', rel_type, count(*) FROM edge_evidence GROUP BY rel_type")
 def load_counters(spark, sf_dir):
     facts = _normalised(spark, sf_dir)

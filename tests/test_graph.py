@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import graph, graph_reads, linking, reports
@@ -98,6 +99,41 @@ def test_reads(spark):
     assert ("Drug", "name") in keys_ and ("TREATS", "p_value") not in keys_
 
 
+def test_store_versions(spark, tmp_path, monkeypatch):
+    """A reader keeps its version, a load that dies leaves the old graph, a small load writes little, and segments merge."""
+    store = graph.GraphStore(spark, str(tmp_path / "store"))
+    many = normalised(spark, *[{"drug": f"d{i}", "condition": f"c{i % 7}", "load": i} for i in range(60)])
+    store.load(many)
+    one = store.manifest()
+    edges_then = store.table("edges", one)
+    store.load(normalised(spark, {"drug": "d3", "condition": "c3", "load": 3, "relation": "AUGMENTS"}))
+    assert edges_then.count() == 60 and {r.rel_type for r in edges_then.collect()} == {"TREATS"}
+    now = {(r.rel_type, r.load_seq) for r in store.table("edges").collect()}
+    assert ("AUGMENTS", 3) in now and ("TREATS", 3) not in now and len(now) == 60
+    delta = store.manifest()["segments"]["edges"][-1]
+    assert spark.read.parquet(str(tmp_path / "store" / "edges" / f"segment={delta}")).count() == 2  # the new edge, and the one that is gone
+    assert store.table("nodes").count() == 67
+    store.load(normalised(spark, {"drug": "other", "load": 3}))  # nothing names drug d3 any more
+    assert "d3" not in {r.name for r in store.table("nodes").collect()}
+    before = sorted(map(str, store.table("edges").collect()))
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(graph.GraphStore, "_commit", dies)
+        with pytest.raises(RuntimeError):
+            store.load(normalised(spark, {"drug": "never", "load": 99}))
+    assert sorted(map(str, store.table("edges").collect())) == before
+    monkeypatch.setattr(graph, "MOST_SEGMENTS", 3)
+    store.load(normalised(spark, {"drug": "last", "load": 60}))
+    assert {len(x) for x in store.manifest()["segments"].values()} == {1}
+    whole = normalised(spark, *[{"drug": "other" if i == 3 else "last" if i == 60 else f"d{i}", **({} if i in (3, 60) else {"condition": f"c{i % 7}"}), "load": i} for i in range(61)])
+    expected = graph.edges(graph.edge_evidence(whole))
+    key = lambda df: sorted((r.src_id, r.rel_type, r.dst_id, r.load_seq) for r in df.collect())
+    assert key(store.table("edges")) == key(expected)
+
+
 def test_store_and_stream(spark, tmp_path):
     from factloom.streaming.upsert import GraphSink, follow
 
@@ -163,7 +199,6 @@ def test_sections_are_extracted_once_and_papers_keep_their_order(spark, tmp_path
 
 
 def test_fact_files(spark, tmp_path):
-    import pytest
 
     (tmp_path / "list.json").write_text('[{"drug_name": "a"}, {"drug_name": "b", "confidence": 0.5}]')
     (tmp_path / "wrapped.json").write_text('{"total_facts": 1, "extracted_facts": [{"drug_name": "c"}]}')
