@@ -10,6 +10,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,17 +51,32 @@ def _extractor(concepts: DataFrame) -> extraction.DictionaryExtractor:
     return extraction.DictionaryExtractor(names("drugs"), names("conditions"))
 
 
-def _documents(spark: SparkSession, source: str) -> DataFrame:
-    """(source_id, markdown) of Markdown files, HTML files (their main text) or a web address."""
-    if source.lower().startswith(("http://", "https://")):
-        pages = documents.fetched(spark.createDataFrame([(source,)], "source string"), documents.download)
-        return documents.page_documents(pages).select("source_id", F.col("text").alias("markdown"))
+def _documents(spark: SparkSession, source: str, errors: bool = False) -> DataFrame:
+    """(source_id, markdown) of Markdown files, HTML files (their main text) or a web address; with ``errors`` a source that
+    cannot be read is a row that says why."""
+    if errors:
+        try:
+            found = _documents(spark, source) if not _is_address(source) else _page(spark, source, errors)
+        except AnalysisException as e:
+            return documents.failed_source(spark, source, e)
+        return found if "error" in found.columns else found.withColumn("error", F.lit(None).cast("string"))
+    if _is_address(source):
+        return _page(spark, source)
     if source.lower().endswith((".html", ".htm")):
         pages = spark.read.text(source, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
         return documents.page_documents(pages, by_name=True).select("source_id", F.col("text").alias("markdown"))
     return documents.markdown_files(spark, source).select("source_id", "markdown")
 
 
+def _is_address(source: str) -> bool:
+    return source.lower().startswith(("http://", "https://"))
+
+
+def _page(spark: SparkSession, source: str, errors: bool = False) -> DataFrame:
+    pages = documents.fetched(spark.createDataFrame([(source,)], "source string"), documents.download, errors)
+    return documents.page_documents(pages).select("source_id", F.col("text").alias("markdown"), *(["error"] if errors else []))
+
+
 def _facts(spark: SparkSession, path: str) -> DataFrame:
     """A fact file, or a table that an earlier command wrote."""
     return facts.read_facts(spark, path) if path.endswith(".json") else spark.read.parquet(path)
@@ -105,10 +121,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         listed = [*args.source, *([r["source"] for r in documents.source_list(spark, args.file).collect()] if args.file else [])]  # arguments, not data
         docs = None
         for load_seq, source in enumerate(listed):
-            more = _documents(spark, source).withColumn("load_seq", F.lit(load_seq).cast("long"))
+            more = _documents(spark, source, errors=True).withColumn("load_seq", F.lit(load_seq).cast("long"))
             docs = more if docs is None else docs.unionByName(more)
         stages = evidence.process_papers(docs, _extractor(concepts), concepts, threshold=args.quality_threshold, min_score=args.min_quality_score)
-        for name in ("extracted", "checked", "normalised", "runs"):
+        for name in ("extracted", "checked", "normalised", "runs", "attempts"):
             facts.write_table(getattr(stages, name), f"{args.output_base}/{name}")
         facts.write_report(reports.batch_summary(spark.read.parquet(f"{args.output_base}/runs")), f"{args.output_base}/summary")
     return 0

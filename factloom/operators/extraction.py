@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from factloom import schemas, vocab
 from factloom.functions.text import contains_any, contains_term, eligible, lookup, strip, text, truncated
 from factloom.operators.dictionary import automaton
+from factloom.plans.workspace import settle
 
 Extractor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -61,10 +62,90 @@ def extract(sections: DataFrame, extractor: Extractor) -> DataFrame:
     return worth.mapInPandas(placed, T.StructType([*schemas.FACT.fields, T.StructField("place", T.LongType())]))
 
 
+#: Times that a section is sent to the extractor before it counts as empty.
+ATTEMPTS = 3
+_TRIED = T.StructType([*schemas.FACT.fields, T.StructField("section_seq", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("error", T.StringType()), T.StructField("asked", T.BooleanType())])
+
+
+def _one_by_one(extractor: Extractor) -> Extractor:
+    """Each section's facts with its number, after a row (``asked``) that says how it went.  Where the extractor raises, it starts anew after that section."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sections = (frame.iloc[i : i + 1] for frame in frames for i in range(len(frame)))
+        now: list[pd.DataFrame] = []
+
+        def feed() -> Iterator[pd.DataFrame]:
+            for section in sections:
+                now.append(section)
+                yield section.drop(columns="section_seq")
+
+        def told(section: pd.DataFrame, facts: list[pd.DataFrame], error: str | None) -> pd.DataFrame:
+            first = section.iloc[0]
+            head = pd.DataFrame([{"source_id": first["source_id"], "section": first["section"], "error": error, "asked": True}])
+            rows = pd.concat([head, *(f.assign(asked=False) for f in facts if len(f))], ignore_index=True) if error is None else head
+            rows = rows.assign(section_seq=first["section_seq"], place=range(len(rows)))
+            return rows.reindex(columns=_TRIED.names).astype(object).where(lambda d: d.notna(), None)
+
+        while True:
+            held: list[pd.DataFrame] = []
+            try:
+                for facts in extractor(feed()):
+                    while len(now) > 1:  # it has asked for the next section
+                        yield told(now.pop(0), held, None)
+                        held = []
+                    held.append(facts)
+                while now:
+                    yield told(now.pop(0), held, None)
+                    held = []
+                return
+            except Exception as e:
+                while len(now) > 1:
+                    yield told(now.pop(0), held, None)
+                    held = []
+                if not now:
+                    raise
+                yield told(now.pop(0), [], f"{type(e).__name__}: {e}")
+
+    return run
+
+
+def _out_of_range(facts: DataFrame) -> DataFrame:
+    """Sections with a fact that would stay but has a value outside its field's range."""
+    inside = F.coalesce(F.col("confidence").between(0, 1), F.lit(False)) & (F.col("p_value").isNull() | F.col("p_value").between(0, 1))
+    return facts.where(rejection().isNull() & ~inside).select("source_id", "section_seq").distinct()
+
+
+def extract_sections(sections: DataFrame, extractor: Extractor, attempts: int = ATTEMPTS, whole_sections: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Facts of all eligible sections, and how each went: (source_id, section_seq, section, attempts, error).
+
+    The extractor gets frames of one section (source_id, section, text, attempt) and gives a section's facts before it asks for the
+    next one.  A section where it raises is sent again, up to ``attempts`` times, with all others settled; after that it has
+    no facts and its last error.  With ``whole_sections`` a section one of whose facts is out of range is sent again, too;
+    without it such a fact is left to the cleaning.  ``place`` orders a section's facts."""
+    keys = ["source_id", "section_seq"]
+    left = settle(sections.where(eligible("name", "text")).select(*keys, F.col("name").alias("section"), truncated("text").alias("text")), "sections")
+    facts, outcomes = None, None
+    for attempt in range(1, attempts + 1):
+        tried = settle(left.withColumn("attempt", F.lit(attempt)).mapInPandas(_one_by_one(extractor), _TRIED), "tried")
+        went = tried.where("asked").select(*keys, "section", F.lit(attempt).alias("attempts"), "error")
+        if whole_sections:
+            bad = _out_of_range(tried.where("NOT asked")).withColumn("bad", F.lit("a fact is out of range"))
+            went = went.join(bad, keys, "left").withColumn("error", F.coalesce("error", "bad")).drop("bad")
+        went = settle(went, "went")
+        done = went if attempt == attempts else went.where("error IS NULL")
+        new = tried.where("NOT asked").join(went.where("error IS NULL").select(*keys), keys, "left_semi").select(*schemas.FACT.names, "section_seq", "place")
+        facts, outcomes = (new, done) if facts is None else (facts.union(new), outcomes.union(done))
+        if attempt == attempts or not went.where("error IS NOT NULL").limit(1).count():
+            break
+        left = settle(left.join(went.where("error IS NULL").select(*keys), keys, "left_anti"), "sections")
+    return facts, outcomes
+
+
 def numbered(placed: DataFrame) -> DataFrame:
-    """Facts with ``fact_index``, from 0 in each document, in the order of their places."""
-    index = F.row_number().over(Window.partitionBy("source_id").orderBy("place")) - 1
-    return placed.withColumn("fact_index", index.cast("long")).drop("place")
+    """Facts with ``fact_index``, from 0 in each document, in the order of their sections, if these are known, and places."""
+    order = [c for c in ("section_seq", "place") if c in placed.columns]
+    index = F.row_number().over(Window.partitionBy("source_id").orderBy(*order)) - 1
+    return placed.withColumn("fact_index", index.cast("long")).drop(*order)
 
 
 def sample_size(raw: Column | str) -> Column:

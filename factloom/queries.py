@@ -636,11 +636,15 @@ _PAPERS = f"""WITH p AS (SELECT p_partkey AS load_seq, concat('part_', CAST(p_pa
 CASE p_partkey % 4 WHEN 0 THEN '{_PAPER_CONDITIONS[0]}' WHEN 1 THEN '{_PAPER_CONDITIONS[1]}' WHEN 2 THEN '{_PAPER_CONDITIONS[2]}' ELSE 'nothing that is known' END AS condition FROM part)"""
 
 
-def _papers(spark: SparkSession, sf_dir: str):
+def _paper_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a paper: two facts that count, and the references, which do not."""
     _table(spark, sf_dir, "part").createOrReplaceTempView("part")
     told = lambda n: f"concat(drug, ' was an effective treatment of ', condition, ' in trial {n} of paper ', CAST(load_seq AS STRING), '.')"
-    docs = spark.sql(f"{_PAPERS} SELECT source_id, load_seq, concat('# Results\n', {told(1)}, '\n## Zzz\n', {told(2)}, '\n# References\n', {told(3)}) AS markdown FROM p")
+    return spark.sql(f"{_PAPERS} SELECT source_id, load_seq, concat('# Results\n', {told(1)}, '\n## Zzz\n', {told(2)}, '\n# References\n', {told(3)}) AS markdown FROM p")
+
+
+def _papers(spark: SparkSession, sf_dir: str):
+    docs = _paper_texts(spark, sf_dir)
     return evidence.process_papers(docs, extraction.DictionaryExtractor(_PAPER_DRUGS, _PAPER_CONDITIONS), ontology.concepts(spark, ontology.EXAMPLE))
 
 
@@ -652,6 +656,38 @@ def paper_runs(spark, sf_dir):
     return _papers(spark, sf_dir).runs
 
 
+def _read_but_some(frames):
+    """A converter that cannot read every tenth paper."""
+    for frame in frames:
+        if (frame["load_seq"] % 10 == 3).any():
+            raise ValueError("no text")
+        yield frame
+
+
+class _Flaky:
+    """Raises at the first attempts for a paper, as many as its number says, and for some always."""
+
+    def __init__(self, inner: extraction.Extractor) -> None:
+        self.inner = inner
+
+    def __call__(self, frames):
+        for frame in frames:
+            if frame["attempt"].iloc[0] <= int(frame["source_id"].iloc[0].split("_")[1]) % 5:
+                raise TimeoutError("no answer")
+            yield from self.inner(iter([frame]))
+
+
+@query(f"""{_RUNS}, f AS (SELECT *, load_seq % 10 = 3 AS failed, load_seq % 5 AS k FROM r)
+SELECT source_id, CASE WHEN failed THEN 'FAILED' WHEN ok AND k < 3 THEN 'SUCCESS' ELSE 'QUALITY_GATE_FAILED' END AS status, CASE WHEN failed THEN 'ValueError: no text' END AS error, CAST(CASE WHEN failed OR k >= 3 THEN 0 ELSE n END AS BIGINT) AS extracted,
+CAST(CASE WHEN NOT failed THEN least(k + 1, 3) END AS INTEGER) AS attempts, CASE WHEN NOT failed AND k >= 3 THEN 'TimeoutError: no answer' END AS last_error FROM f""")
+def paper_attempts(spark, sf_dir):
+    """Papers of which some cannot be read, by an extractor that answers some sections late or never: the others are done."""
+    docs = document_sources.tried(_paper_texts(spark, sf_dir), _read_but_some, "source_id string, load_seq long, markdown string", "source_id")
+    stages = evidence.process_papers(docs, _Flaky(extraction.DictionaryExtractor(_PAPER_DRUGS, _PAPER_CONDITIONS)), ontology.concepts(spark, ontology.EXAMPLE))
+    tries = stages.attempts.groupBy("source_id").agg(F.max("attempts").alias("attempts"), F.max("error").alias("last_error"))
+    return stages.runs.join(tries, "source_id", "left").select("source_id", "status", "error", "extracted", "attempts", "last_error")
+
+
 @query(f"{_RUNS} SELECT count(*) AS papers, CAST(count_if(ok) AS BIGINT) AS succeeded, CAST(count_if(NOT ok) AS BIGINT) AS gate_failed, CAST(0 AS BIGINT) AS failed, CAST(2 * count_if(ok) AS BIGINT) AS extracted, CAST(2 * count_if(ok) AS BIGINT) AS valid, CAST(2 * count_if(ok) AS BIGINT) AS normalised, 1.0::DOUBLE AS mean_precision FROM r")
 def paper_summary(spark, sf_dir):
     return reports.batch_summary(_papers(spark, sf_dir).runs)

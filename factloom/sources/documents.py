@@ -30,16 +30,37 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(paper_id("origin").alias("source_id"), F.col("value").alias("markdown"), "origin")
 
 
-def converted_files(spark: SparkSession, path: str, converter: Converter) -> DataFrame:
-    """(source_id, markdown, origin) of files of any format that the converter reads."""
+def tried(rows: DataFrame, step: Converter, schema: str, key: str) -> DataFrame:
+    """``step`` over the rows, each by itself, with an ``error``: a row where it raises keeps its key and says why, and the others go on."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(len(frame)):
+                one = frame.iloc[i : i + 1]
+                try:
+                    yield pd.concat([*step(iter([one])), pd.DataFrame()]).assign(error=None)
+                except Exception as e:
+                    yield pd.DataFrame([{key: one[key].iloc[0], "error": f"{type(e).__name__}: {e}"}]).reindex(columns=names).astype(object).where(lambda d: d.notna(), None)
+
+    names = [*(c.split()[0] for c in schema.split(", ")), "error"]
+    return rows.mapInPandas(run, f"{schema}, error string")
+
+
+def converted_files(spark: SparkSession, path: str, converter: Converter, errors: bool = False) -> DataFrame:
+    """(source_id, markdown, origin) of files of any format that the converter reads; with ``errors`` also why a file could not be read."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(converter, "path string, markdown string").select(paper_id("path").alias("source_id"), "markdown", F.col("path").alias("origin"))
+    schema = "path string, markdown string"
+    found = tried(files, converter, schema, "path") if errors else files.mapInPandas(converter, schema)
+    return found.select(paper_id("path").alias("source_id"), "markdown", F.col("path").alias("origin"), *(["error"] if errors else []))
 
 
-def fetched(sources: DataFrame, fetcher: Fetcher) -> DataFrame:
-    """(url, html) of the sources that are web addresses, by a fetcher over (source) frames."""
-    urls = sources.where(F.lower("source").rlike("^https?://")).select(F.col("source").alias("url"))
-    return urls.mapInPandas(fetcher, "url string, html string")
+def fetched(sources: DataFrame, fetcher: Fetcher, errors: bool = False) -> DataFrame:
+    """(url, html) of the sources that are web addresses, by a fetcher over (source) frames; with ``errors`` also why a page is missing.
+    Each address is a task's work of its own kind: they are dealt over all shuffle partitions."""
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = sources.where(F.lower("source").rlike("^https?://")).select(F.col("source").alias("url")).repartition(parts, "url")
+    schema = "url string, html string"
+    return tried(urls, fetcher, schema, "url") if errors else urls.mapInPandas(fetcher, schema)
 
 
 def download(frames: Iterator[pd.DataFrame], timeout: int = 60) -> Iterator[pd.DataFrame]:
@@ -54,6 +75,11 @@ def download(frames: Iterator[pd.DataFrame], timeout: int = 60) -> Iterator[pd.D
         yield pd.DataFrame({"url": frame["url"], "html": pages})
 
 
+def failed_source(spark: SparkSession, source: str, error: Exception) -> DataFrame:
+    """The row of a source that is not there: (source_id, markdown, error)."""
+    return spark.createDataFrame([(source, f"{type(error).__name__}: {error}".split("\n")[0])], "source string, error string").select(paper_id("source", ignore_case=False).alias("source_id"), F.lit(None).cast("string").alias("markdown"), "error")
+
+
 class _MainText(HTMLParser):
     """Text of the article, or of the whole page if it has none; scripts, navigation and advertisements left out."""
 
@@ -122,7 +148,8 @@ def _main_texts(html: pd.Series) -> pd.Series:
 def page_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html", by_name: bool = False) -> DataFrame:
     """(source_id, url, text): web pages as documents of one section.  ``by_name``: the addresses are those of files, named by their stems."""
     address = F.regexp_replace(url_col, r"^[A-Za-z]+:/+", "/") if by_name else F.col(url_col)
-    return pages.select(paper_id(address).alias("source_id"), F.col(url_col).alias("url"), _main_texts(F.coalesce(F.col(html_col), F.lit(""))).alias("text"))
+    more = ["error"] if "error" in pages.columns else []
+    return pages.select(paper_id(address).alias("source_id"), F.col(url_col).alias("url"), _main_texts(F.coalesce(F.col(html_col), F.lit(""))).alias("text"), *more)
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
