@@ -20,6 +20,7 @@ from factloom.plans.workspace import settle, workspace
 from factloom.sources import documents as document_sources
 from factloom.sources import facts as fact_sources
 from factloom.sources import ontology
+from factloom.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -484,6 +485,26 @@ def graph_in_loads(spark, sf_dir):
     return told.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src_id").alias("first"), F.col("rel_type").alias("second"), F.col("dst_id").alias("third"), F.concat_ws(":", "load_seq", "fact_index").alias("value")))
 
 
+_TOLD = """SELECT 'node' AS kind, label AS first, id AS second, '' AS third, name AS value FROM nodes UNION ALL SELECT 'edge', src_id, rel_type, dst_id, concat(load_seq, ':', fact_index, ':', evidence) FROM edges"""
+
+
+@query(f"{_GRAPH} {_TOLD}")
+def graph_from_stream(spark, sf_dir):
+    """Facts as files that arrive out of order, one batch for some of them, two of them twice: the same graph as from one load."""
+    path = f"{workspace(spark)}/stream-{uuid.uuid4().hex[:8]}"
+    facts = settle(linking.normalise(settle(fixture.facts(spark, sf_dir), "facts"), _keys(spark)), "normalised")
+    late = facts.withColumn("arrival", F.when(F.col("load_seq") % 7 == 3, 9).otherwise(F.pmod(-F.col("load_seq"), F.lit(4))).cast("int"))
+    late.repartition(5, "arrival").write.parquet(f"{path}/in")
+    late.where("load_seq in (2, 3)").drop("arrival").withColumn("arrival", F.lit(1)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(late.schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/in").drop("arrival")
+    sink = upsert.WinnerSink(spark, f"{path}/graph")
+    for running in upsert.follow_winners(stream, sink, f"{path}/checkpoint"):
+        running.awaitTermination()
+    nodes, edges = sink.nodes(), sink.edges()
+    told = nodes.select(F.lit("node").alias("kind"), F.col("label").alias("first"), F.col("id").alias("second"), F.lit("").alias("third"), F.col("name").alias("value"))
+    return told.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src_id").alias("first"), F.col("rel_type").alias("second"), F.col("dst_id").alias("third"), F.concat_ws(":", "load_seq", "fact_index", "evidence").alias("value")))
+
+
 @query(f"{_GRAPH} SELECT 'nodes' AS counter, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'relations', rel_type, count(*) FROM edge_evidence GROUP BY rel_type")
 def load_counters(spark, sf_dir):
     facts = _normalised(spark, sf_dir)

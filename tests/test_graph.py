@@ -99,6 +99,26 @@ def test_reads(spark):
     assert ("Drug", "name") in keys_ and ("TREATS", "p_value") not in keys_
 
 
+def test_stream_of_winners(spark, tmp_path):
+    """Late files, files that come twice, a stream that goes on where it stopped, and a batch that is written again."""
+    from factloom.streaming.upsert import WinnerSink, follow_winners, winners
+
+    n = normalised(spark, *[{"drug": f"d{i % 5}", "span": f"s{i}", "load": (i * 7) % 11} for i in range(40)])
+    sink = WinnerSink(spark, str(tmp_path / "graph"))
+    for part in ("load_seq >= 6", "load_seq < 4", "load_seq >= 3"):
+        n.where(part).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(n.schema).parquet(str(tmp_path / "in"))
+        for q in follow_winners(stream, sink, str(tmp_path / "checkpoint")):
+            q.awaitTermination()
+    expected = graph.edge_evidence(n)
+    key = lambda df: sorted((r.src_id, r.rel_type, r.dst_id, r.load_seq, r.fact_index, r.evidence) for r in df.collect())
+    assert key(sink.edges()) == key(graph.edges(expected))
+    assert sorted(map(str, sink.nodes().collect())) == sorted(map(str, graph.nodes(n).select(sink.nodes().columns).collect()))
+    first = spark.read.parquet(str(tmp_path / "graph" / "edges" / "batch=0"))
+    winners(graph.edge_evidence(n.where("load_seq >= 6")), "edges").write.mode("overwrite").parquet(str(tmp_path / "graph" / "edges" / "batch=0"))
+    assert key(sink.edges()) == key(graph.edges(expected)) and first is not None
+
+
 def test_store_versions(spark, tmp_path, monkeypatch):
     """A reader keeps its version, a load that dies leaves the old graph, a small load writes little, and segments merge."""
     store = graph.GraphStore(spark, str(tmp_path / "store"))
