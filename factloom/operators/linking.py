@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from factloom import schemas
 from factloom.functions.similarity import letter_bits, matching_ratios, most_shared
 from factloom.functions.text import listed, surface, text
+from factloom.plans.indexing import ranked
 from factloom.plans.workspace import settle
 
 SLOTS = {"drug": ("drugs", "drug_name"), "condition": ("conditions", "condition_name"), "relation": ("relations", "relation"), "outcome": ("outcomes", "outcome")}
@@ -177,6 +178,26 @@ def match_summary(normalised: DataFrame) -> DataFrame:
     return sums.selectExpr(f"stack({len(ok)}, {stacked}) AS (slot, matched)", "total").select("slot", "matched", (F.col("total") - F.col("matched")).alias("unmatched"), "total")
 
 
+def match_rollup(normalised: DataFrame) -> DataFrame:
+    """(source_id, section, slot, level, matched, total): the summary for all facts, by slot, by paper, by paper and slot and by paper, section
+    and slot, in one pass over the facts; what a row sums over is null, and ``level`` tells it from a value that is null
+    (bits for paper, section and slot, the last one lowest, set where it is summed over)."""
+    ok = [
+        ("drug", is_matched(F.col("drug"))),
+        ("condition", is_matched(F.col("condition"))),
+        ("relation", is_matched(F.col("relation_match"))),
+        ("outcome", F.col("outcome_match").isNull() | is_matched(F.col("outcome_match"))),
+        ("side_effects", F.forall("side_effect_matches", is_matched)),
+    ]
+    # Five counts for each paper and section first: what is expanded to five levels is small.
+    counts = normalised.groupBy("source_id", "section").agg(F.count("*").alias("total"), *(F.count_if(c).alias(s) for s, c in ok))
+    stacked = ", ".join(f"'{s}', {s}" for s, _ in ok)
+    each = counts.selectExpr("source_id", "section", "total", f"stack({len(ok)}, {stacked}) AS (slot, matched)")
+    paper, section, slot = (F.col(c) for c in ("source_id", "section", "slot"))
+    levels = each.groupingSets([(), (slot,), (paper,), (paper, slot), (paper, section, slot)], paper, section, slot)
+    return levels.agg(F.grouping_id().cast("int").alias("level"), F.sum("matched").alias("matched"), F.sum("total").alias("total")).select("source_id", "section", "slot", "level", "matched", "total")
+
+
 def drug_coverage(normalised: DataFrame) -> DataFrame:
     return normalised.agg(F.coalesce(F.count_if(is_matched(F.col("drug"))) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("drug_coverage"))
 
@@ -186,8 +207,8 @@ def unmatched_report(linked: DataFrame, key: str = "fact_index", top: dict[str,
     top = {"outcome": 20} if top is None else top
     misses = linked.where("match_type = 'unmatched' AND text <> '' AND slot <> 'relation'")
     counted = misses.groupBy("slot", "text").agg(F.count("*").alias("n"), F.min(F.struct(key, "pos")).alias("first"))
-    place = Window.partitionBy("slot").orderBy(F.desc("n"), "first", "text")
-    whole = Window.partitionBy("slot")
-    ranked = counted.withColumn("place", F.row_number().over(place)).withColumn("unique_terms", F.count("*").over(whole)).withColumn("total_terms", F.sum("n").over(whole))
+    counted = settle(counted, "counted")
+    whole = counted.groupBy("slot").agg(F.count("*").alias("unique_terms"), F.sum("n").alias("total_terms"))  # a row for each slot
+    ranked_ = ranked(counted, ["slot"], [F.desc("n"), F.asc("first"), F.asc("text")], "place").join(F.broadcast(whole), "slot")
     limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in top.items() for x in kv]), F.col("slot")), F.lit(2**31 - 1)) if top else F.lit(2**31 - 1)
-    return ranked.where(F.col("place") <= limit).select("slot", "place", "text", "n", "unique_terms", "total_terms")
+    return ranked_.where(F.col("place") <= limit).select("slot", "place", "text", "n", "unique_terms", "total_terms")

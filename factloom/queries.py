@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factloom import vocab
 from factloom.functions.similarity import cosine
 from factloom.functions.text import eligible, paper_id, section_name, surface, truncated
-from factloom.operators import dictionary, extraction, graph, graph_reads, linking, quality, reports, sections, validation
+from factloom.operators import dictionary, embedding, extraction, graph, graph_reads, linking, quality, reports, sections, validation
 from factloom.plans import evidence, fixture
 from factloom.plans.workspace import settle, workspace
 from factloom.sources import documents as document_sources
@@ -388,6 +388,21 @@ def quality_similarity(spark, sf_dir):
     return scored.select("vec_id", F.round("c", 9).alias("similarity"), "r.likely_correct")
 
 
+# Words and pairs of words at their places, weighted by rarity over claims and spans.
+_GRAMS = "list_transform(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), lambda t: substr(md5(t), 1, 5))"
+
+
+@query(f"""{_FACTS}, said AS (SELECT fact_index, 1 AS c, regexp_extract_all(lower(concat(drug_name, ' ', replace(relation, '_', ' '), ' ', condition_name)), '[a-z0-9]+') AS w FROM facts UNION ALL SELECT fact_index, 0, regexp_extract_all(lower(span), '[a-z0-9]+') FROM facts),
+grams AS (SELECT fact_index, c, unnest({_GRAMS}) AS place FROM said), counts AS (SELECT fact_index, place, sum(c) AS c, sum(1 - c) AS s FROM grams GROUP BY ALL),
+weights AS (SELECT place, ln((1 + (SELECT count(*) FROM said)) / (1 + sum(CAST(c > 0 AS INTEGER) + CAST(s > 0 AS INTEGER)))) + 1 AS weight FROM counts GROUP BY place),
+sums AS (SELECT fact_index, sum(weight * weight * c * s) AS dot, sqrt(sum(weight * weight * c * c)) * sqrt(sum(weight * weight * s * s)) AS norm FROM counts JOIN weights USING (place) GROUP BY fact_index)
+SELECT fact_index, round(CASE WHEN norm > 0 THEN dot / norm ELSE 0 END, 6) AS cosine, norm > 0 AND dot / norm > 0.5 AS likely_correct FROM sums""")
+def claim_similarity(spark, sf_dir):
+    """How near each fact's claim is to its span, by sparse vectors that no model makes."""
+    scored = embedding.with_similarity(fixture.facts(spark, sf_dir))
+    return scored.select("fact_index", F.round("cosine", 6).alias("cosine"), "similarity.likely_correct")
+
+
 @query(f"{_FACTS} SELECT fact_index, drug_name, relation FROM facts ORDER BY md5('3:' || CAST(fact_index AS VARCHAR)), fact_index LIMIT 100")
 def quality_sample(spark, sf_dir):
     return quality.sample(fixture.facts(spark, sf_dir), 100, seed=3).select("fact_index", "drug_name", "relation")
@@ -426,6 +441,16 @@ def match_summary(spark, sf_dir):
     return linking.match_summary(_normalised(spark, sf_dir))
 
 
+_OK_LONG = " UNION ALL ".join(f"SELECT fact_index, '{s}' AS slot, {s} AS good FROM ok" for s in ("drug", "condition", "relation", "outcome", "side_effects"))
+
+
+@query(f"""{_SUMMARY}, long AS ({_OK_LONG})
+SELECT source_id, section, slot, CAST(grouping(source_id, section, slot) AS INTEGER) AS level, CAST(count_if(good) AS BIGINT) AS matched, count(*) AS total FROM facts JOIN long ON long.fact_index = facts.fact_index
+GROUP BY GROUPING SETS ((), (slot), (source_id), (source_id, slot), (source_id, section, slot))""")
+def match_rollup(spark, sf_dir):
+    return linking.match_rollup(_normalised(spark, sf_dir))
+
+
 @query(f"{_SUMMARY} SELECT round(count_if(drug) / count(*), 9) AS drug_coverage FROM ok")
 def drug_coverage(spark, sf_dir):
     return linking.drug_coverage(_normalised(spark, sf_dir)).withColumn("drug_coverage", F.round("drug_coverage", 9))
