@@ -27,7 +27,7 @@ computed once.  The most frequent words, at most FREQUENT of them and found by t
 count, go to the workers as a table; all others are joined by shuffle, so no hot word is shuffled.
 
 Defined cases: a null or empty text is the end symbol alone; repeated rows are each
-returned; without training documents all counts are 0 and the scores are the
+returned; a row without a doc_id has no fold: it is scored, neither held out nor learned from; without training documents all counts are 0 and the scores are the
 starting ones; an empty table gives an empty result.
 """
 
@@ -50,7 +50,7 @@ MARK = "▁"
 FREQUENT, FREQUENT_BYTES = 1 << 18, 64
 EM_ROUNDS, SMOOTHING = 2, 0.01
 #: Words in a lattice batch; entries of a task's word counts before they are handed on.
-BATCH_WORDS, HELD_WORDS = 40_000, 400_000
+BATCH_WORDS, BATCH_BYTES, HELD_WORDS = 40_000, 4 << 20, 400_000
 
 
 @dataclass
@@ -215,13 +215,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held, n = [], 0
-    for batch in batches:
+    """Batches of some BATCH_WORDS words, or of BATCH_BYTES where words are long: a text without spaces is one word."""
+    held, n, size = [], 0, 0
+    for batch in sliced(batches):
         held.append(batch)
-        n += batch.num_rows
-        if n >= BATCH_WORDS:
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= BATCH_WORDS or size >= BATCH_BYTES:
             yield pa.Table.from_batches(held)
-            held, n = [], 0
+            held, n, size = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -315,4 +316,4 @@ def score_documents(documents: DataFrame, vocabulary: Vocabulary, trains: Column
     total = joined.groupBy("doc_id", "tag").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "score")))
     once = total.select("doc_id", *((F.col(c) / F.col("rows")).alias(c) for c in ("base_score", "score")), *(F.expr(f"{c} div rows").alias(c) for c in ("n_tokens", "n_known")), "rows")
     once = once.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return once.select("doc_id", F.coalesce(~trains, F.lit(True)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return once.select("doc_id", F.coalesce(~trains, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -61,8 +61,8 @@ def test_documents(spark, monkeypatch):
     out = lm.score_documents(df, lm.Vocabulary.of(PIECES), trains=fold("doc_id") != 1).collect()
     assert len(out) == len(ROWS)
     tokens = [[*(t or "").encode().lower().split(), None] for _, t in ROWS]
-    held = [i is None or zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in ROWS]
-    c = Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in t)
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in ROWS]
+    c = Counter(x for (i, _), t, h in zip(ROWS, tokens, held, strict=True) if i is not None and not h for x in t)
     total, distinct = sum(c.values()), len(c)
     want = sorted((i if i is not None else -1, h, len(t), sum(c[x] > 0 for x in t), total, round(sum(math.log10((c[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in t), 6)) for (i, _), t, h in zip(ROWS, tokens, held, strict=True))
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
@@ -102,3 +102,14 @@ def test_fit_raises_the_likelihood(spark):
     likelihood = lambda s: lm.word_log_probabilities(listed, vocabulary, s) @ counts
     one, three = lm.fit_scores(words, 4, vocabulary, rounds=1), lm.fit_scores(words, 4, vocabulary, rounds=3)
     assert likelihood(lm.starting_scores(len(PIECES))) < likelihood(one) <= likelihood(three) + 1e-6
+
+
+def test_batches_of_long_words_stay_small():
+    """A text without spaces is one word: batches are bounded by bytes, too."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 100_000] * 400)], names=["word"])
+    sizes = [part.nbytes for part in lm._gathered(iter([batch, batch]))]
+    assert sum(sizes) >= 80_000_000 and max(sizes) < 3 * lm.BATCH_BYTES + (1 << 24)
+    few = pa.RecordBatch.from_arrays([pa.array(["ab"] * 50_000)], names=["word"])
+    assert [p.num_rows for p in lm._gathered(iter([few]))] == [40_000, 10_000]
