@@ -92,8 +92,9 @@ def contains_term(span: Column | str, term: Column | str, whole_words: bool = Fa
 
 
 def readable_size(size: Column | str) -> Column:
-    """Bytes as B, KB, MB, GB or TB with one decimal."""
+    """Bytes as B, KB, MB, GB or TB with one decimal; a half goes to the even one."""
     b = column(size).cast("double")
+    one = lambda unit, x: F.format_string(f"%.1f {unit}", F.bround(x, 1))
     steps = list(enumerate(["B", "KB", "MB", "GB"]))
-    last = F.format_string("%.1f TB", b / 1024**4)
-    return reduce(lambda rest, step: F.when(b < 1024 ** (step[0] + 1), F.format_string(f"%.1f {step[1]}", b / 1024 ** step[0])).otherwise(rest), reversed(steps), last)
+    last = one("TB", b / 1024**4)
+    return reduce(lambda rest, step: F.when(b < 1024 ** (step[0] + 1), one(step[1], b / 1024 ** step[0])).otherwise(rest), reversed(steps), last)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom import vocab
 from factloom.functions.similarity import cosine
-from factloom.functions.text import eligible, paper_id, section_name, surface, truncated
+from factloom.functions.text import contains_term, eligible, paper_id, readable_size, section_name, surface, truncated
 from factloom.operators import dictionary, embedding, extraction, graph, graph_reads, linking, quality, reports, sections, validation
 from factloom.plans import evidence, fixture
 from factloom.plans.workspace import settle, workspace
@@ -675,6 +675,55 @@ def clean_odd_facts(spark, sf_dir):
     return kept.select("fact_index", "condition_name", F.array_join("side_effects", "|").alias("side_effects"), "sample_size", "treatment_line")
 
 
+# --- what the commands write, and small reports ---
+
+
+@query(f"""{_issues_sql(_RULES)}, v AS (SELECT f.fact_index, coalesce(bool_or(i.fatal), false) AS bad FROM facts f LEFT JOIN issues i ON i.fact_index = f.fact_index GROUP BY f.fact_index)
+SELECT 'valid' AS part, '' AS issue_type, '' AS severity, count(*) AS n, CAST(sum(fact_index) AS BIGINT) AS places FROM v WHERE NOT bad UNION ALL SELECT 'issues', issue_type, severity, count(*), CAST(sum(fact_index) AS BIGINT) FROM issues GROUP BY issue_type, severity""")
+def validated_files(spark, sf_dir):
+    """Valid facts and issues by type, written and read back from their folders."""
+    path = f"{workspace(spark)}/validated-{uuid.uuid4().hex[:8]}"
+    fact_sources.write_validated(settle(_checked(spark, sf_dir), "checked"), path)
+    count = [F.count("*").alias("n"), F.sum("fact_index").alias("places")]
+    valid = spark.read.parquet(f"{path}/validated").agg(*count).select(F.lit("valid").alias("part"), F.lit("").alias("issue_type"), F.lit("").alias("severity"), "n", "places")
+    found = spark.read.schema("fact_index long, severity string, issue_type string").json(f"{path}/issues").groupBy("issue_type", "severity").agg(*count)
+    return valid.unionByName(found.select(F.lit("issues").alias("part"), "issue_type", "severity", "n", "places"))
+
+
+@query(f"{_ASSESSED}, r AS (SELECT source_id, count(*) AS total_facts, count_if(likely_correct) / count(*) AS p FROM assessed GROUP BY source_id) SELECT source_id, total_facts, round(p, 6) AS estimated_precision, round(total_facts / 10 * 0.01, 6) AS judge_cost, p < 0.95 AS refused FROM r")
+def quality_files(spark, sf_dir):
+    """The report of each paper as a file and a table by paper, read back; what a judge would cost, and what the gate of the command refuses."""
+    path = f"{workspace(spark)}/quality-{uuid.uuid4().hex[:8]}"
+    report = settle(quality.quality_report(quality.assess(fixture.facts(spark, sf_dir)), "source_id"), "report")
+    fact_sources.write_report(report.select("source_id", "total_facts"), f"{path}/report")
+    fact_sources.write_table(report.select("source_id", "estimated_precision"), f"{path}/table", "source_id")
+    back = spark.read.schema("source_id string, total_facts long").json(f"{path}/report").join(spark.read.parquet(f"{path}/table"), "source_id")
+    refused = F.col("estimated_precision") < 0.95
+    return back.select("source_id", "total_facts", F.round("estimated_precision", 6).alias("estimated_precision"), F.round(reports.judge_cost(F.col("total_facts")), 6).alias("judge_cost"), refused.alias("refused"))
+
+
+_SIZE = "CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END"
+
+
+@query(f"SELECT doc_id, {_SIZE} AS size FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) * (1 + doc_id % 700) AS b FROM documents)")
+def readable_sizes(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", readable_size(F.col("n_chars") * (1 + F.col("doc_id") % 700)).alias("size"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, lower(text) AS low, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS words FROM documents)
+SELECT doc_id, CASE WHEN len(words) = 0 THEN NULL ELSE words[1] END AS term, len(words) > 0 AND contains(low, words[len(words) // 2 + 1][1:2]) AS anywhere, len(words) > 0 AND list_contains(words, words[len(words) // 2 + 1][1:2]) AS as_word FROM w""")
+def whole_word_containment(spark, sf_dir):
+    """Whether the first two letters of a document's middle word stand in it, anywhere and as a word of their own."""
+    words_ = _table(spark, sf_dir, "documents").withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    middle = F.substring(F.try_element_at("words", (F.floor(F.size("words") / 2) + 1).cast("int")), 1, 2)
+    return words_.select("doc_id", F.try_element_at("words", F.lit(1)).alias("term"), contains_term("text", middle).alias("anywhere"), contains_term("text", middle, whole_words=True).alias("as_word"))
+
+
+@query(f"{_FACTS} SELECT fact_index, drug_name, confidence FROM facts ORDER BY fact_index LIMIT 10")
+def fact_preview(spark, sf_dir):
+    return reports.preview(fixture.facts(spark, sf_dir), ["drug_name", "not there", "confidence"])
+
+
 # --- papers end to end, and files ---
 
 _PAPER_DRUGS, _PAPER_CONDITIONS = ["sertraline", "escitalopram", "fluoxetine"], ["major depressive disorder", "generalized anxiety disorder", "drug abuse"]
