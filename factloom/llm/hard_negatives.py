@@ -1,7 +1,7 @@
 """Hard negatives by blocked dense products.
 
 Vectors are packed into blocks, a row of a table each: ids, labels and a matrix of whole numbers.
-Candidate blocks are dealt to lanes of about LANE_ROWS vectors, and every block of anchors goes to
+Candidate blocks are dealt to lanes of about LANE_VALUES components, and every block of anchors goes to
 every lane.  A task holds the candidates of one lane and multiplies block after block of anchors with
 them, in float64 where all sums stay below 2 ** 53 and are so exact, else in 64-bit integers.
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import settle, sliced
 from factloom.llm.topk_search import _matrix
 
-#: Vectors of a lane, and scores that a task holds at once.
-LANE_ROWS, TILE = 1 << 16, 1 << 21
+#: Components of a lane's vectors, 32 MB as floats, and scores that a task holds at once.
+LANE_VALUES, TILE = 1 << 22, 1 << 21
 #: Bits of a row's place in its block, and of a block's place in its task.
 ROW_BITS, TASK_BITS = 10, 30
 EXACT = 1 << 53
@@ -273,8 +273,8 @@ def mine(vectors: DataFrame, positives: int = 5, negatives: int = 3, low: int =
     hundredths of the positive's."""
     spark = vectors.sparkSession
     packed = settle(vectors.select("vec_id", "label", "anchor", "v").mapInArrow(_packed, _PACKED), "vectors")
-    size = packed.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("blocks")).first()
-    lanes = max(1, min(size["blocks"], max(2 * spark.sparkContext.defaultParallelism, -(-size["rows"] // LANE_ROWS))))
+    size = packed.agg(F.coalesce(F.sum(F.col("rows").cast("long") * F.col("width")), F.lit(0)).alias("values"), F.count("*").alias("blocks")).first()
+    lanes = max(1, min(size["blocks"], max(2 * spark.sparkContext.defaultParallelism, -(-size["values"] // LANE_VALUES))))
     anchors = settle(packed.mapInArrow(_anchors, _PACKED), "anchors")
     found = settle(_dealt(packed, anchors, lanes).mapInArrow(_positives(positives), _POSITIVES), "positives")
     rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("positive_score"), "positive_id"))

@@ -46,7 +46,7 @@ def test_equals_plain_loops(spark, monkeypatch, tile):
 
 
 def test_lanes_and_blocks_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(hard_negatives, "LANE_ROWS", 7)
+    monkeypatch.setattr(hard_negatives, "LANE_VALUES", 21)
     rng = random.Random(6)
     rows = [(i * 10, [rng.random() for _ in range(3)], rng.randint(0, 1)) for i in range(120)]
     assert found(spark, rows, parts=40) == plain(rows)
