@@ -43,8 +43,11 @@ CLINICAL_CONTEXT = [
     "treat", "therapy", "improvement", "remission", "response", "efficacy", "symptom", "disorder", "disease", "syndrome",
     "adverse", "side effect", "tolerated", "managed", "controlled",
 ]
+# The lines of treatment that a fact may name.
 TREATMENT_LINES = ["first", "second", "maintenance", "acute"]
+# Pronouns that leave a span without its subject.
 PRONOUNS = ["it", "this", "that", "these", "they", "those", "which"]
+# The verbs that make such a span dangle.
 PRONOUN_VERBS = ["showed", "demonstrated", "resulted", "found"]
 
 # Conditions known to validation.
@@ -130,6 +133,7 @@ ISOLATED_SYMPTOMS = [
     "insomnia", "nervousness", "agitation", "physical symptoms", "insomnia and nervousness", "insomnia and agitation",
     "fatigue", "headache", "nausea", "dizziness", "pain", "anxiety symptoms", "depressive symptoms",
 ]
+# Statistics that an effect size may name instead of a number.
 EFFECT_STATISTICS = ["cohen", "nnt", "odds ratio", "hazard ratio"]
 
 # Fixed values of the strict profile: filler words, and the language of comparisons.
