@@ -161,6 +161,12 @@ def surface_normalise(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", surface("text").alias("key"))
 
 
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9''\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS key_md5 FROM documents")
+def surface_documents(spark, sf_dir):
+    """The lookup form of all whole texts."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(surface("text")).alias("key_md5"))
+
+
 @query(r"""WITH parts AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents)
 SELECT doc_id, i - 1 AS sent_seq, trim(s[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM parts) WHERE sentence <> ''""")
 def sentence_split(spark, sf_dir):
