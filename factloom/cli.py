@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import extraction, graph, linking, quality, reports, sections, validation
+from factloom.operators import embedding, extraction, graph, linking, quality, reports, sections, validation
 from factloom.plans import evidence
 from factloom.sources import documents, facts, ontology
 
@@ -33,11 +33,11 @@ def _parser() -> argparse.ArgumentParser:
     command("parse", ("--source", needed), ("--out", needed))
     command("extract", ("--input", needed), ("--output", needed), ("--model", {"default": "dictionary", "help": "name that is written with the facts"}), ("--load-seq", {"type": int, "default": 0, "help": "place of these papers in the order of loads"}), config)
     command("validate", ("--input", needed), ("--output", needed), ("--issues", {"help": "folder for the issues by type; in the output's without one"}), ("--profile", {"default": "default", "choices": ["default", "strict"]}), ("--show-details", {"action": "store_true"}))
-    command("quality", ("--input", needed), ("--output", text), ("--methods", {"nargs": "+", "default": ["heuristic"], "choices": ["heuristic", "knowledge_base"]}), ("--sample-size", {"type": int}), ("--min-precision", {"type": float, "default": 0.95}))
+    command("quality", ("--input", needed), ("--output", text), ("--methods", {"nargs": "+", "default": ["heuristic"], "choices": ["heuristic", "knowledge_base", "similarity"]}), ("--sample-size", {"type": int}), ("--min-precision", {"type": float, "default": 0.95}))
     command("normalise", ("--input", needed), ("--output", needed), config, ("--min-fuzzy-score", {"type": float, "default": linking.FUZZY_CUTOFF}))
     command("unmatched", ("--input", needed), config)
     command("load", ("--input", needed), ("--graph", needed), ("--clear", {"action": "store_true"}))
-    command("batch", ("--source", {"nargs": "+", "default": []}), ("--file", {"help": "list of sources, one a line"}), ("--output-base", needed), ("--quality-threshold", {"type": float, "default": 0.7}), ("--min-quality-score", {"type": float}), config)
+    command("batch", ("--source", {"nargs": "+", "default": []}), ("--file", {"help": "list of sources, one a line"}), ("--output-base", needed), ("--quality-threshold", {"type": float, "default": 0.7}), ("--min-quality-score", {"type": float}), ("--attempts", {"type": int, "default": extraction.ATTEMPTS, "help": "times that a section is sent to the extractor"}), ("--whole-sections", {"action": "store_true", "help": "a fact out of range fails its section"}), config)
     return parser
 
 
@@ -98,7 +98,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.command == "quality":
         rows = _facts(spark, args.input)
         rows = quality.sample(rows, args.sample_size) if args.sample_size else rows
-        known = {"heuristic": quality.heuristic(), "knowledge_base": quality.knowledge_base()}
+        rows = embedding.with_similarity(rows) if "similarity" in args.methods else rows
+        known = {"heuristic": quality.heuristic(), "knowledge_base": quality.knowledge_base(), "similarity": F.col("similarity") if "similarity" in args.methods else None}
         assessed = quality.assess(rows, {m: known[m] for m in args.methods})
         if args.output:
             facts.write_table(assessed, args.output)
@@ -123,7 +124,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         for load_seq, source in enumerate(listed):
             more = _documents(spark, source, errors=True).withColumn("load_seq", F.lit(load_seq).cast("long"))
             docs = more if docs is None else docs.unionByName(more)
-        stages = evidence.process_papers(docs, _extractor(concepts), concepts, threshold=args.quality_threshold, min_score=args.min_quality_score)
+        stages = evidence.process_papers(docs, _extractor(concepts), concepts, threshold=args.quality_threshold, min_score=args.min_quality_score, attempts=args.attempts, whole_sections=args.whole_sections)
         for name in ("extracted", "checked", "normalised", "runs", "attempts"):
             facts.write_table(getattr(stages, name), f"{args.output_base}/{name}")
         facts.write_report(reports.batch_summary(spark.read.parquet(f"{args.output_base}/runs")), f"{args.output_base}/summary")

@@ -57,3 +57,19 @@ def test_batch_and_failing_gate(spark, tmp_path):
     bad = '[{"drug_name": "x", "condition_name": "drug care", "relation": "TREATS", "span": "no", "confidence": 0.1}]'
     (tmp_path / "bad.json").write_text(bad)
     assert run(spark, "quality", "--input", str(tmp_path / "bad.json")) == 1
+
+
+def test_a_source_that_is_not_there_does_not_end_the_batch(spark, tmp_path):
+    (tmp_path / "a.md").write_text(f"# Results\n{BODY}")
+    run(spark, "batch", "--source", str(tmp_path / "none.md"), str(tmp_path / "a.md"), "--output-base", str(tmp_path / "out"), "--attempts", "1", "--whole-sections")
+    rows = {r.source_id: (r.status, r.error) for r in spark.read.parquet(str(tmp_path / "out/runs")).collect()}
+    assert rows["a"] == ("SUCCESS", None) and rows["none"][0] == "FAILED" and "AnalysisException" in rows["none"][1]
+    (summary,) = spark.read.json(str(tmp_path / "out/summary")).collect()
+    assert (summary.papers, summary.succeeded, summary.failed) == (2, 1, 1)
+
+
+def test_similarity_is_a_method(spark, tmp_path):
+    (tmp_path / "facts.json").write_text('[{"drug_name": "sertraline", "condition_name": "MDD", "relation": "TREATS", "span": "Sertraline treats MDD.", "confidence": "0.9"}]')
+    assert run(spark, "quality", "--input", str(tmp_path / "facts.json"), "--methods", "heuristic", "similarity", "--output", str(tmp_path / "out")) == 0
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert row.method_results["similarity"].likely_correct and row.quality_score == (100 + row.method_results["similarity"].quality_score) / 2
