@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -33,17 +34,22 @@ class DictionaryExtractor:
 
     def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = schemas.FACT.names
-        known = automaton((*self.drugs, *self.conditions))
+        index, known = pd.Index(names), automaton((*self.drugs, *self.conditions))
         for frame in frames:
             rows = []
-            for r in frame.itertuples(index=False):
-                for sentence in re.split(r"(?<=[.!?])\s+(?=[A-Z(])", r.text):
+            for body, source_id, section in zip(frame["text"], frame["source_id"], frame["section"], strict=True):
+                for sentence in re.split(r"(?<=[.!?])\s+(?=[A-Z(])", body):
                     found = sorted(known.found(sentence))
                     conditions = [self.conditions[i - len(self.drugs)] for i in found if i >= len(self.drugs)]
                     for drug in (self.drugs[i] for i in found if i < len(self.drugs)):
                         for condition in conditions:
-                            rows.append({"drug_name": drug, "condition_name": condition, "relation": self.relation, "side_effects": [], "source_id": r.source_id, "section": r.section, "span": sentence, "confidence": self.confidence})
-            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
+                            rows.append({"drug_name": drug, "condition_name": condition, "relation": self.relation, "side_effects": [], "source_id": source_id, "section": section, "span": sentence, "confidence": self.confidence})
+            # As one block of objects: frames are often those of one section, where what pandas infers costs more than the search.
+            cells = np.empty((len(rows), len(names)), dtype=object)
+            for row, values in zip(cells, rows, strict=True):
+                for place, name in enumerate(names):
+                    row[place] = values.get(name)
+            yield pd.DataFrame(cells, columns=index, copy=False)
 
 
 def extract(sections: DataFrame, extractor: Extractor) -> DataFrame:
@@ -67,44 +73,76 @@ ATTEMPTS = 3
 _TRIED = T.StructType([*schemas.FACT.fields, T.StructField("section_seq", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("error", T.StringType()), T.StructField("asked", T.BooleanType())])
 
 
+#: Rows that are handed on at once.
+_TOLD_ROWS = 1000
+
+
 def _one_by_one(extractor: Extractor) -> Extractor:
-    """Each section's facts with its number, after a row (``asked``) that says how it went.  Where the extractor raises, it starts anew after that section."""
+    """Each section's facts with its number, after a row (``asked``) that says how it went.  Where the extractor raises, it starts anew after
+    that section.  Sections are asked one by one, but their rows are gathered as lists: a frame for each would cost more than most extractors."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sections = (frame.iloc[i : i + 1] for frame in frames for i in range(len(frame)))
-        now: list[pd.DataFrame] = []
+        now: list[tuple] = []
+        held: list[pd.DataFrame] = []
+        out: list[list] = [[] for _ in _TRIED.names]
+        full: list[pd.DataFrame] = []
 
-        def feed() -> Iterator[pd.DataFrame]:
-            for section in sections:
-                now.append(section)
-                yield section.drop(columns="section_seq")
+        def each() -> Iterator[tuple[tuple, pd.DataFrame]]:
+            for frame in frames:
+                heads = list(zip(frame["source_id"].tolist(), frame["section"].tolist(), frame["section_seq"].tolist(), strict=True))
+                given = frame.drop(columns="section_seq")
+                for i, head in enumerate(heads):
+                    yield head, given.iloc[i : i + 1]
 
-        def told(section: pd.DataFrame, facts: list[pd.DataFrame], error: str | None) -> pd.DataFrame:
-            first = section.iloc[0]
-            head = pd.DataFrame([{"source_id": first["source_id"], "section": first["section"], "error": error, "asked": True}])
-            rows = pd.concat([head, *(f.assign(asked=False) for f in facts if len(f))], ignore_index=True) if error is None else head
-            rows = rows.assign(section_seq=first["section_seq"], place=range(len(rows)))
-            return rows.reindex(columns=_TRIED.names).astype(object).where(lambda d: d.notna(), None)
+        sections = each()
+
+        def feed() -> Iterator[pd.DataFrame]:
+            for head, section in sections:
+                now.append(head)
+                yield section
+
+        def told(error: str | None = None) -> None:
+            source_id, section, seq = now.pop(0)
+            own = {"source_id": [source_id], "section": [section]}
+            facts = [f for f in held if len(f)] if error is None else []
+            n = 1 + sum(map(len, facts))
+            own |= {"section_seq": [seq] * n, "place": range(n), "error": [error] + [None] * (n - 1), "asked": [True] + [False] * (n - 1)}
+            cells = [(dict(zip(f.columns, f.to_numpy(dtype=object).T, strict=True)), len(f)) for f in facts]
+            for column, name in zip(out, _TRIED.names, strict=True):
+                column.extend(own.get(name, (None,)))
+                if name not in ("section_seq", "place", "error", "asked"):
+                    for values, size in cells:
+                        column.extend(values[name] if name in values else [None] * size)
+            held.clear()
+            if len(out[0]) >= _TOLD_ROWS:
+                full.append(gathered())
+
+        def gathered() -> pd.DataFrame:
+            made = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(_TRIED.names, out, strict=True)}).where(lambda d: d.notna(), None)
+            for column in out:
+                column.clear()
+            return made
 
         while True:
-            held: list[pd.DataFrame] = []
             try:
                 for facts in extractor(feed()):
                     while len(now) > 1:  # it has asked for the next section
-                        yield told(now.pop(0), held, None)
-                        held = []
+                        told()
                     held.append(facts)
+                    while full:
+                        yield full.pop(0)
                 while now:
-                    yield told(now.pop(0), held, None)
-                    held = []
+                    told()
+                if out[0]:
+                    full.append(gathered())
+                yield from full
                 return
             except Exception as e:
                 while len(now) > 1:
-                    yield told(now.pop(0), held, None)
-                    held = []
+                    told()
                 if not now:
                     raise
-                yield told(now.pop(0), [], f"{type(e).__name__}: {e}")
+                told(f"{type(e).__name__}: {e}")
 
     return run
 
@@ -123,10 +161,12 @@ def extract_sections(sections: DataFrame, extractor: Extractor, attempts: int =
     no facts and its last error.  With ``whole_sections`` a section one of whose facts is out of range is sent again, too;
     without it such a fact is left to the cleaning.  ``place`` orders a section's facts."""
     keys = ["source_id", "section_seq"]
+    # Few bytes, but much work: sections are dealt over all shuffle partitions, not over those that their bytes fill.
+    parts = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = settle(sections.where(eligible("name", "text")).select(*keys, F.col("name").alias("section"), truncated("text").alias("text")), "sections")
     facts, outcomes = None, None
     for attempt in range(1, attempts + 1):
-        tried = settle(left.withColumn("attempt", F.lit(attempt)).mapInPandas(_one_by_one(extractor), _TRIED), "tried")
+        tried = settle(left.repartition(parts, *keys).withColumn("attempt", F.lit(attempt)).mapInPandas(_one_by_one(extractor), _TRIED), "tried")
         went = tried.where("asked").select(*keys, "section", F.lit(attempt).alias("attempts"), "error")
         if whole_sections:
             bad = _out_of_range(tried.where("NOT asked")).withColumn("bad", F.lit("a fact is out of range"))

@@ -738,8 +738,10 @@ CASE p_partkey % 4 WHEN 0 THEN '{_PAPER_CONDITIONS[0]}' WHEN 1 THEN '{_PAPER_CON
 
 
 def _paper_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part as a paper: two facts that count, and the references, which do not."""
-    _table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    """Every part as a paper: two facts that count, and the references, which do not.  The table has few bytes, each paper much
+    work: they are dealt over all shuffle partitions."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _table(spark, sf_dir, "part").select("p_partkey").repartition(parts, "p_partkey").createOrReplaceTempView("part")
     told = lambda n: f"concat(drug, ' was an effective treatment of ', condition, ' in trial {n} of paper ', CAST(load_seq AS STRING), '.')"
     return spark.sql(f"{_PAPERS} SELECT source_id, load_seq, concat('# Results\n', {told(1)}, '\n## Zzz\n', {told(2)}, '\n# References\n', {told(3)}) AS markdown FROM p")
 

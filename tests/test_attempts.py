@@ -108,3 +108,40 @@ def test_a_source_that_fails_is_a_run(spark, tmp_path):
     got = {(r.status, r.error): r.extracted for r in runs.collect()}
     assert got == {("SUCCESS", None): 1, ("FAILED", "OSError: damaged"): 0, ("FAILED", "OSError: 404"): 0, ("FAILED", "FileNotFoundError: none.md"): 0}
     assert runs.where("status = 'SUCCESS'").count() == 2
+
+
+def test_rows_of_sections_are_handed_on_together():
+    """A frame for each section cost more than the search; their order and numbers stay."""
+    made = list(extraction._one_by_one(lambda given: (facts(f) for f in given))(frames(*map(str, range(700)))))
+    assert [len(f) for f in made] == [1000, 400]
+    rows = pd.concat(made)
+    assert list(rows["section_seq"]) == [i // 2 for i in range(1400)] and list(rows["place"]) == [0, 1] * 700
+
+
+def test_sections_are_dealt_over_all_partitions(spark):
+    def extractor(given):
+        from pyspark import TaskContext
+
+        for frame in given:
+            yield frame[["source_id", "section"]].assign(drug_name=str(TaskContext.get().partitionId()))
+
+    sections = spark.createDataFrame([("p", i, "Results", TEXT.format(i)) for i in range(200)], "source_id string, section_seq int, name string, text string").coalesce(1)
+    found, _ = extraction.extract_sections(sections, extractor)
+    assert found.count() == 200 and found.select("drug_name").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_rows_of_a_step_are_handed_on_together(spark):
+    def step(given):
+        for frame in given:
+            if (frame["n"] % 3 == 1).any():
+                raise ValueError("no text")
+            yield frame
+
+    def numbered(given):
+        for i, frame in enumerate(given):
+            yield frame.assign(n=i)
+
+    got = documents.tried(spark.range(90, numPartitions=1).selectExpr("id", "id AS n"), step, "id long, n long", "id")
+    rows = {r.id: (r.n, r.error) for r in got.collect()}
+    assert rows == {i: (None, "ValueError: no text") if i % 3 == 1 else (i, None) for i in range(90)}
+    assert got.mapInPandas(numbered, "id long, n long, error string").select("n").distinct().count() == 1
