@@ -7,12 +7,16 @@ small beside the facts and mostly broadcast, so facts stay where they lie.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom import schemas
-from factloom.functions.similarity import letter_bits, matching_ratios, most_shared
+from factloom.functions.similarity import letter_bits, most_shared
 from factloom.functions.text import listed, surface, text
 from factloom.plans.indexing import ranked
 from factloom.plans.workspace import settle
@@ -75,13 +79,47 @@ def _with_letters(rows: DataFrame, text_col: str, prefix: str) -> DataFrame:
     return rows.withColumns(dict(zip([f"{prefix}{i}" for i in range(3)], letter_bits(F.col(text_col)), strict=True)))
 
 
+#: Most texts that a pair of lengths may make of one of its two texts by leaving characters out; beyond it segments are compared.
+MOST_SHORTENED = 500
+
+
+def _by_shortened(more: Column, fewer: Column, la: Column, lb: Column) -> Column:
+    """Whether texts of two lengths are found by leaving out the characters that may have no partner."""
+    ways = lambda n, k: F.when(k <= 0, 1).when(k == 1, n).when(k == 2, n * (n - 1) / 2).when(k == 3, n * (n - 1) * (n - 2) / 6).otherwise(MOST_SHORTENED + 1)
+    return (ways(la, more) <= MOST_SHORTENED) & (ways(lb, fewer) <= MOST_SHORTENED)
+
+
+def _shortened(x: str, out: Column) -> Column:
+    """All texts with 0 to 3 characters less."""
+
+    def less(texts: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(texts, lambda v: F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1))))))
+
+    none = F.array(F.col(x))
+    return F.when(out <= 0, none).when(out == 1, less(none)).when(out == 2, less(less(none))).otherwise(less(less(less(none))))
+
+
+def shortened(rows: DataFrame, text_col: str, cutoff: float, known: bool) -> DataFrame:
+    """(entity_type, place, text_col): for each length of a partner what is left of a text without the characters that may have
+    none, as a hash.  Two texts at the cutoff have one of them in common, and hardly any others do."""
+    n = F.length(text_col)
+    sized = rows.select("entity_type", text_col, F.explode(_partners(n, cutoff)).alias("other"))
+    own, size = (F.col("other"), n) if known else (n, F.col("other"))
+    more, fewer, _ = _tolerance(own, size, cutoff)
+    sized = sized.select("*", own.alias("own"), size.alias("size"), more.alias("more"), fewer.alias("fewer"))
+    sized = sized.where(_by_shortened(F.col("more"), F.col("fewer"), F.col("own"), F.col("size")))
+    left = sized.select("entity_type", text_col, "own", "size", F.explode_outer(_shortened(text_col, F.col("fewer" if known else "more"))).alias("left"))
+    return left.select("entity_type", F.xxhash64("own", "size", "left").alias("place"), text_col)
+
+
 def segment_index(keys: DataFrame, cutoff: float) -> DataFrame:
     """(entity_type, size, edits, segment, piece, known, k0, k1, k2): each key cut into one segment more than it may have edits.  Every
     character without a partner spoils one segment at most, so one of them stands whole in any text at the cutoff."""
     size = F.length("known")
-    edits = F.array_distinct(F.transform(_partners(size, cutoff), lambda n: _tolerance(n, size, cutoff)[2]))
-    cut = _with_letters(keys.select("entity_type", "known"), "known", "k").select("*", size.alias("size"), F.explode(edits).alias("edits"))
-    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("segment"))
+    sized = keys.select("entity_type", "known", size.alias("size"), F.explode(_partners(size, cutoff)).alias("own"))
+    more, fewer, edits = _tolerance(F.col("own"), F.col("size"), cutoff)
+    sized = sized.where(~_by_shortened(more, fewer, F.col("own"), F.col("size"))).select("entity_type", "known", "size", edits.alias("edits")).distinct()
+    cut = _with_letters(sized, "known", "k").select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("segment"))
     start, long = _segment(F.col("segment"), F.col("size"), F.col("edits"))
     return cut.select("entity_type", "size", "edits", "segment", F.substr("known", start + 1, long).alias("piece"), "known", "k0", "k1", "k2")
 
@@ -90,10 +128,10 @@ def segment_probes(terms: DataFrame, cutoff: float) -> DataFrame:
     """(entity_type, size, edits, segment, piece, key, own, t0, t1, t2): what the segments of keys of any fitting size look like in a
     term, at the places to which characters without a partner can have moved them."""
     own = F.length("key")
-    sized = _with_letters(terms.select("entity_type", "key"), "key", "t").select("*", own.alias("own"), F.explode(_partners(own, cutoff)).alias("size"))
+    sized = terms.select("entity_type", "key", own.alias("own"), F.explode(_partners(own, cutoff)).alias("size"))
     more, fewer, edits = _tolerance(F.col("own"), F.col("size"), cutoff)
-    sized = sized.withColumns({"more": more, "fewer": fewer, "edits": edits})
-    each = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("segment"))
+    sized = sized.where(~_by_shortened(more, fewer, F.col("own"), F.col("size"))).withColumns({"more": more, "fewer": fewer, "edits": edits})
+    each = _with_letters(sized, "key", "t").select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("segment"))
     start, long = _segment(F.col("segment"), F.col("size"), F.col("edits"))
     first, last = F.greatest(start - F.col("fewer"), F.lit(0)), F.least(start + F.col("more"), F.col("own") - long)
     places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
@@ -102,22 +140,56 @@ def segment_probes(terms: DataFrame, cutoff: float) -> DataFrame:
 
 
 def fuzzy_candidates(misses: DataFrame, keys: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """(entity_type, key, known): the distinct pairs that may reach the cutoff.  They meet at a segment that both have, so no
-    term is compared with all keys; an upper bound by letters drops most of what met, inside the join."""
-    met = segment_probes(misses, cutoff).join(segment_index(keys, cutoff), ["entity_type", "size", "edits", "segment", "piece"])
+    """(entity_type, key, known): the distinct pairs that may reach the cutoff.  Short texts meet at what both have left without
+    the characters that may have no partner, long ones at a segment that both have, so no term is compared with all keys; of the long
+    ones an upper bound by letters and the edit distance drop most of what met, inside the join."""
+    # A small table makes hundreds of times its rows here: it must not be broadcast for its size, nor be one task's work.
+    parts = int(misses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    misses, keys = misses.repartition(parts, "key"), keys.repartition(parts, "known")
+    near = shortened(misses, "key", cutoff, False).join(shortened(keys, "known", cutoff, True).hint("merge"), ["entity_type", "place"]).select("entity_type", "key", "known")
+    met = segment_probes(misses, cutoff).join(segment_index(keys, cutoff).hint("merge"), ["entity_type", "size", "edits", "segment", "piece"])
     shared = most_shared(tuple(F.col(f"t{i}") for i in range(3)), tuple(F.col(f"k{i}") for i in range(3)))
-    return met.where(2.0 * shared >= cutoff * (F.col("own") + F.col("size")) - 1e-9).select("entity_type", "key", "known").distinct()
+    far = met.where((2.0 * shared >= cutoff * (F.col("own") + F.col("size")) - 1e-9) & (F.levenshtein("key", "known") <= F.col("edits")))
+    return near.unionByName(far.select("entity_type", "key", "known")).distinct()
+
+
+def _most_alike(cutoff: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Over rows by term, those that can be most alike first and of these the largest first: the best key of each term.  What
+    cannot beat the best so far is not compared."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, best, found = None, None, []
+        for frame in frames:
+            for term in zip(frame["entity_type"], frame["key"], frame["known"], frame["bound"], strict=True):
+                if term[:2] != at:
+                    at, best, alike = term[:2], None, SequenceMatcher(None, "", term[1])
+                    found.append([*at, None, None])
+                if term[3] < cutoff or best is not None and (term[3], term[2]) <= best:
+                    continue
+                alike.set_seq1(term[2])
+                ratio = alike.ratio()
+                if ratio >= cutoff and (best is None or (ratio, term[2]) > best):
+                    best = ratio, term[2]
+                    found[-1] = [*at, term[2], ratio]
+            told = [r for r in found[:-1] if r[2] is not None]
+            found = found[-1:]
+            yield pd.DataFrame([(e, k, o, SequenceMatcher(None, k, o).ratio()) for e, k, o, _ in told], columns=["entity_type", "key", "known", "score"])
+        told = [r for r in found if r[2] is not None]
+        yield pd.DataFrame([(e, k, o, SequenceMatcher(None, k, o).ratio()) for e, k, o, _ in told], columns=["entity_type", "key", "known", "score"])
+
+    return run
 
 
 def link_fuzzy(misses: DataFrame, keys: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """(entity_type, key) of misses -> the most similar known key at or above the cutoff, ties to the largest key."""
+    """(entity_type, key) of misses -> the most similar known key at or above the cutoff, ties to the largest key.  The ratio has the
+    known key as first sequence where it decides, and the term first where it is reported: the measure is not symmetric."""
     distinct = misses.select("entity_type", "key").where("key <> ''").distinct()
     pairs = fuzzy_candidates(distinct, keys.select("entity_type", F.col("key").alias("known")), cutoff)
+    la, lb = F.length("key"), F.length("known")
+    most = F.when((la == lb) & (F.col("key") != F.col("known")), la - 1).otherwise(F.least(la, lb))
     # Few bytes, but much work: adaptive execution would give them all to one task.
-    pairs = pairs.repartition(int(misses.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity_type", "key")
-    scored = pairs.withColumn("ratio", matching_ratios("key", "known")).where(F.col("ratio.selection") >= cutoff)
-    best = scored.groupBy("entity_type", "key").agg(F.max_by(F.struct("known", "ratio"), F.struct("ratio.selection", "known")).alias("b"))
-    found = best.select("entity_type", "key", "b.known", F.col("b.ratio.score").alias("score"))
+    pairs = pairs.withColumn("bound", 2.0 * most / (la + lb)).repartition(int(misses.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity_type", "key")
+    found = pairs.sortWithinPartitions("entity_type", "key", F.desc("bound"), F.desc("known")).mapInPandas(_most_alike(cutoff), "entity_type string, key string, known string, score double")
     named = keys.select("entity_type", F.col("key").alias("known"), "concept_id", "label", "provider")
     return found.join(named, ["entity_type", "known"]).select("entity_type", "key", "known", "concept_id", "label", "provider", F.lit("fuzzy").alias("match_type"), "score")
 

@@ -472,6 +472,7 @@ def unmatched_report(spark, sf_dir):
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All words of the documents of five characters or more, dealt by their hash: concepts, and terms that are none."""
     words_ = _table(spark, sf_dir, "documents").select(F.explode(F.split(surface("text"), " ")).alias("key")).where(F.length("key") > 4).distinct()
+    words_ = settle(words_, "words")  # both halves are read more than once
     dealt = words_.select(F.lit("drugs").alias("entity_type"), "key", (F.crc32("key") % 2 == 0).alias("known"))
     known = dealt.where("known").select("entity_type", "key", F.concat(F.lit("WORD:"), "key").alias("concept_id"), F.col("key").alias("label"), F.lit("custom").alias("provider"))
     return dealt.where("NOT known").drop("known"), known

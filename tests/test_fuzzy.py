@@ -69,3 +69,15 @@ def test_entity_types_do_not_mix(spark):
     assert linking.link_fuzzy(terms.selectExpr("'conditions' AS entity_type", "key"), known).count() == 0
     assert linking.link_fuzzy(terms, known).first().known == "sertraline"
     assert linking.link_fuzzy(terms.limit(0), known).count() == 0
+
+
+def test_alike_words_meet_few_others(spark):
+    """Words of the same few syllables share their segments with most others; what is left without two characters tells them apart."""
+    rng = random.Random(5)
+    syllables = ["an", "er", "ti", "on", "es", "re", "th", "ou"]
+    made = sorted({"".join(rng.choice(syllables) for _ in range(rng.choice((4, 5)))) for _ in range(900)})
+    keys, misses = made[::2], made[1::2]
+    terms, known = frames(spark, keys, misses)
+    met = {(r.key, r.known) for r in linking.fuzzy_candidates(terms, known.select("entity_type", known["key"].alias("known"))).collect()}
+    near = {(m, k) for m in misses for k in keys if difflib.SequenceMatcher(None, k, m).ratio() >= linking.FUZZY_CUTOFF}
+    assert near <= met and len(met) < 1.5 * len(near)
