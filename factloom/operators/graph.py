@@ -2,8 +2,8 @@
 
 ``edge_evidence`` keeps a row for each fact; ``nodes`` and ``edges`` are what loading file after file
 with upserts leaves: a node takes its attributes from the first fact of the last load that names it,
-an edge from the last fact of the last load.  Both are one aggregate with ``max_by``, which combines
-map-side, so a hot node or edge costs its distinct keys and not its rows.
+an edge from the last fact of the last load.  Which fact wins is found by aggregates of numbers, which combine
+map-side by hash; ``max_by``, whose structs are sorted, sees only what is left for each key and load.
 """
 
 from __future__ import annotations
@@ -76,10 +76,16 @@ def edge_evidence(normalised: DataFrame) -> DataFrame:
 
 
 def edges(evidence: DataFrame) -> DataFrame:
-    """One edge for each (src, type, dst): the last fact's properties, nulls and all."""
+    """One edge for each (src, type, dst): the last fact's properties, nulls and all.  Which fact that is takes only numbers, which are
+    aggregated by hash; the properties of these facts alone are then looked up, and no row is sorted with all that it has."""
+    keys = ["src_id", "rel_type", "dst_id"]
     more = [c for c in ("extra",) if c in evidence.columns]
-    best = evidence.groupBy("src_id", "rel_type", "dst_id").agg(F.max_by(F.struct("label", *EDGE_PROPERTIES, *more, "load_seq", "fact_index"), F.struct("load_seq", "fact_index")).alias("e"))
-    return best.select("src_id", "rel_type", "dst_id", "e.*")
+    place = ["load_seq", "fact_index"]
+    last = evidence.groupBy(*keys, "load_seq").agg(F.max("fact_index").alias("fact_index"))
+    last = last.groupBy(*keys).agg(F.max(F.struct(*place)).alias("_last")).select(*keys, "_last.*")
+    won = evidence.join(last, [*keys, *place], "left_semi")
+    best = won.groupBy(*keys).agg(F.max_by(F.struct("label", *EDGE_PROPERTIES, *more, *place), F.struct(*place)).alias("e"))
+    return best.select(*keys, "e.*")
 
 
 def load_counters(normalised: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -94,10 +100,16 @@ def side_effect_edges(normalised: DataFrame) -> DataFrame:
     return each.select("src_id", F.lit("ASSOCIATED_WITH_SE").alias("rel_type"), node_id("side_effect", F.col("m")).alias("dst_id"), "load_seq", "fact_index").where("src_id IS NOT NULL AND dst_id IS NOT NULL")
 
 
+def first_mentions(mentions: DataFrame) -> DataFrame:
+    """Of the mentions of a load that are alike the first one; no other can name a node.  Columns are numbers and texts to group by,
+    so they are aggregated by hash."""
+    return mentions.groupBy(*(c for c in mentions.columns if c != "fact_index")).agg(F.min("fact_index").alias("fact_index"))
+
+
 def merged_nodes(mentions: DataFrame) -> DataFrame:
     """One node for each (label, id): the attributes of the first fact of the last load."""
     attributes = ["name", "normalized_name", "match_type", "match_score", "category"]
-    best = mentions.groupBy("label", "id").agg(F.max_by(F.struct(*attributes), F.struct("load_seq", -F.col("fact_index"))).alias("n"))
+    best = first_mentions(mentions).groupBy("label", "id").agg(F.max_by(F.struct(*attributes), F.struct("load_seq", -F.col("fact_index"))).alias("n"))
     return best.select("label", "id", "n.*")
 
 
@@ -113,7 +125,7 @@ class GraphStore:
     manifest, a file of one row that names each table's segments; it is written last, and Spark's commit moves it into its
     place by one rename.  So a reader has the old graph or the new one, and a load that dies leaves the old one.
 
-    ``load`` adds loads; a load (load_seq) that is there already is replaced: its rows in older segments no longer count.  Only the
+    ``mentions`` keeps of the mentions of a load that are alike the first.  ``load`` adds loads; a load (load_seq) that is there already is replaced: its rows in older segments no longer count.  Only the
     keys of new and replaced rows get a new winner, or a mark that they are gone, so a load writes about as much as it
     brings.  Every MOST_SEGMENTS loads the tables are written as one segment.  One writer at a time."""
 
@@ -165,7 +177,7 @@ class GraphStore:
         facts = settle(normalised, "load")  # mentions and evidence are both read from here
         write = lambda df, name: df.write.parquet(f"{self.path}/{name}/segment={new}")
         write(facts.select("load_seq").distinct(), "loads")
-        write(node_candidates(facts), "mentions")
+        write(first_mentions(node_candidates(facts)), "mentions")
         write(edge_evidence(facts), "edge_evidence")
         segments = {name: [*old.get(name, []), new] for name in ("loads", "mentions", "edge_evidence", "nodes", "edges")}
         whole = not old or len(segments["mentions"]) > MOST_SEGMENTS

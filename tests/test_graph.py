@@ -241,3 +241,33 @@ def test_ordinal(spark):
 
 def test_fixture_facts(spark):
     assert fixture.facts(spark, "/root/testdata/sf0.001").count() == 6000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_winners_are_found_by_hash(spark):
+    """Structs of all properties were aggregated by sorting every row."""
+    rows = spark.createDataFrame([("Drug", f"d{i % 3}", f"name{i % 2}", i % 4, i) for i in range(40)], "label string, id string, name string, load_seq long, fact_index long")
+    mentions = rows.selectExpr("label", "id", "name", "'n' AS normalized_name", "'exact' AS match_type", "1.0D AS match_score", "label AS category", "load_seq", "fact_index")
+    first = graph.first_mentions(mentions)
+    assert "SortAggregate" not in _plan(first) and first.count() == 12
+    assert sorted(map(tuple, graph.merged_nodes(first).collect())) == sorted(map(tuple, graph.merged_nodes(mentions).collect()))
+    evidence = rows.selectExpr("id AS src_id", "'TREATS' AS rel_type", "name AS dst_id", "'treats' AS label", "load_seq", "fact_index", *(f"CAST(fact_index AS STRING) AS {c}" for c in graph.EDGE_PROPERTIES))
+    found = {(r.src_id, r.dst_id): (r.load_seq, r.fact_index, r.evidence) for r in graph.edges(evidence).collect()}
+    expected = {}
+    for r in sorted(evidence.collect(), key=lambda r: (r.load_seq, r.fact_index)):
+        expected[(r.src_id, r.dst_id)] = (r.load_seq, r.fact_index, r.evidence)
+    assert found == expected
+
+
+def test_unmatched_terms_are_counted_by_hash(spark, monkeypatch):
+    from factloom.operators import linking
+
+    plans = []
+    monkeypatch.setattr(linking, "settle", lambda df, name: (plans.append(_plan(df)), df)[1])
+    linked = spark.createDataFrame([("drug", t, i, p, "unmatched") for i, (t, p) in enumerate([("b", 1), ("a", 0), ("b", 0)])] + [("drug", "c", 1, 1, "unmatched")], "slot string, text string, fact_index long, pos int, match_type string")
+    got = {r.text: (r.place, r.n) for r in linking.unmatched_report(linked).collect()}
+    assert got == {"b": (1, 2), "a": (2, 1), "c": (3, 1)}
+    assert "HashAggregate(keys=[slot" in plans[0]
