@@ -278,7 +278,9 @@ def unmatched_report(linked: DataFrame, key: str = "fact_index", top: dict[str,
     """Unmatched surfaces by slot, most frequent first, ties by first appearance; outcomes show their first 20."""
     top = {"outcome": 20} if top is None else top
     misses = linked.where("match_type = 'unmatched' AND text <> '' AND slot <> 'relation'")
-    counted = misses.groupBy("slot", "text").agg(F.count("*").alias("n"), F.min(F.struct(key, "pos")).alias("first"))
+    # By position first: numbers are aggregated by hash, a least struct by sorting all rows.
+    placed = misses.groupBy("slot", "text", "pos").agg(F.count("*").alias("n"), F.min(key).alias(key))
+    counted = placed.groupBy("slot", "text").agg(F.sum("n").alias("n"), F.min(F.struct(key, "pos")).alias("first"))
     counted = settle(counted, "counted")
     whole = counted.groupBy("slot").agg(F.count("*").alias("unique_terms"), F.sum("n").alias("total_terms"))  # a row for each slot
     ranked_ = ranked(counted, ["slot"], [F.desc("n"), F.asc("first"), F.asc("text")], "place").join(F.broadcast(whole), "slot")
