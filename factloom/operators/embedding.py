@@ -1,12 +1,20 @@
 """Claims and spans as sparse vectors, without a model: hashed word n-grams, weighted by how rare they are.
 
 A text's terms are its words and pairs of neighbouring words, each at one of PLACES places by its hash; a place weighs
-its count times ln((1 + N) / (1 + n)) + 1, for n of all N texts that have it.  The table of weights has a row for each place, so
-it is broadcast whatever the number of facts, and a fact's sums are made where the fact lies.
+its count times ln((1 + N) / (1 + n)) + 1, for n of all N texts that have it.  The weights are an array with a number for each
+place, so it is broadcast whatever the number of facts (16 ** DIGITS of them pass through the driver), and a fact's sums are made
+where the fact lies.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +37,51 @@ def places(x: Column) -> Column:
     return F.transform(terms(x), lambda t: F.substring(F.md5(t), 1, DIGITS))
 
 
-def rarity(texts: DataFrame, place_col: str = "places") -> DataFrame:
-    """(place, weight) over rows that have their terms' places as an array."""
-    each = texts.select(F.explode(F.array_distinct(place_col)).alias("place")).groupBy("place").agg(F.count("*").alias("n"))
-    total = texts.agg(F.count("*").alias("total"))
-    return each.crossJoin(F.broadcast(total)).select("place", (F.log((1 + F.col("total")) / (1 + F.col("n"))) + 1).alias("weight"))
+def rarity(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(place, weight) over texts.  Equal ones are counted first, and their terms made once; all count themselves at a place of their own."""
+    equal = texts.groupBy(text_col).agg(F.count("*").alias("n"))
+    each = equal.select("n", F.explode(F.concat(F.array_distinct(places(F.col(text_col))), F.array(F.lit("")))).alias("place"))
+    counts = settle(each.groupBy("place").agg(F.sum("n").alias("n")), "counts")
+    total = counts.where("place = ''").select(F.col("n").alias("total"))
+    return counts.where("place <> ''").crossJoin(F.broadcast(total)).select("place", (F.log((1 + F.col("total")) / (1 + F.col("n"))) + 1).alias("weight"))
+
+
+def _places(low: str) -> list[int]:
+    """``places`` of a lower-cased text, as numbers."""
+    words = re.findall("[a-z0-9]+", low)
+    return [int(md5(t.encode()).hexdigest()[:DIGITS], 16) for t in [*words, *map(" ".join, zip(words, words[1:], strict=False))]]
+
+
+def _cosines(weights: Broadcast) -> Callable[[Column, Column], Column]:
+    """The cosine of two lower-cased texts, a batch of rows at a time and equal pairs of a batch once; 0 where one is empty."""
+
+    def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [_places(t) for t in texts]
+        return np.repeat(np.arange(len(found)), [len(p) for p in found]), np.array([x for p in found for x in p], dtype=np.int64)
+
+    @F.pandas_udf("double")
+    def cosines(claims: pd.Series, spans: pd.Series) -> pd.Series:
+        seen: dict[tuple[str, str], int] = {}
+        own = [seen.setdefault(pair, len(seen)) for pair in zip(claims, spans, strict=True)]
+        (rc, pc), (rs, ps) = flat([c for c, _ in seen]), flat([s for _, s in seen])
+        at, where = np.unique(np.concatenate([rc, rs]) << 4 * DIGITS | np.concatenate([pc, ps]), return_inverse=True)
+        c = np.bincount(where[: len(rc)], minlength=len(at))
+        s = np.bincount(where[len(rc) :], minlength=len(at))
+        w2 = weights.value[at & 16**DIGITS - 1] ** 2
+        dot, cc, ss = (np.bincount(at >> 4 * DIGITS, w2 * x * y, len(seen)) for x, y in ((c, s), (c, c), (s, s)))
+        norm = np.sqrt(cc) * np.sqrt(ss)
+        return pd.Series(np.divide(dot, norm, out=np.zeros(len(seen)), where=norm > 0)[own])
+
+    return cosines
 
 
 def with_similarity(facts: DataFrame, key: str = "fact_index") -> DataFrame:
     """Facts with ``cosine``, of the claim's and the span's vectors (0 where one is empty), and ``similarity``, what that says as a
-    method of quality: percent, and whether it is above a half."""
-    both = settle(facts.select(key, places(claim()).alias("c"), places(text("span")).alias("s")), "places")
-    weights = settle(rarity(both.select(F.col("c").alias("places")).union(both.select("s"))), "rarity")
-    one = lambda column, kind: F.transform(column, lambda p: F.struct(p.alias("place"), F.lit(1 - kind).alias("c"), F.lit(kind).alias("s")))
-    long = both.select(key, F.explode(F.concat(one("c", 0), one("s", 1))).alias("t")).groupBy(key, "t.place").agg(F.sum("t.c").alias("c"), F.sum("t.s").alias("s"))
-    w2 = F.col("weight") * F.col("weight")
-    sums = long.join(F.broadcast(weights), "place").groupBy(key).agg(F.sum(w2 * F.col("c") * F.col("s")).alias("dot"), F.sum(w2 * F.col("c") * F.col("c")).alias("cc"), F.sum(w2 * F.col("s") * F.col("s")).alias("ss"))
-    norm = F.sqrt("cc") * F.sqrt("ss")
-    scored = sums.select(key, F.when(norm > 0, F.col("dot") / norm).otherwise(0.0).alias("cosine"))
-    cosine = F.coalesce("cosine", F.lit(0.0))
-    return facts.join(scored, key, "left").withColumn("cosine", cosine).withColumn("similarity", result((F.col("cosine") * 100).cast("int"), F.col("cosine") > 0.5))
+    method of quality: percent, and whether it is above a half.  The weights, a number for each place, go to all workers,
+    and a fact's cosine is made from its own row: no fact is exploded or joined for it."""
+    said = facts.select(F.explode(F.array(claim(), text("span"))).alias("text"))
+    found = rarity(said).toArrow()
+    weights = np.zeros(16**DIGITS)
+    weights[[int(p, 16) for p in found.column("place").to_pylist()]] = found.column("weight").to_numpy()
+    cosine = _cosines(facts.sparkSession.sparkContext.broadcast(weights))(F.lower(claim()), F.lower(text("span")))
+    return facts.withColumn("cosine", cosine).withColumn("similarity", result((F.col("cosine") * 100).cast("int"), F.col("cosine") > 0.5))

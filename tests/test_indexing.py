@@ -67,3 +67,12 @@ def test_all_levels_agree(spark):
     for level in (0, 2, 3):
         assert (sum(r.matched for r in got if r.level == level), sum(r.total for r in got if r.level == level)) == (everything.matched, everything.total)
     assert sum(r.section is None for r in got if r.level == 0) > 0
+
+
+def test_similarity_does_not_move_facts(spark):
+    facts = spark.createDataFrame([(i, f"drug{i % 5}", "TREATS", "mdd", f"drug{i % 7} treats mdd") for i in range(50)], "fact_index long, drug_name string, relation string, condition_name string, span string")
+    found = embedding.with_similarity(facts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    alike = {r.fact_index for r in found.where("cosine > 0.999999").collect()}
+    assert alike == {i for i in range(50) if i % 5 == i % 7}
