@@ -81,3 +81,20 @@ def test_fuzzy_join_of_all_words(spark, sf="/root/testdata/sf0.001"):
         near = difflib.get_close_matches(word, keys, n=1, cutoff=linking.FUZZY_CUTOFF)
         assert got.get(word) == ((near[0], round(difflib.SequenceMatcher(None, word, near[0]).ratio(), 9)) if near else None)
     assert len(got) > 100
+
+
+def test_what_is_written_at_the_offsets(spark):
+    texts = ["Nausea and nausea.", "aaaa", None, "İ nausea"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = spark.createDataFrame([("nausea",), ("aa",)], "term string")
+    got = {(r.doc_id, r.start, r.written) for r in dictionary.find_terms(df, terms, ["doc_id"], apart=True, written=True).collect()}
+    assert got == {(0, 0, "Nausea"), (0, 11, "nausea"), (1, 0, "aa"), (1, 2, "aa"), (3, 2, "nausea")}
+    # A text is not taken along with each of its occurrences, nor sent to the JVM again.
+    assert "text" not in dictionary.find_terms(df, terms, ["doc_id"], whole_words=True, written=True).columns
+
+
+def test_batches_of_occurrences(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "BATCH_OCCURRENCES", 2)
+    df = spark.createDataFrame([(i, "x y x") for i in range(5)], "doc_id long, text string")
+    found = dictionary.find_terms(df, spark.createDataFrame([("x",)], "term string"), ["doc_id"], whole_words=True)
+    assert sorted((r.doc_id, r.start) for r in found.collect()) == [(i, s) for i in range(5) for s in (0, 4)]
