@@ -223,12 +223,13 @@ def rejection(drug: str = "drug_name", condition: str = "condition_name", relati
 def clean_facts(facts: DataFrame) -> DataFrame:
     """The facts that pass, with cleaned fields.  A fact outside its field's range is dropped by itself
     (confidence and p_value must lie in 0..1); it does not take its section's other facts with it."""
-    kept = facts.where(rejection().isNull())
-    inside = lambda c: F.col(c).isNull() | F.col(c).between(0, 1)
-    kept = kept.where(F.col("confidence").between(0, 1))
     has = set(facts.columns)
+    stays = F.col("confidence").between(0, 1)
     if "p_value" in has:
-        kept = kept.where(inside("p_value"))
+        stays = stays & (F.col("p_value").isNull() | F.col("p_value").between(0, 1))
+    # As rows of a list that is empty where a fact goes: a filter on the rules is moved to where the facts' columns are made, and
+    # makes each of them once more wherever a rule looks at it.
+    kept = facts.withColumn("_stays", F.explode_outer(F.when(stays & rejection().isNull(), F.array(F.lit(True))))).where("_stays").drop("_stays")
     changes = {"condition_name": canonical_condition(strip("condition_name")), "side_effects": specific_side_effects("side_effects")}
     if "sample_size" in has:
         changes["sample_size"] = sample_size("sample_size")

@@ -1,10 +1,14 @@
 """Cleaning, validation and quality of facts: every rule's branch."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from factloom import schemas
+from factloom.functions import text as text_functions
 from factloom.operators import extraction, quality, validation
+from factloom.plans import fixture
 
 GOOD = {"drug_name": "sertraline", "condition_name": "major depressive disorder", "relation": "TREATS", "span": "Sertraline was an effective treatment of major depressive disorder.", "confidence": 0.9, "side_effects": [], "source_id": "p", "section": "results"}
 
@@ -143,3 +147,24 @@ def test_judges(spark):
 
     got = quality.judged(facts(spark, {}, {}).coalesce(1), judge).orderBy("fact_index").select("llm_judge.*").collect()
     assert [tuple(r) for r in got] == [(87.0, True), (None, None)]
+
+
+def test_any_of_finds_what_each_part_finds(spark):
+    parts = ["care", "standard care", "vs.", "a-b", "^c", "comparison", "comparator", "c d"]
+    texts = ["", "scare", "compar", "comparators", "vs", "vs.", "xa-b", "axb", "^c", "c  d", "c d", "co\nmparison"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t for r in df.where(text_functions.contains_any("t", parts)).collect()}
+    assert got == {t for t in texts if any(p in t for p in parts)}
+    assert re.findall("standard", text_functions.any_of(parts)) == []
+
+
+def test_words_at_any_white_space(spark):
+    df = spark.createDataFrame([(" one two three\n\nfour x ",)], "t string")
+    assert df.select(text_functions.words("t", 1)).first()[0] == ["one", "two", "three", "four"]
+    assert df.select(text_functions.blank(F.lit("  \t")), text_functions.blank(F.lit("")), text_functions.blank("t")).first()[:] == (True, True, False)
+
+
+def test_cleaning_makes_the_facts_columns_once(spark):
+    """A filter on the rules took what makes a span to each place where a rule looks at it."""
+    plan = extraction.clean_facts(fixture.facts(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("It showed benefit.") == 1
