@@ -81,6 +81,38 @@ def test_rules_see_the_written_type(spark, tmp_path, change, valid, types):
     assert (row.is_valid, sorted(i.issue_type for i in row.issues)) == (valid, types)
 
 
+def test_code_of_the_rules_is_short_enough_to_be_compiled(spark, tmp_path):
+    """The JVM interprets methods of more than 8,000 bytes for ever."""
+    stages = validation.validate(read(spark, tmp_path, {}))._jdf.queryExecution().debug().codegenToSeq()
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) <= 8000
+
+
+@pytest.mark.parametrize(("value", "missing"), [("0", False), (0, True), (0.0, True), (False, True), ("False", False), ([], True), ("[]", False), ({}, True), ("{}", False), ([0], False), ({"a": 0}, False), ("", True), (" ", True), (None, True), ("missing", True), ("true", False), (True, False)])
+def test_what_is_missing_is_told_by_how_it_was_written(spark, tmp_path, value, missing):
+    row = validation.validate(read(spark, tmp_path, dict.fromkeys(validation.REQUIRED, value))).first()
+    assert {i.field for i in row.issues if i.issue_type == "missing_required_field"} == (set(validation.REQUIRED) if missing else set())
+
+
+def test_fields_mean_what_their_values_do(spark):
+    rows = [(json.dumps({"x": v}),) for v in [*VALUES, "true", "False", "0.80", "-1.50", "1e5", 1e20, 10**20, 0.8, 1.5e-7, "12_", "007", "[1]", [None, 0, {"b": 1.0}]]] + [("{}",)]
+    df = spark.createDataFrame(rows, "j string").select("j", F.parse_json("j").alias("raw")).withColumn("fields", variants.texts(F.col("raw")))
+    f, v = variants.Field("raw", "fields", "x"), variants.member("raw", "x")
+    pairs = [(f.written(), variants.written(v)), (f.written("gone"), variants.written(v, "gone")), (f.number(), variants.number(v)), (f.whole_number().try_cast("int"), variants.whole_number(v).try_cast("int")), (f.listed_texts(), variants.listed_texts(v))]
+    assert df.select("j", *(a.alias(f"a{i}") for i, (a, _) in enumerate(pairs)), *(b.alias(f"b{i}") for i, (_, b) in enumerate(pairs))).where(" OR ".join(f"NOT a{i} <=> b{i}" for i in range(len(pairs)))).collect() == []
+
+
+def test_listing_tasks_do_not_grow_with_the_folders(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"file={i}").mkdir()
+        (tmp_path / f"file={i}" / "a.json").write_text(json.dumps([GOOD]))
+    tracker, before = spark.sparkContext.statusTracker(), spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None)
+    seen = set(tracker.getJobIdsForGroup(None))
+    assert fact_files.read_facts(spark, f"{tmp_path}/file=*").count() == 60
+    jobs = sorted(set(tracker.getJobIdsForGroup(None)) - seen)
+    assert tracker.getStageInfo(tracker.getJobInfo(jobs[0]).stageIds[0]).numTasks <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None) == before
+
+
 def test_values_survive_the_reading(spark, tmp_path):
     rows = read(spark, tmp_path, {"confidence": "0.8", "side_effects": "nausea", "sample_size": 485.7}, {"sample_size": "485"}, {"sample_size": "485.7", "p_value": "0.05"}, {"dose": 20, "arm": "open", "null": None}).orderBy("fact_index").collect()
     assert (rows[0].confidence, rows[0].side_effects, rows[0].sample_size) == (0.8, ["nausea"], 485)
