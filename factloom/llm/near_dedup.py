@@ -294,6 +294,7 @@ def _grouped(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame
         pairs = met.groupBy("rep").agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("hub")).select(*_ordered("rep", "hub")).distinct()
         pairs = settle(pairs, "pairs")
         found = _links(pairs, docs, classes, sketches)
+        release(docs.sparkSession)  # the driver's heap shrinks, too: a turn has dozens of plans
         links = found if links is None else links.union(found)
         labels = components(links)
         lists = _open_lists(lists, labels)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from factloom.llm.common import sliced, texts
 BITS, RANK, PREFIXES = 18, 4, (4, 5, 6)
 #: Most labelled documents in the fit.
 SAMPLE = 8_000
+#: Terms that are counted at once.
+COUNTED = 1 << 16
 LEAST, EPOCHS, STEPS, BATCH, RATE, L1, L2 = 3, 6, 750, 64, 0.3, 5e-4, 1e-4
 
 
@@ -82,10 +85,10 @@ def fit(bounds: np.ndarray, index: np.ndarray, labels: np.ndarray, seed: int = 7
     size = 1 << BITS
     positive = float(labels.sum())
     machine = Machine(float(np.log((positive + 0.5) / (len(labels) - positive + 1.5))), np.zeros(size), rng.normal(0, 0.002, (size, RANK)))
-    seen = np.bincount(index, minlength=size) >= LEAST  # a text has each term once
+    # A text has each term once.  The sample is the driver's largest array, so nothing as long is made of it but what is kept.
+    seen = sum((np.bincount(index[at : at + COUNTED], minlength=size) for at in range(0, len(index), COUNTED)), np.zeros(size, np.int64)) >= LEAST
     keep = seen[index]
-    doc = np.repeat(np.arange(len(labels)), np.diff(bounds))[keep]
-    index, bounds = index[keep], np.searchsorted(doc, np.arange(len(labels) + 1))
+    index, bounds = index[keep], np.cumsum([0, *(np.count_nonzero(keep[a:z]) for a, z in pairwise(bounds))])
     machine.factors[~seen] = 0
     g_bias, g_linear, g_factors = 1.0, np.full(size, 1e-3), np.full((size, RANK), 1e-3)
     batches = -(-len(labels) // BATCH)
@@ -125,16 +128,28 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(index))], names=["doc_id", "toxic", "mark", "terms"])
 
 
+def _in_order(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds, terms and labels of the sample by doc_id, so that the fit is the same whatever order the rows came in.  The terms are copied once."""
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    lists = []
+    for chunk in found.column("terms").chunks:
+        flat, at = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy(zero_copy_only=False)
+        lists += [flat[a:z] for a, z in pairwise(at)]
+    own = [lists[i] for i in order]
+    bounds = np.cumsum([0, *map(len, own)], dtype=np.int64)
+    return bounds, np.concatenate([np.zeros(0, np.int32), *own]), found.column("toxic").to_numpy()[order].astype(float)
+
+
 def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fit on at most SAMPLE labelled documents for which ``learns``, a condition on doc_id, holds."""
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where(learns & F.col("toxic").isNotNull())
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     found = texts(documents, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("mark"), "text").mapInArrow(_featurise, "doc_id long, toxic int, mark long, terms array<int>")
     found = found.groupBy("doc_id").agg(F.min(F.struct("mark", "toxic", "terms")).alias("one")).select("doc_id", "one.toxic", "one.terms").toArrow()
-    found = found.sort_by("doc_id")  # the same fit whatever order the rows came in
-    lists = found.column("terms").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    return fit(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False), found.column("toxic").to_numpy().astype(float))
+    bounds, index, marks = _in_order(found)
+    del found
+    pa.default_memory_pool().release_unused()
+    return fit(bounds, index, marks)
 
 
 def score(documents: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -368,6 +368,28 @@ def labelled(rng, n):
     return rows
 
 
+def test_the_sample_is_not_copied_several_times_by_the_fit():
+    import tracemalloc
+
+    n, rows = 4_000_000, 4_000
+    index = np.arange(n, dtype=np.int32) % 1000
+    bounds = np.arange(rows + 1) * (n // rows)
+    tracemalloc.start()
+    toxicity.fit(bounds, index, np.zeros(rows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * index.nbytes + (32 << 20)  # what is kept, the marks, and the model of fixed size
+
+
+def test_the_sample_is_put_in_order_whatever_its_chunks():
+    parts = [pa.table({"doc_id": pa.array(ids, pa.int64()), "toxic": pa.array(y, pa.int32()), "terms": pa.array(t, pa.list_(pa.int32()))}) for ids, y, t in (([5, 1], [1, 0], [[7, 8], []]), ([3], [1], [[9]]))]
+    parts.append(pa.table({c: parts[0].column(c).slice(0, 1) for c in ("doc_id", "toxic", "terms")}).set_column(0, "doc_id", pa.array([0], pa.int64())))
+    bounds, index, y = toxicity._in_order(pa.concat_tables(parts))
+    assert (bounds.tolist(), index.tolist(), y.tolist()) == ([0, 2, 2, 3, 5], [7, 8, 9, 7, 8], [1, 0, 1, 1])
+    bounds, index, y = toxicity._in_order(parts[0].slice(0, 0))
+    assert (bounds.tolist(), index.tolist(), y.tolist()) == ([0], [], [])
+
+
 def test_held_out_accuracy(spark):
     rows = labelled(random.Random(9), 900)
     documents = frame(spark, [(i, t) for i, t, _ in rows] + [(5000, None), (5001, ""), (5000, None)])
