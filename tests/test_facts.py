@@ -168,3 +168,17 @@ def test_cleaning_makes_the_facts_columns_once(spark):
     """A filter on the rules took what makes a span to each place where a rule looks at it."""
     plan = extraction.clean_facts(fixture.facts(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("It showed benefit.") == 1
+
+
+def test_known_names_are_looked_up_and_mean_what_a_search_finds(spark):
+    from factloom import vocab
+    from factloom.functions.text import contains_any
+    from factloom.operators.validation import _holds_any
+
+    names = [*vocab.VALID_CONDITIONS, *vocab.CONDITION_EXCLUSIONS, *(f"severe {c}" for c in vocab.VALID_CONDITIONS), *(f"{c} remission" for c in vocab.VALID_CONDITIONS[:5]), "", "none", "chronic migraine"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    lists = {"outcome": vocab.OUTCOME_WORDS, "excluded": vocab.CONDITION_EXCLUSIONS, "valid": vocab.VALID_CONDITIONS, "none": ["zzz"]}
+    both = rows.select("name", *(_holds_any(rows["name"], p, vocab.VALID_CONDITIONS).alias(f"{k}_got") for k, p in lists.items()), *(contains_any("name", p).alias(f"{k}_want") for k, p in lists.items()))
+    for r in both.collect():
+        for k, parts in lists.items():
+            assert r[f"{k}_got"] == r[f"{k}_want"] == any(p in r["name"] for p in parts), (r["name"], k)
