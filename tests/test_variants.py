@@ -1,17 +1,23 @@
 """Facts of any types: what values mean, what the rules say of them, and what the graph keeps."""
 
+import gzip
 import json
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from factloom import vocab
+from factloom import queries, vocab
 from factloom.functions import variants
 from factloom.operators import extraction, graph, graph_reads, linking, validation
+from factloom.plans import fixture
+from factloom.plans.workspace import sorted_groups, workspace
 from factloom.sources import facts as fact_files
 from factloom.sources import ontology
 
 GOOD = {"drug_name": "sertraline", "condition_name": "major depressive disorder", "relation": "TREATS", "span": "Sertraline was an effective treatment of major depressive disorder.", "confidence": 0.9, "side_effects": [], "source_id": "p", "section": "results"}
+SMALL = "/root/testdata/sf0.001"
 VALUES = ["0.8", " 1_0 ", "high", "", "0", "[]", "1d", "nan", "-inf", "1e-3", 0, 1, 485.7, 1.0, -3, True, False, None, [], [1, "a"], {}, {"a": 1}]
 
 
@@ -144,3 +150,32 @@ def test_unknown_fields_become_properties_of_the_graph(spark, tmp_path):
     assert ("relation", "TREATS", "arm") in found and ("relation", "TREATS", "sample_size") in found and ("relation", "TREATS", "outcome") not in found
     assert sorted(r.sample_size or 0 for r in store.table("edges").collect()) == [0, 485]
     assert set(r.rel_type for r in store.table("edges").collect()) <= set(vocab.RELATIONS)
+
+
+def bytes_on_disk(spark, kind):
+    return sum(f.stat().st_size for d in Path(workspace(spark)).glob(f"{kind}-*") for f in d.rglob("*.gz"))
+
+
+def test_written_facts_take_little_of_the_disk(spark, tmp_path):
+    """Neither the files nor what is shuffled for them grows with the texts of the facts: each is a fraction of them."""
+    text = sum(len(json.dumps(r.asDict())) for r in fixture.facts(spark, SMALL).drop("fact_index", "load_seq").collect())
+    before = bytes_on_disk(spark, "fact-files")
+    back = queries.QUERIES["fact_files"](spark, SMALL)
+    assert 0 < bytes_on_disk(spark, "fact-files") - before < text / 10
+    assert back.groupBy("file").count().where("count <> 500").count() == 0
+
+
+def test_a_files_facts_are_together_before_they_have_texts(spark):
+    with sorted_groups(spark):
+        lists = fixture.facts(spark, SMALL, by_file=True).groupBy(fixture.file_number().alias("file")).agg(F.collect_list("span")).sortWithinPartitions("file")
+        plan = lists._jdf.queryExecution().executedPlan().toString().split("\n")
+    made = next(i for i, line in enumerate(plan) if "CASE WHEN" in line)
+    assert not [line for line in plan[:made] if "Exchange" in line or re.search(r"\bSort \[", line)] and any("Exchange" in line for line in plan[made:])
+
+
+def test_compressed_files_hold_the_same_facts(spark, tmp_path):
+    loose = [{"confidence": "0.8", "arm": "open"}, {"side_effects": "nausea"}]
+    fact_files.write_wrapped(read(spark, tmp_path, *loose), str(tmp_path / "out"), "extracted_facts", compression="gzip")
+    (file,) = (tmp_path / "out").glob("source_id=p/*.json.gz")
+    assert json.loads(gzip.decompress(file.read_bytes())) == {"extracted_facts": [{**GOOD, **c} for c in loose], "total_facts": 2}
+    assert [r.confidence for r in fact_files.read_facts(spark, f"{tmp_path}/out/source_id=*").orderBy("fact_index").collect()] == [0.8, 0.9]
